@@ -1,0 +1,20 @@
+"""Measuring a side before it is copied to every executor."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Size of the rows written out as JSON, by one distributed aggregate."""
+    size = F.octet_length(F.to_json(F.struct("*"))).cast("long")
+    return df.agg(F.coalesce(F.sum(size), F.lit(0).cast("long")).alias("n")).first()["n"]
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint when it measures at most ``limit``, else ``df`` as it is,
+    leaving the join to shuffle (and to split skewed keys at run time)."""
+    return F.broadcast(df) if measured_bytes(df) <= limit else df
