@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from textprep_spark import fixed_values as fv
 from textprep_spark.catalog import sql as Q
 from textprep_spark.catalog.records import (
+    documents,
     foundational_lookup,
     label_means,
     records,
@@ -35,6 +36,7 @@ from textprep_spark.operators.split import assign_split
 from textprep_spark.plans.evaluate import evaluate_search
 from textprep_spark.plans.prepare import prepare_full, prepare_text
 from textprep_spark.sources.readers import union_by_name
+from textprep_spark.sources.writers import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 P = fv.P
@@ -87,7 +89,7 @@ def normalize_description(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"select doc_id, {Q.emails('text')} as masked from documents")
 def mask_emails(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(
+    return documents(spark, d).select(
         "doc_id", text.mask_emails(F.col("text")).alias("masked")
     )
 
@@ -111,7 +113,7 @@ _query(REC + f"select {fv.ID}, {Q.whitespace(EN)} as squeezed from records", "sq
 
 @_query(f"select doc_id, {Q.punctuation('text')} as collapsed from documents")
 def collapse_punctuation(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(
+    return documents(spark, d).select(
         "doc_id", text.collapse_punctuation(F.col("text")).alias("collapsed")
     )
 
@@ -421,8 +423,8 @@ union all select doc_id, null, text, lang, source from documents
 union all select null, item_id, text, null, null from benchmark"""
 )
 def union_records(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents").drop("n_chars")
-    return union_by_name([documents, table(spark, d, "benchmark")])
+    first = table(spark, d, "documents").drop("n_chars")
+    return union_by_name([first, table(spark, d, "benchmark")])
 
 
 @_query(
@@ -488,7 +490,8 @@ def prepare_text_keep_eo(spark: SparkSession, d: str) -> DataFrame:
     + _split_sql("prepared", f"{fv.ID}", fv.ID).rsplit("\nselect ", 1)[1]
 )
 def prepare_text_split(spark: SparkSession, d: str) -> DataFrame:
-    prepared = prepare_text(records(spark, d)).select(fv.ID)
+    # counting reads the ids several times: from a table, not from the plan that finds them
+    prepared, _ = stage(prepare_text(records(spark, d)).select(fv.ID), "prepared-ids")
     return assign_split(prepared, 0.1, 42, [fv.ID])
 
 
@@ -654,13 +657,13 @@ _SIGNED = "list_transform(embedding, lambda x: sign(x)::float)"
 
 
 @_query(
-    f"""with both as (select 'full' as model, vec_id, label, embedding from embeddings
+    f"""with twin as (select 'full' as model, vec_id, label, embedding from embeddings
   union all select 'signs', vec_id, label, {_SIGNED} from embeddings),
 means as (select model, label, [{", ".join(f"avg(embedding[{i + 1}])" for i in range(DIM))}] as v
-  from both group by model, label),
+  from twin group by model, label),
 scored as (select e.model, e.vec_id as query_id, m.label as doc_id, e.label as wanted,
   round(list_cosine_similarity(m.v, e.embedding::double[]), 9) as s
-  from means m join both e on e.model = m.model),
+  from means m join twin e on e.model = m.model),
 hits as (select *, row_number() over (partition by model, query_id order by s desc, doc_id) as rank
   from scored)
 select model, round(avg(case when rank <= 5 then 1.0 else 0.0 end), 6) as acc_at_k,
@@ -696,7 +699,7 @@ hits as (select *, row_number() over (partition by query_id order by doc_id) as
 
 @_query(f"with {_KEYWORD_CTES} select query_id, doc_id, rank from hits")
 def keyword_top5(spark: SparkSession, d: str) -> DataFrame:
-    return keyword_first(_keyword_queries(spark, d), table(spark, d, "documents"), 5)
+    return keyword_first(_keyword_queries(spark, d), documents(spark, d), 5)
 
 
 @_query(
@@ -706,7 +709,7 @@ from tokens t left join hits h on h.query_id = t.query_id and h.doc_id = t.query
 )
 def keyword_accuracy(spark: SparkSession, d: str) -> DataFrame:
     queries = _keyword_queries(spark, d)
-    hits = keyword_first(queries, table(spark, d, "documents"), 5)
+    hits = keyword_first(queries, documents(spark, d), 5)
     labels = queries.select("query_id", F.col("query_id").alias("doc_id"))
     ranks = metrics.label_ranks(hits, labels)
     return _rounded(ranks.agg(metrics.accuracy().alias("acc_at_k")))
@@ -741,7 +744,7 @@ _DIMS = ", ".join(f"round(v[{i + 1}], 6) as {x}" for i, x in enumerate(LETTERS))
 
 @_query(f"with {_LETTER_CTE} select doc_id, {_DIMS} from letters", "embed_texts")
 def _embed_texts(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = documents(spark, d).select("doc_id", "text")
     v = embed_texts(docs, "text", letter_model, model_name="letters")
     return v.select(
         "doc_id", *[F.round(F.get("embedding", F.lit(i)), 6).alias(x) for i, x in enumerate(LETTERS)]
@@ -750,7 +753,7 @@ def _embed_texts(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"select doc_id, {Q.strip('text || chr(63)')} as question from documents", "generate_questions")
 def _generate_questions(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = documents(spark, d).select("doc_id", "text")
     return generate_questions(docs, "text", "question", question_model).select("doc_id", "question")
 
 
@@ -758,8 +761,9 @@ _QUERY_COUNTS = _COUNTS
 _J3_CTES = f"""{_LETTER_CTE},
 {_KEYWORD_CTES.replace('hits as', 'keyword_hits as')},
 asked as (select item_id as query_id, {_QUERY_COUNTS} as c from benchmark),
-scored as (select a.query_id, l.doc_id, round(list_cosine_similarity(a.c, l.v), 9) as s from asked a, letters l),
-hits as (select *, row_number() over (partition by query_id order by s desc, doc_id) as rank
+scored as (select a.query_id, l.doc_id,
+  round(nullif(list_cosine_similarity(a.c, l.v), 'nan'::double), 9) as s from asked a, letters l),
+hits as (select *, row_number() over (partition by query_id order by s desc nulls last, doc_id) as rank
   from scored qualify rank <= 5)"""
 
 
@@ -771,8 +775,8 @@ def _evaluation(spark: SparkSession, d: str):
         F.col("text").alias("query_fr"),
         F.col("item_id").alias("doc_id"),
     )
-    documents = table(spark, d, "documents").select("doc_id", "text")
-    return evaluate_search(queries, documents, letter_model, model="letters")
+    corpus = documents(spark, d).select("doc_id", "text")
+    return evaluate_search(queries, corpus, letter_model, model="letters")
 
 
 @_query(
@@ -836,7 +840,7 @@ select record_id, pos::integer as pos, s[pos + 1] as text_a, s[pos + 2] as text_
     "adjacent_pairs",
 )
 def _adjacent_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return adjacent_pairs(table(spark, d, "documents"), "doc_id", "text")
+    return adjacent_pairs(documents(spark, d), "doc_id", "text")
 
 
 @_query(
@@ -846,11 +850,11 @@ select record_id, coalesce(array_to_string(s[1:len(s) // 2], ' '), '') as text_a
     "text_halves",
 )
 def _text_halves(spark: SparkSession, d: str) -> DataFrame:
-    return text_halves(table(spark, d, "documents"), "doc_id", "text")
+    return text_halves(documents(spark, d), "doc_id", "text")
 
 
 @_query(f"with {_SENTENCES_CTE} select record_id, len(s) as sentences, array_to_string(s, '|') as cut from cut")
 def split_sentences(spark: SparkSession, d: str) -> DataFrame:
     cut = sentences.split_sentences(F.col("text"))
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("record_id"), cut.alias("s"))
+    rows = documents(spark, d).select(F.col("doc_id").alias("record_id"), cut.alias("s"))
     return rows.select("record_id", F.size("s").alias("sentences"), _joined("s").alias("cut"))

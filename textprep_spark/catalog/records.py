@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textprep_spark import fixed_values as fv
+from textprep_spark.operators.sizes import spread
 
 _NL, _BS = "chr(10)", "chr(92)"
 
@@ -108,8 +109,13 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def documents(spark: SparkSession, directory: str) -> DataFrame:
+    """The documents, spread over the cores when the table is too small to keep them busy."""
+    return spread(table(spark, directory, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
+
+
 def records(spark: SparkSession, directory: str) -> DataFrame:
-    return table(spark, directory, "documents").selectExpr(*_select_list())
+    return documents(spark, directory).selectExpr(*_select_list())
 
 
 def theme_lookup(spark: SparkSession, directory: str) -> DataFrame:

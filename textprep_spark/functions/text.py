@@ -46,21 +46,41 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(fv.WHITESPACE))
 
 
+def _rewrite(c: Column, pattern: str, replacement: str, *signs: str) -> Column:
+    """Regular expression replacement, tried only on values that hold one of ``signs``.
+
+    Most values need few rewrites, and a substring test costs a fraction of an expression that
+    finds nothing. Test and rewrite both read the value, so it is bound to a name, as the element
+    of a one-element array: written out twice, the value's own expression would double with every
+    rewrite of a chain wherever the optimiser inlines it.
+    """
+
+    def changed(v: Column) -> Column:
+        present = F.contains(v, F.lit(signs[0]))
+        for sign in signs[1:]:
+            present = present | F.contains(v, F.lit(sign))
+        return F.when(present, F.regexp_replace(v, pattern, replacement)).otherwise(v)
+
+    return F.get(F.transform(F.array(c), changed), F.lit(0))
+
+
 def mask_emails(c: Column, mask: str | None = fv.EMAIL_MASK) -> Column:
     """Replace e-mail addresses by ``mask`` (taken literally); a falsy mask changes nothing."""
-    return F.regexp_replace(c, EMAIL, _literal_replacement(mask)) if mask else c
+    return _rewrite(c, EMAIL, _literal_replacement(mask), "@") if mask else c
 
 
 def mask_urls(c: Column, mask: str | None = fv.URL_MASK) -> Column:
     """Reduce links to their host followed by ``mask``; a falsy mask changes nothing."""
-    return F.regexp_replace(c, URL, "$1 " + _literal_replacement(mask)) if mask else c
+    if not mask:
+        return c
+    return _rewrite(c, URL, "$1 " + _literal_replacement(mask), "://", "www.", "ftp.")
 
 
 def tables_to_text(c: Column) -> Column:
     """Remove drawn table borders, escaped bars and empty table rows."""
-    c = F.regexp_replace(c, TABLE_BORDER, "\n")
-    c = F.regexp_replace(c, ESCAPED_BAR, " |")
-    return F.regexp_replace(c, EMPTY_ROW, "\n")
+    c = _rewrite(c, TABLE_BORDER, "\n", "+-")
+    c = _rewrite(c, ESCAPED_BAR, " |", "\\")
+    return _rewrite(c, EMPTY_ROW, "\n", "\n|")
 
 
 def cut_section(c: Column, header: str | None) -> Column:
@@ -75,9 +95,9 @@ def collapse_punctuation(c: Column) -> Column:
 
 def squeeze_whitespace(c: Column) -> Column:
     """Collapse runs of spaces and of newlines, drop blank lines, strip. Tabs are kept."""
-    c = F.regexp_replace(c, SPACES, " ")
-    c = F.regexp_replace(c, NEWLINES, "\n")
-    return strip(F.regexp_replace(c, BLANK_LINE, "\n"))
+    c = _rewrite(c, SPACES, " ", "  ")
+    c = _rewrite(c, NEWLINES, "\n", "\n\n")
+    return strip(_rewrite(c, BLANK_LINE, "\n", "\n "))
 
 
 def symbol_to_word(c: Column, symbol: str | None, word: str | None) -> Column:
@@ -113,56 +133,12 @@ def split_list(c: Column) -> Column:
 # --- the normalisation chain ------------------------------------------------------
 
 
-@dataclass(frozen=True)
-class Part:
-    """One rewrite, and a cheap test that is true for every value the rewrite could change.
-
-    Most values need few of the rewrites, and a substring test costs a fraction of a regular
-    expression that finds nothing. Test and rewrite both read the value, so it is bound to a
-    name, as the element of a one-element array: written out twice, the value's own expression
-    would double with every part of the chain wherever the optimiser inlines it.
-    """
-
-    rewrite: Callable[[Column], Column]
-    only_if: Callable[[Column], Column] | None = None
-
-    def __call__(self, c: Column) -> Column:
-        if self.only_if is None:
-            return self.rewrite(c)
-        test, rewrite = self.only_if, self.rewrite
-        bound = F.transform(F.array(c), lambda v: F.when(test(v), rewrite(v)).otherwise(v))
-        return F.get(bound, F.lit(0))
-
-
 @dataclass(frozen=True)
 class Step:
-    """A named stage of the chain, made of one or more parts."""
+    """A named stage of the chain."""
 
     name: str
-    parts: tuple[Part, ...]
-
-    def __call__(self, c: Column) -> Column:
-        for part in self.parts:
-            c = part(c)
-        return c
-
-    @staticmethod
-    def of(name: str, rewrite: Callable[[Column], Column]) -> Step:
-        return Step(name, (Part(rewrite),))
-
-
-def _has(*needles: str) -> Callable[[Column], Column]:
-    def test(c: Column) -> Column:
-        found = F.contains(c, F.lit(needles[0]))
-        for needle in needles[1:]:
-            found = found | F.contains(c, F.lit(needle))
-        return found
-
-    return test
-
-
-def _re(pattern: str, replacement: str) -> Callable[[Column], Column]:
-    return lambda c: F.regexp_replace(c, pattern, replacement)
+    apply: Callable[[Column], Column]
 
 
 @dataclass(frozen=True)
@@ -185,45 +161,25 @@ def chain(config: LanguageConfig) -> list[Step]:
     Sections, links, addresses, symbols, tables, punctuation, white space. The order matters:
     links go before addresses because a link's host may follow an ``@``.
     """
-    steps = []
-    if config.section_header:
-        steps.append(Step.of("cut_section", lambda c: cut_section(c, config.section_header)))
-    steps.append(Step("mask_urls", (Part(mask_urls, _has("://", "www.", "ftp.")),)))
-    steps.append(Step("mask_emails", (Part(mask_emails, _has("@")),)))
-    for symbol, word in config.symbol_words:
-        steps.append(
-            Step.of(
-                f"symbol_{symbol}",
-                lambda c, s=symbol, w=word: symbol_to_word(c, s, w),
-            )
-        )
-    steps.append(
-        Step(
-            "tables_to_text",
-            (
-                Part(_re(TABLE_BORDER, "\n"), _has("+-")),
-                Part(_re(ESCAPED_BAR, " |"), _has("\\")),
-                Part(_re(EMPTY_ROW, "\n"), _has("\n|")),
-            ),
-        )
-    )
-    steps.append(Step.of("collapse_punctuation", collapse_punctuation))
-    steps.append(
-        Step(
-            "squeeze_whitespace",
-            (
-                Part(_re(SPACES, " "), _has("  ")),
-                Part(_re(NEWLINES, "\n"), _has("\n\n")),
-                Part(_re(BLANK_LINE, "\n"), _has("\n ")),
-                Part(strip),
-            ),
-        )
-    )
-    return steps
+    header = config.section_header
+    sections = [Step("cut_section", lambda c: cut_section(c, header))] if header else []
+    symbols = [
+        Step(f"symbol_{symbol}", lambda c, s=symbol, w=word: symbol_to_word(c, s, w))
+        for symbol, word in config.symbol_words
+    ]
+    return [
+        *sections,
+        Step("mask_urls", mask_urls),
+        Step("mask_emails", mask_emails),
+        *symbols,
+        Step("tables_to_text", tables_to_text),
+        Step("collapse_punctuation", collapse_punctuation),
+        Step("squeeze_whitespace", squeeze_whitespace),
+    ]
 
 
 def normalize(c: Column, config: LanguageConfig) -> Column:
     """The whole chain as one expression."""
     for step in chain(config):
-        c = step(c)
+        c = step.apply(c)
     return c

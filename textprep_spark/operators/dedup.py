@@ -36,11 +36,12 @@ def deduplicate(
     kinds = {f.name: f.dataType for f in df.schema.fields}
     hashable = [n for n, k in kinds.items() if not isinstance(k, (T.MapType, T.VariantType))]
     ranked = [F.col(o) if isinstance(o, str) else o for o in order]
-    ranked.append(F.xxhash64(*hashable))
+    ranked.append(F.col("__tie"))
+    df = df.withColumn("__tie", F.xxhash64(*hashable))
     for name in columns:
         if isinstance(kinds[name], T.StringType):
             keyed = df.withColumn("__key", content_key(F.col(name)))
             df = keep_first(keyed, "__key", ranked).drop("__key")
         else:
             df = keep_first(df, name, ranked)
-    return df
+    return df.drop("__tie")

@@ -46,7 +46,7 @@ def normalize_columns(
         df = df.withColumn(target, F.col(source))
         for i, step in enumerate(chain(languages[lang])):
             before, flag = f"__before_{target}", f"__changed_{target}_{i}"
-            df = df.withColumn(before, F.col(target)).withColumn(target, step(F.col(target)))
+            df = df.withColumn(before, F.col(target)).withColumn(target, step.apply(F.col(target)))
             df = df.withColumn(flag, ~F.col(before).eqNullSafe(F.col(target))).drop(before)
             flags.append(flag)
             counts.append(F.count_if(F.col(flag)).alias(f"{target}.{step.name}"))
@@ -85,7 +85,7 @@ def change_report(df: DataFrame, column: str, config: LanguageConfig) -> DataFra
     steps = chain(config)
     work = df.select(F.col(column).alias("__v0"))
     for i, step in enumerate(steps):
-        work = work.withColumn(f"__v{i + 1}", step(F.col(f"__v{i}")))
+        work = work.withColumn(f"__v{i + 1}", step.apply(F.col(f"__v{i}")))
         same = F.col(f"__v{i}").eqNullSafe(F.col(f"__v{i + 1}"))
         work = work.withColumn(f"__c{i}", ~same).drop(*([f"__v{i}"] if i else []))
     totals = work.agg(

@@ -15,12 +15,14 @@ No query-document pair is ever a row; no candidate is left out.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -258,21 +260,25 @@ def top_k(
     if k < 1:
         raise ValueError("k must be at least 1")
     queries, corpus = _vector_rows(queries, "query_id"), _vector_rows(corpus, "doc_id")
-    query_bytes = _vector_bytes(queries)
-    if query_bytes <= block_bytes:
-        return _ranked(_stream_corpus(queries, corpus, k, metric), k)
-    if _vector_bytes(corpus) <= block_bytes:
-        return _stream_queries(queries, corpus, k, metric)
-    return _ranked(
-        reduce(
-            DataFrame.unionByName,
-            [
-                _stream_corpus(block, corpus, k, metric)
-                for block in _query_blocks(queries, query_bytes, block_bytes)
-            ],
-        ),
-        k,
-    )
+    # Measured and then read: kept in between, since the vectors may come out of a model.
+    with _kept(queries):
+        query_bytes = _vector_bytes(queries)
+        if query_bytes <= block_bytes:
+            return _ranked(_stream_corpus(queries, corpus, k, metric), k)
+        if _vector_bytes(corpus) > block_bytes:
+            blocks = _query_blocks(queries, query_bytes, block_bytes)
+            passes = [_stream_corpus(block, corpus, k, metric) for block in blocks]
+            return _ranked(reduce(DataFrame.unionByName, passes), k)
+    return _stream_queries(queries, corpus, k, metric)
+
+
+@contextmanager
+def _kept(df: DataFrame) -> Iterator[None]:
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield
+    finally:
+        df.unpersist()
 
 
 def _query_blocks(queries: DataFrame, total: int, block_bytes: int) -> list[DataFrame]:
@@ -296,9 +302,10 @@ def keyword_first(
     """
     queries = queries.select("query_id", "text").where(F.col("text").isNotNull())
     corpus = corpus.select("doc_id", "text").where(F.col("text").isNotNull())
-    total = measured_bytes(queries)
-    blocks = [queries] if total <= block_bytes else _query_blocks(queries, total, block_bytes)
-    found = reduce(DataFrame.unionByName, [_first_matches(b, corpus, k) for b in blocks])
+    with _kept(queries):
+        total = measured_bytes(queries)
+        blocks = [queries] if total <= block_bytes else _query_blocks(queries, total, block_bytes)
+        found = reduce(DataFrame.unionByName, [_first_matches(b, corpus, k) for b in blocks])
     w = Window.partitionBy("query_id").orderBy("doc_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

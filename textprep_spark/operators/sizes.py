@@ -1,4 +1,4 @@
-"""Measuring a side before it is copied to every executor."""
+"""Decisions that depend on how much data there is."""
 
 from __future__ import annotations
 
@@ -18,3 +18,13 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     """``df`` with a broadcast hint when it measures at most ``limit``, else ``df`` as it is,
     leaving the join to shuffle (and to split skewed keys at run time)."""
     return F.broadcast(df) if measured_bytes(df) <= limit else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` itself when it has a task for every core, else its rows spread over all cores.
+
+    Text work is heavy per byte, and a table in one file is one task. A table of more splits than
+    cores, as large ones are, is never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)

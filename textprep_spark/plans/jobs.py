@@ -17,7 +17,7 @@ from textprep_spark import fixed_values as fv
 from textprep_spark.operators.split import KEY, assign_by_key, split_frames, split_key
 from textprep_spark.plans.prepare import prepare_text
 from textprep_spark.sources.readers import read_records
-from textprep_spark.sources.writers import Staged, output_directory, write_datasets
+from textprep_spark.sources.writers import output_directory, staged, write_datasets
 
 SET_NAMES = ["train.parquet", "eval.parquet", "test.parquet"]
 
@@ -42,8 +42,8 @@ def run_prepare_text(spark: SparkSession, config: PrepareTextConfig) -> str:
     prepared = prepare_text(read_records(spark, config.input_dir), config.keep_eo)
     key = split_key(config.seed, [F.col(fv.ID), F.md5("text_en")])
     target = output_directory(config.output_dir, config.keep_eo)
-    with Staged(prepared.withColumn(KEY, key), "prepared") as staged:
-        assigned = assign_by_key(staged, F.col(KEY), config.holdout).drop(KEY)
+    with staged(prepared.withColumn(KEY, key), "prepared") as table:
+        assigned = assign_by_key(table, F.col(KEY), config.holdout).drop(KEY)
         write_datasets(split_frames(assigned), SET_NAMES, target)
     return target
 

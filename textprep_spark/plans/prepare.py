@@ -28,6 +28,7 @@ from textprep_spark.operators.cleaning import (
 from textprep_spark.operators.dedup import content_key, keep_first
 from textprep_spark.operators.enrich import Lookup, enrich
 from textprep_spark.operators.normalize import normalize_columns
+from textprep_spark.operators.sizes import spread
 
 KEYWORDS = [fv.P + "keywords_en", fv.P + "keywords_fr"]
 
@@ -52,11 +53,12 @@ def _distinct_texts(df: DataFrame) -> DataFrame:
     """
     texts = {"__en": record_text(df, ["en"]), "__fr": record_text(df, ["fr"])}
     keyed = drop_missing(df.withColumns(texts), list(texts))
-    keyed = keyed.withColumns({name: content_key(F.col(name)) for name in texts})
-    order = [F.col(fv.ID), F.col("__en"), F.col("__fr"), F.xxhash64(*df.columns)]
+    keys = {name: content_key(F.col(name)) for name in texts}
+    keyed = keyed.withColumns({**keys, "__tie": F.xxhash64(*df.columns)})
+    order = [F.col(c) for c in (fv.ID, *texts, "__tie")]
     for name in texts:
         keyed = keep_first(keyed, name, order)
-    return keyed.drop(*texts)
+    return keyed.drop(*texts, "__tie")
 
 
 def text_features(
@@ -78,7 +80,8 @@ def prepare_text(
     Earth-observation records go last, after duplicate removal: one of them may stand for a
     group of equal texts, and then the whole group goes.
     """
-    df = text_features(require_columns(records, fv.TEXT_COLUMNS), observation=observation)
+    df = spread(require_columns(records, fv.TEXT_COLUMNS), fv.ID, fv.P + "title_en")
+    df = text_features(df, observation=observation)
     return df if keep_eo else drop_eo(df)
 
 
@@ -86,7 +89,7 @@ def record_features(
     records: DataFrame, theme_of_topic: Mapping[str, str] | None = None
 ) -> DataFrame:
     """Cleaned columns and the features taken from JSON columns and topics; no joins."""
-    df = require_columns(records, fv.FULL_COLUMNS)
+    df = spread(require_columns(records, fv.FULL_COLUMNS), fv.ID, fv.P + "title_en")
     df = clean_dates(df)
     source = fv.P + "sourceSystemName"
     df = df.withColumn(source, source_or_default(F.col(source)))

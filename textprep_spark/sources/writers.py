@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,23 +45,24 @@ def _shared_directory(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder all executors share")
 
 
-class Staged:
-    """A frame written once to the shared folder and read back; removed at the end of ``with``.
+def stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written once as a table in the shared folder and read back, and the table's path.
 
     Cuts the lineage: later steps read a fixed table, whichever executors are lost.
     """
-
-    def __init__(self, df: DataFrame, name: str) -> None:
-        self._spark = df.sparkSession
-        self.path = f"{_shared_directory(self._spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-        self.frame = self._spark.read.schema(df.schema).parquet(self.path)
-
-    def __enter__(self) -> DataFrame:
-        return self.frame
-
-    def __exit__(self, *exc: object) -> None:
-        jvm = self._spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = path.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(path, True)
+    spark = df.sparkSession
+    path = f"{_shared_directory(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+@contextmanager
+def staged(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """The same for use in ``with``; the table is removed at the end."""
+    table, path = stage(df, name)
+    try:
+        yield table
+    finally:
+        context = df.sparkSession.sparkContext
+        location = context._jvm.org.apache.hadoop.fs.Path(path)
+        location.getFileSystem(context._jsc.hadoopConfiguration()).delete(location, True)
