@@ -320,18 +320,26 @@ def sample_limit(spark: SparkSession, d: str) -> DataFrame:
 _OPT = P + "options"
 
 
+def _parsed(spark: SparkSession, d: str, *names: str) -> DataFrame:
+    """Ids and parsed JSON columns, under the columns' short names."""
+    jsoncols.accept_repeated_keys(spark)
+    parsed = [jsoncols.parse(F.col(P + name)).alias(name) for name in names]
+    return records(spark, d).select(fv.ID, *parsed)
+
+
 @_query(
     REC + f"select {fv.ID}, array_to_string({Q.option_descriptions(_OPT)}, '|') as kinds from records"
 )
 def option_descriptions(spark: SparkSession, d: str) -> DataFrame:
-    df = records(spark, d).select(fv.ID, jsoncols.parse(F.col(_OPT)).alias("v"))
-    return df.select(fv.ID, _joined(jsoncols.option_descriptions(F.col("v"))).alias("kinds"))
+    kinds = jsoncols.option_descriptions(F.col("options"))
+    return _parsed(spark, d, "options").select(fv.ID, _joined(kinds).alias("kinds"))
 
 
 @_query(REC + f"select {fv.ID}, {Q.mappable(_OPT)} as mappable from records")
 def mappable(spark: SparkSession, d: str) -> DataFrame:
-    df = records(spark, d).select(fv.ID, jsoncols.parse(F.col(_OPT)).alias("v"))
-    return df.select(fv.ID, jsoncols.mappable(F.col("v")).alias("mappable"))
+    return _parsed(spark, d, "options").select(
+        fv.ID, jsoncols.mappable(F.col("options")).alias("mappable")
+    )
 
 
 _CITED, _CONTACT = P + "cited", P + "contact"
@@ -343,12 +351,7 @@ _CITED, _CONTACT = P + "cited", P + "contact"
     + f" {Q.organisation(_CITED, _CONTACT, 'fr')} as org_fr from records"
 )
 def record_org(spark: SparkSession, d: str) -> DataFrame:
-    df = records(spark, d).select(
-        fv.ID,
-        jsoncols.parse(F.col(_CITED)).alias("cited"),
-        jsoncols.parse(F.col(_CONTACT)).alias("contact"),
-    )
-    df = df.select(
+    df = _parsed(spark, d, "cited", "contact").select(
         fv.ID,
         jsoncols.organisation(F.col("cited")).alias("cited"),
         jsoncols.organisation(F.col("contact")).alias("contact"),

@@ -6,7 +6,7 @@ parsed value in its own column when several features come from it, so it is pars
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from textprep_spark import fixed_values as fv
@@ -18,6 +18,11 @@ from textprep_spark.functions.text import second_segment, strip
 _END = "\u0001end"
 
 
+def accept_repeated_keys(spark: SparkSession) -> None:
+    """Let the session's JSON parser take an object that repeats a key; the last one counts."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def wrap(c: Column) -> Column:
     """``[<text>, <marker>]`` as a VARIANT, null when that is not valid JSON."""
     return F.try_parse_json(F.concat(F.lit("["), c, F.lit(f',"\\u0001end"]')))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textprep_spark.functions.text import clean_question
+from textprep_spark.shipping import ship
 
 Model = Callable[[Sequence[str]], Any]
 Loader = Callable[[], Model]
@@ -47,6 +48,7 @@ def _apply_model(
         raise ValueError(f"column {text!r} is absent")
     if batch_size < 1:
         raise ValueError("batch_size must be at least 1")
+    ship(df.sparkSession)
     kept = [c for c in df.columns if c != target]
     schema = T.StructType([df.schema[c] for c in kept]).add(target, kind)
 

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textprep_spark.operators.sizes import measured_bytes
+from textprep_spark.shipping import ship
 
 BLOCK_BYTES = 64 * 1024 * 1024
 SCORE_DIGITS = 9  # scores are compared after rounding, so that summation order cannot decide ranks
@@ -259,6 +260,7 @@ def top_k(
         raise ValueError(f"unknown metric {metric!r}; known: {sorted(DISTANCES)}")
     if k < 1:
         raise ValueError("k must be at least 1")
+    ship(queries.sparkSession)
     queries, corpus = _vector_rows(queries, "query_id"), _vector_rows(corpus, "doc_id")
     # Measured and then read: kept in between, since the vectors may come out of a model.
     with _kept(queries):
@@ -300,6 +302,7 @@ def keyword_first(
     ``queries(query_id, text)``, ``corpus(doc_id, text)``. A task reads each document once and
     drops a query's test as soon as the document could not enter its first ``k`` any more.
     """
+    ship(queries.sparkSession)
     queries = queries.select("query_id", "text").where(F.col("text").isNotNull())
     corpus = corpus.select("doc_id", "text").where(F.col("text").isNotNull())
     with _kept(queries):

@@ -20,11 +20,12 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     return F.broadcast(df) if measured_bytes(df) <= limit else df
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` itself when it has a task for every core, else its rows spread over all cores.
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """``scan`` itself when it has a task for every core, else its rows spread over all cores.
 
     Text work is heavy per byte, and a table in one file is one task. A table of more splits than
-    cores, as large ones are, is never shuffled here.
+    cores, as large ones are, is never shuffled here. ``scan`` is a frame as it was read: counting
+    the tasks of one with a join or an aggregate would run it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, *keys)

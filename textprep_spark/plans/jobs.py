@@ -14,6 +14,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from textprep_spark import fixed_values as fv
+from textprep_spark.operators.sizes import spread
 from textprep_spark.operators.split import KEY, assign_by_key, split_frames, split_key
 from textprep_spark.plans.prepare import prepare_text
 from textprep_spark.sources.readers import read_records
@@ -39,7 +40,8 @@ def run_prepare_text(spark: SparkSession, config: PrepareTextConfig) -> str:
     preparing anything again. Duplicate removal has made the English text unique, so with the id
     it makes a key that no two records share.
     """
-    prepared = prepare_text(read_records(spark, config.input_dir), config.keep_eo)
+    records = spread(read_records(spark, config.input_dir), fv.ID, fv.P + "title_en")
+    prepared = prepare_text(records, config.keep_eo)
     key = split_key(config.seed, [F.col(fv.ID), F.md5("text_en")])
     target = output_directory(config.output_dir, config.keep_eo)
     with staged(prepared.withColumn(KEY, key), "prepared") as table:

@@ -28,7 +28,6 @@ from textprep_spark.operators.cleaning import (
 from textprep_spark.operators.dedup import content_key, keep_first
 from textprep_spark.operators.enrich import Lookup, enrich
 from textprep_spark.operators.normalize import normalize_columns
-from textprep_spark.operators.sizes import spread
 
 KEYWORDS = [fv.P + "keywords_en", fv.P + "keywords_fr"]
 
@@ -80,16 +79,19 @@ def prepare_text(
     Earth-observation records go last, after duplicate removal: one of them may stand for a
     group of equal texts, and then the whole group goes.
     """
-    df = spread(require_columns(records, fv.TEXT_COLUMNS), fv.ID, fv.P + "title_en")
-    df = text_features(df, observation=observation)
+    df = text_features(require_columns(records, fv.TEXT_COLUMNS), observation=observation)
     return df if keep_eo else drop_eo(df)
 
 
 def record_features(
     records: DataFrame, theme_of_topic: Mapping[str, str] | None = None
 ) -> DataFrame:
-    """Cleaned columns and the features taken from JSON columns and topics; no joins."""
-    df = spread(require_columns(records, fv.FULL_COLUMNS), fv.ID, fv.P + "title_en")
+    """Cleaned columns and the features taken from JSON columns and topics; no joins.
+
+    Sets the session to accept repeated keys in JSON objects.
+    """
+    jsoncols.accept_repeated_keys(records.sparkSession)
+    df = require_columns(records, fv.FULL_COLUMNS)
     df = clean_dates(df)
     source = fv.P + "sourceSystemName"
     df = df.withColumn(source, source_or_default(F.col(source)))
