@@ -230,9 +230,9 @@ def test_required_columns(spark):
 
 def test_placeholders_sources_lists(spark):
     na = fv.NOT_AVAILABLE
-    df = spark.createDataFrame([(na, "cgp"), (na + " ", None), (None, "x")], "d string, s string")
+    df = spark.createDataFrame([(na, fv.LEGACY_SOURCE), (na + " ", None), (None, "x")], "d string, s string")
     assert column(df, cleaning.placeholder_to_null(F.col("d"), [na])) == [None, na + " ", None]
-    assert column(df, cleaning.source_or_default(F.col("s"))) == ["geo-ca", "geo-ca", "x"]
+    assert column(df, cleaning.source_or_default(F.col("s"))) == [fv.DEFAULT_SOURCE, fv.DEFAULT_SOURCE, "x"]
     lists = spark.createDataFrame([(["a "],), (None,)], "k array<string>")
     assert column(lists, cleaning.as_list(lists, "k")) == [["a "], []]
     ints = spark.createDataFrame([(1,)], "k int")

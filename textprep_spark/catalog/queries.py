@@ -263,9 +263,10 @@ def clean_dates(spark: SparkSession, d: str) -> DataFrame:
 
 
 _SRC = P + "sourceSystemName"
+_SRC_SQL = f"coalesce(nullif({_SRC}, '{fv.LEGACY_SOURCE}'), '{fv.DEFAULT_SOURCE}')"
 
 
-@_query(REC + f"select {fv.ID}, coalesce(nullif({_SRC}, 'cgp'), 'geo-ca') as source from records")
+@_query(REC + f"select {fv.ID}, {_SRC_SQL} as source from records")
 def source_default(spark: SparkSession, d: str) -> DataFrame:
     return records(spark, d).select(
         fv.ID, cleaning.source_or_default(F.col(_SRC)).alias("source")
@@ -296,9 +297,7 @@ def drop_missing(spark: SparkSession, d: str) -> DataFrame:
     return cleaning.drop_missing(records(spark, d), [EN, FR]).select(fv.ID, EN, FR)
 
 
-@_query(
-    "select b.item_id, b.text, l.doc_id from benchmark b join labels l on l.doc_id = b.item_id"
-)
+@_query("select b.item_id, b.text, l.doc_id from benchmark b join labels l on l.doc_id = b.item_id")
 def drop_unlabelled(spark: SparkSession, d: str) -> DataFrame:
     items, labels = table(spark, d, "benchmark"), table(spark, d, "labels").select("doc_id")
     queries = items.join(labels, items["item_id"] == labels["doc_id"], "left")
@@ -420,10 +419,8 @@ def load_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    """select cast(null as bigint) as doc_id, item_id, text, lang, source from (
-  select text, cast(null as bigint) as item_id, lang, source, doc_id from documents) where false
-union all select doc_id, null, text, lang, source from documents
-union all select null, item_id, text, null, null from benchmark"""
+    """select doc_id, text, lang, source from documents
+union all by name select item_id, text from benchmark"""
 )
 def union_records(spark: SparkSession, d: str) -> DataFrame:
     first = table(spark, d, "documents").drop("n_chars")
@@ -502,7 +499,7 @@ def prepare_text_split(spark: SparkSession, d: str) -> DataFrame:
     _with(*_ENRICH_CTES, Q.texts_cte())
     + f"""select p.{fv.ID}, nullif({P}date_published_date, {_NA}) as published,
  nullif({P}date_created_date, {_NA}) as created,
- coalesce(nullif({_SRC}, 'cgp'), 'geo-ca') as source,
+ {_SRC_SQL} as source,
  array_to_string({Q.items(P + 'topicCategory')}, '|') as topics,
  {_gone(P + 'temporalExtent_begin')} as extent_begin, {_gone(P + 'temporalExtent_end')} as extent_end,
  array_to_string({Q.option_descriptions(_OPT)}, '|') as kinds, {Q.mappable(_OPT)} as mappable,
@@ -582,7 +579,7 @@ def _register_top_k(metric: str, k: int) -> None:
         hits = top_k(_label_queries(spark, d), _corpus(spark, d), k, metric)
         return hits.withColumn("score", F.round("score", 6))
 
-    sql = _hits_sql(metric, k) + "select query_id, doc_id, round(s, 6) as score, rank from hits"
+    sql = _hits_sql(metric, k) + "select query_id, doc_id, round(s, 6) as score, rank::integer as rank from hits"
     _query(sql, f"topk_{metric}")(run)
 
 
@@ -700,7 +697,7 @@ hits as (select *, row_number() over (partition by query_id order by doc_id) as
   from matched qualify rank <= 5)"""
 
 
-@_query(f"with {_KEYWORD_CTES} select query_id, doc_id, rank from hits")
+@_query(f"with {_KEYWORD_CTES} select query_id, doc_id, rank::integer as rank from hits")
 def keyword_top5(spark: SparkSession, d: str) -> DataFrame:
     return keyword_first(_keyword_queries(spark, d), documents(spark, d), 5)
 
@@ -856,7 +853,7 @@ def _text_halves(spark: SparkSession, d: str) -> DataFrame:
     return text_halves(documents(spark, d), "doc_id", "text")
 
 
-@_query(f"with {_SENTENCES_CTE} select record_id, len(s) as sentences, array_to_string(s, '|') as cut from cut")
+@_query(f"with {_SENTENCES_CTE} select record_id, len(s)::integer as sentences, array_to_string(s, '|') as cut from cut")
 def split_sentences(spark: SparkSession, d: str) -> DataFrame:
     cut = sentences.split_sentences(F.col("text"))
     rows = documents(spark, d).select(F.col("doc_id").alias("record_id"), cut.alias("s"))

@@ -71,8 +71,8 @@ EXPRESSIONS = {
       when 0 then 'Not Available; Indisponible' else '2001-01-01' end""",
     "temporalExtent_end": """case doc_id % 3
       when 0 then 'Present' when 1 then '2011-01-01' else null end""",
-    "sourceSystemName": """case doc_id % 3
-      when 0 then 'cgp' when 1 then null else source end""",
+    "sourceSystemName": f"""case doc_id % 3
+      when 0 then '{fv.LEGACY_SOURCE}' when 1 then null else source end""",
     "eoCollection": "case when doc_id % 9 = 0 then 'sentinel' else null end",
     "spatialRepresentation": "'vector'",
     "type": "'dataset'",
@@ -93,7 +93,7 @@ def _select_list() -> list[str]:
 
 RECORDS_SQL = "select " + ",\n ".join(_select_list()) + " from documents"
 
-# a hundredth tag per record, repeats, tags that are not allowed, an empty and a null tag
+# repeated tags, tags that are not allowed, empty and null tags
 THEME_LOOKUP_SQL = """
 select 'rec-' || doc_id as uuid, case when toxic = 1 then 'legal' else 'other' end as tag from labels
 union all select 'rec-' || doc_id, case when quality = 1 then 'emergency' else '' end from labels

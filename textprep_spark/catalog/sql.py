@@ -25,6 +25,9 @@ def _sub(x: str, pattern: str, replacement: str) -> str:
     return f"regexp_replace({x}, {quoted(pattern)}, {replacement}, 'g')"
 
 
+# fixed patterns, as this engine writes them
+
+
 def emails(x: str) -> str:
     return _sub(x, r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "'[email]'")
 
