@@ -14,9 +14,11 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from textprep_spark import fixed_values as fv
+from textprep_spark.functions.documents import record_text
+from textprep_spark.operators.cleaning import require_columns
 from textprep_spark.operators.sizes import spread
 from textprep_spark.operators.split import KEY, assign_by_key, split_frames, split_key
-from textprep_spark.plans.prepare import prepare_text
+from textprep_spark.plans.prepare import distinct_records, document_texts
 from textprep_spark.sources.readers import read_records
 from textprep_spark.sources.writers import output_directory, staged, write_datasets
 
@@ -35,17 +37,18 @@ class PrepareTextConfig:
 def run_prepare_text(spark: SparkSession, config: PrepareTextConfig) -> str:
     """Read records, prepare their texts, write train, eval and test sets; returns the directory.
 
-    The prepared records are staged as a table once, each with its split key. Counting for the
-    split then reads the key column alone, and the three sets are written from the table without
-    preparing anything again. Duplicate removal has made the English text unique, so with the id
-    it makes a key that no two records share.
+    The distinct records are staged as a table once, each with its split key. Counting for the
+    split then reads the key column alone, and nothing is normalised or compared again for the
+    three sets. The four document texts, which repeat what the record holds several times over,
+    are only put together as they are written. Duplicate removal has made the English text
+    unique, so with the id it makes a key that no two records share.
     """
     records = spread(read_records(spark, config.input_dir), fv.ID, fv.P + "title_en")
-    prepared = prepare_text(records, config.keep_eo)
-    key = split_key(config.seed, [F.col(fv.ID), F.md5("text_en")])
+    distinct = distinct_records(require_columns(records, fv.TEXT_COLUMNS), keep_eo=config.keep_eo)
+    key = split_key(config.seed, [F.col(fv.ID), F.md5(record_text(distinct, ["en"]))])
     target = output_directory(config.output_dir, config.keep_eo)
-    with staged(prepared.withColumn(KEY, key), "prepared") as table:
-        assigned = assign_by_key(table, F.col(KEY), config.holdout).drop(KEY)
+    with staged(distinct.withColumn(KEY, key), "distinct-records") as table:
+        assigned = document_texts(assign_by_key(table, F.col(KEY), config.holdout).drop(KEY))
         write_datasets(split_frames(assigned), SET_NAMES, target)
     return target
 

@@ -60,27 +60,29 @@ def _distinct_texts(df: DataFrame) -> DataFrame:
     return keyed.drop(*texts, "__tie")
 
 
-def text_features(
+def distinct_records(
     df: DataFrame,
     languages: Mapping[str, LanguageConfig] | None = None,
+    keep_eo: bool = False,
     observation: Observation | None = None,
 ) -> DataFrame:
-    """Keyword lists, normalised descriptions, duplicate removal, document texts."""
+    """Keyword lists, normalised descriptions, duplicate removal; no document texts yet.
+
+    Earth-observation records go last, after duplicate removal: one of them may stand for a
+    group of equal texts, and then the whole group goes.
+    """
     df = lists_from_text(df, KEYWORDS)
     df = normalize_columns(df, [fv.P + "description"], languages, observation)
-    return document_texts(_distinct_texts(df))
+    df = _distinct_texts(df)
+    return df if keep_eo else drop_eo(df)
 
 
 def prepare_text(
     records: DataFrame, keep_eo: bool = False, observation: Observation | None = None
 ) -> DataFrame:
-    """Text preparation: 8 input columns, 6 added ones.
-
-    Earth-observation records go last, after duplicate removal: one of them may stand for a
-    group of equal texts, and then the whole group goes.
-    """
-    df = text_features(require_columns(records, fv.TEXT_COLUMNS), observation=observation)
-    return df if keep_eo else drop_eo(df)
+    """Text preparation: 8 input columns, 6 added ones."""
+    df = require_columns(records, fv.TEXT_COLUMNS)
+    return document_texts(distinct_records(df, keep_eo=keep_eo, observation=observation))
 
 
 def record_features(
@@ -144,5 +146,4 @@ def prepare_full(
     df = df.withColumn(
         fv.P + "foundational", themes.foundational(F.col(fv.P + "geo_theme"))
     )
-    df = text_features(df, observation=observation)
-    return df if keep_eo else drop_eo(df)
+    return document_texts(distinct_records(df, keep_eo=keep_eo, observation=observation))
