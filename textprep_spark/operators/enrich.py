@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from textprep_spark import fixed_values as fv
 from textprep_spark.functions.themes import append_tags
-from textprep_spark.operators.sizes import broadcast_if_small
+from textprep_spark.operators.sizes import BROADCAST_BYTES, broadcast_if_small, measured_bytes
 
 Lookup = tuple[DataFrame, Sequence[str] | None]
 
@@ -20,13 +20,8 @@ def _usable(lookup: DataFrame, allowed: Sequence[str] | None) -> DataFrame:
     return rows if allowed is None else rows.where(F.col("tag").isin(list(allowed)))
 
 
-def tags_per_record(lookups: Sequence[Lookup]) -> DataFrame:
-    """``(uuid, tags_0, tags_1, ...)``: sorted distinct usable tags of each ``(uuid, tag)`` lookup.
-
-    One aggregation for all lookups. Sets are built before the shuffle, so a record listed very
-    often costs each map task one set of its different tags.
-    """
-    stacked = reduce(
+def _stacked(lookups: Sequence[Lookup]) -> DataFrame:
+    return reduce(
         DataFrame.unionByName,
         [
             _usable(lookup, allowed).select("uuid", "tag", F.lit(i).alias("origin"))
@@ -34,10 +29,19 @@ def tags_per_record(lookups: Sequence[Lookup]) -> DataFrame:
         ],
     )
 
+
+def tags_per_record(lookups: Sequence[Lookup]) -> DataFrame:
+    """``(uuid, tags_0, tags_1, ...)``: sorted distinct usable tags of each ``(uuid, tag)`` lookup.
+
+    One aggregation for all lookups. Sets are built before the shuffle, so a record listed very
+    often costs each map task one set of its different tags.
+    """
+
     def tags_of(i: int) -> Column:
         return F.array_sort(F.collect_set(F.when(F.col("origin") == i, F.col("tag"))))
 
-    return stacked.groupBy("uuid").agg(*[tags_of(i).alias(f"tags_{i}") for i in range(len(lookups))])
+    names = [f"tags_{i}" for i in range(len(lookups))]
+    return _stacked(lookups).groupBy("uuid").agg(*[tags_of(i).alias(n) for i, n in enumerate(names)])
 
 
 def enrich(
@@ -53,7 +57,12 @@ def enrich(
     """
     if not lookups:
         return df
-    tags = broadcast_if_small(tags_per_record(lookups))
+    tags = tags_per_record(lookups)
+    # the rows themselves are the cheaper measure; repeats may make them much larger than the tags
+    if measured_bytes(_stacked(lookups)) <= BROADCAST_BYTES:
+        tags = F.broadcast(tags)
+    else:
+        tags = broadcast_if_small(tags)
     out = df.join(tags, df[key] == tags["uuid"], "left")
     for i in range(len(lookups)):
         out = out.withColumn(themes, append_tags(F.col(themes), F.col(f"tags_{i}")))

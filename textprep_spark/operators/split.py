@@ -4,7 +4,7 @@ Rows are ordered by ``md5(seed | identity)``; the first rows in that order are t
 next ones the eval set, the rest is for training. Sizes are exact because the two boundary rows
 are located by counting: a histogram over the next three hex digits of the key says which bucket
 holds each boundary, and only rows in those buckets are counted again, three digits deeper, until
-the boundary is a single key. A histogram has at most 4,096 rows per boundary, whatever the data
+the boundary falls between two buckets. A histogram has at most 4,096 rows per boundary, whatever the data
 size, and nothing else reaches the driver. Assigning a row is then a comparison with two strings:
 no shuffle, no join.
 """
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIGITS = 3
+HASH_DIGITS = 32
 KEY = "__split_key"
 
 
@@ -58,59 +59,71 @@ def split_sizes(total: int, holdout: float | int) -> Sizes:
 class _Boundary:
     """Locates the key of the row at a position by descending through histograms."""
 
-    def __init__(self, position: int) -> None:
+    def __init__(self, position: int, total: int, key_length: int) -> None:
         self.left = position  # rows of the current bucket that lie before the boundary
+        self.count = total  # rows in the current bucket
+        self.key_length = key_length
         self.prefix = ""
+        self.depth = DIGITS
         self.done = position <= 0
 
-    def descend(self, histogram: list[tuple[str, int]], key_length: int) -> None:
+    def descend(self, histogram: list[tuple[str, int]]) -> None:
+        """Go on into the bucket of ``histogram`` that holds the boundary."""
         for digits, count in histogram:
             if self.left < count:
-                self.prefix = digits
-                self.done = self.left == 0
-                if not self.done and len(digits) >= key_length:
-                    raise ValueError(
-                        f"{count} rows share one split key across a boundary; pass columns that "
-                        "tell rows apart as the identity"
-                    )
+                self._enter(digits, count)
                 return
             self.left -= count
         # past the last row: nothing lies behind the boundary
         self.prefix, self.done = "g", True
 
-
-def _histogram(keys: DataFrame, prefixes: Sequence[str], depth: int) -> dict[str, list]:
-    within = F.lit(False)
-    for prefix in prefixes:
-        within = within | F.startswith(F.col(KEY), F.lit(prefix))
-    rows = (
-        keys.where(within)
-        .groupBy(F.substring(KEY, 1, depth).alias("digits"))
+    def _enter(self, digits: str, count: int) -> None:
+        # Rows that still agree when three more digits are looked at are copies with one
+        # identity: go straight behind it.
+        copies = bool(self.prefix) and count == self.count
+        behind = (len(digits) // HASH_DIGITS + 1) * HASH_DIGITS + DIGITS
+        self.prefix, self.count = digits, count
+        self.depth = min(behind if copies else len(digits) + DIGITS, self.key_length)
+        self.done = self.left == 0
+        if not self.done and len(digits) >= self.key_length:
+            raise ValueError(
+                f"{count} rows share one split key across a boundary; pass columns that tell "
+                "rows apart as the identity"
+            )
+
+
+def _histograms(keys: DataFrame, bounds: Sequence[_Boundary]) -> list[list[tuple[str, int]]]:
+    """For every boundary, its bucket's rows counted by the digits it looks at next."""
+    wanted = {b.prefix: b.depth for b in bounds}
+    inside = {p: F.startswith(F.col(KEY), F.lit(p)) for p in wanted}
+    digits = F.coalesce(*[F.when(inside[p], F.substring(KEY, 1, d)) for p, d in wanted.items()])
+    counted = (
+        keys.select(digits.alias("digits"))
+        .where(F.col("digits").isNotNull())
+        .groupBy("digits")
         .agg(F.count(F.lit(1)).alias("n"))
         .collect()
     )
-    pairs = sorted((r["digits"], r["n"]) for r in rows)
-    return {p: [x for x in pairs if x[0].startswith(p)] for p in prefixes}
+    pairs = sorted((r["digits"], r["n"]) for r in counted)
+    return [[x for x in pairs if x[0].startswith(b.prefix)] for b in bounds]
 
 
 def _thresholds(keys: DataFrame, holdout: float | int, key_length: int) -> tuple[str, str]:
-    first = _histogram(keys, [""], DIGITS)[""]
+    first = _histograms(keys, [_Boundary(1, 0, key_length)])[0]
     sizes = split_sizes(sum(n for _, n in first), holdout)
-    bounds = [_Boundary(sizes.test), _Boundary(sizes.test + sizes.eval)]
-    for b in bounds:
-        if not b.done:
-            b.descend(first, key_length)
-    depth = DIGITS
-    while open_bounds := [b for b in bounds if not b.done]:
-        depth = min(depth + DIGITS, key_length)
-        deeper = _histogram(keys, sorted({b.prefix for b in open_bounds}), depth)
-        for b in open_bounds:
-            b.descend(deeper[b.prefix], key_length)
+    ends = (sizes.test, sizes.test + sizes.eval)
+    bounds = [_Boundary(end, sizes.total, key_length) for end in ends]
+    open_bounds, histograms = [b for b in bounds if not b.done], [first, first]
+    while open_bounds:
+        for b, histogram in zip(open_bounds, histograms):
+            b.descend(histogram)
+        open_bounds = [b for b in open_bounds if not b.done]
+        histograms = _histograms(keys, open_bounds) if open_bounds else []
     return bounds[0].prefix, bounds[1].prefix
 
 
 def assign_by_key(
-    df: DataFrame, key: Column, holdout: float | int = 0.1, key_length: int = 32
+    df: DataFrame, key: Column, holdout: float | int = 0.1, key_length: int = HASH_DIGITS
 ) -> DataFrame:
     """``df`` with a ``split`` column: ``train``, ``eval`` or ``test``, by order of ``key``.
 
@@ -139,7 +152,7 @@ def assign_split(
     key = split_key(seed, list(identity or df.columns))
     if not tie_break:
         return assign_by_key(df, key, holdout)
-    return assign_by_key(df, F.concat(key, split_key(seed, list(tie_break))), holdout, 64)
+    return assign_by_key(df, F.concat(key, split_key(seed, list(tie_break))), holdout, 2 * HASH_DIGITS)
 
 
 def split_frames(assigned: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
