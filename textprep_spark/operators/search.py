@@ -31,6 +31,7 @@ from textprep_spark.operators.sizes import measured_bytes
 from textprep_spark.shipping import ship
 
 BLOCK_BYTES = 64 * 1024 * 1024
+FEW = 2000  # vectors read at once, before anything is measured; their length is a model's dimension
 SCORE_DIGITS = 9  # scores are compared after rounding, so that summation order cannot decide ranks
 
 _CELLS = 4_000_000  # scores held at once per worker: bounds memory whatever the batch size
@@ -161,17 +162,20 @@ def _result_schema(queries: DataFrame, corpus: DataFrame) -> T.StructType:
     )
 
 
-def _hold(df: DataFrame, id_column: str):
-    """The measured block ``df`` as a broadcast ``(ids, matrix)``, ids ascending."""
-    block = df.toArrow().sort_by(id_column).combine_chunks()
-    ids = pa.concat_arrays(block[id_column].chunks) if len(block) else None
-    vectors = _matrix(pa.concat_arrays(block["embedding"].chunks)) if len(block) else None
-    return df.sparkSession.sparkContext.broadcast((ids, vectors))
+def _block(rows: pa.Table, id_column: str) -> tuple[pa.Array, np.ndarray] | tuple[None, None]:
+    """``(ids, matrix)`` of a block of vectors, ids ascending."""
+    if not len(rows):
+        return None, None
+    rows = rows.sort_by(id_column)
+    ids, vectors = (pa.concat_arrays(rows[c].chunks) for c in (id_column, "embedding"))
+    return ids, _matrix(vectors)
 
 
-def _stream_corpus(queries: DataFrame, corpus: DataFrame, k: int, metric: str) -> DataFrame:
-    """Best documents per task; the caller ranks them over all tasks."""
-    held = _hold(queries, "query_id")
+def _stream_corpus(
+    block: pa.Table, queries: DataFrame, corpus: DataFrame, k: int, metric: str
+) -> DataFrame:
+    """Best documents per task for a block of the queries; the caller ranks over all tasks."""
+    held = corpus.sparkSession.sparkContext.broadcast(_block(block, "query_id"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, q = held.value
@@ -196,7 +200,7 @@ def _stream_corpus(queries: DataFrame, corpus: DataFrame, k: int, metric: str) -
 
 def _stream_queries(queries: DataFrame, corpus: DataFrame, k: int, metric: str) -> DataFrame:
     """Complete, ranked results: every query meets the whole corpus within its batch."""
-    held = _hold(corpus, "doc_id")
+    held = queries.sparkSession.sparkContext.broadcast(_block(corpus.toArrow(), "doc_id"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc_ids, c = held.value
@@ -262,20 +266,27 @@ def top_k(
         raise ValueError("k must be at least 1")
     ship(queries.sparkSession)
     queries, corpus = _vector_rows(queries, "query_id"), _vector_rows(corpus, "doc_id")
-    # Measured and then read: kept in between, since the vectors may come out of a model.
+    few = _few_rows(queries, block_bytes)
+    if few is not None:
+        return _ranked(_stream_corpus(few, queries, corpus, k, metric), k)
     with _kept(queries):
-        query_bytes = _vector_bytes(queries)
-        if query_bytes <= block_bytes:
-            return _ranked(_stream_corpus(queries, corpus, k, metric), k)
-        if _vector_bytes(corpus) > block_bytes:
-            blocks = _query_blocks(queries, query_bytes, block_bytes)
-            passes = [_stream_corpus(block, corpus, k, metric) for block in blocks]
-            return _ranked(reduce(DataFrame.unionByName, passes), k)
-    return _stream_queries(queries, corpus, k, metric)
+        size = _vector_bytes(queries)
+        if size > block_bytes and _vector_bytes(corpus) <= block_bytes:
+            return _stream_queries(queries, corpus, k, metric)
+        blocks = (b.toArrow() for b in _query_blocks(queries, size, block_bytes))
+        passes = [_stream_corpus(b, queries, corpus, k, metric) for b in blocks]
+    return _ranked(reduce(DataFrame.unionByName, passes), k)
+
+
+def _few_rows(queries: DataFrame, block_bytes: int) -> pa.Table | None:
+    """The queries themselves when they are few and fit a block: the usual case, in one job."""
+    rows = queries.limit(FEW + 1).toArrow()
+    return rows if len(rows) <= FEW and rows.nbytes <= block_bytes else None
 
 
 @contextmanager
 def _kept(df: DataFrame) -> Iterator[None]:
+    """Keeps what is measured first and read afterwards: it may come out of a model."""
     df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield
@@ -285,7 +296,9 @@ def _kept(df: DataFrame) -> Iterator[None]:
 
 def _query_blocks(queries: DataFrame, total: int, block_bytes: int) -> list[DataFrame]:
     """Disjoint blocks of the queries by hash of their id, about half full on average."""
-    n = max(2, -(-2 * total // block_bytes))
+    if total <= block_bytes:
+        return [queries]
+    n = -(-2 * total // block_bytes)
     block = F.pmod(F.xxhash64("query_id"), F.lit(n))
     return [queries.where(block == i) for i in range(n)]
 
@@ -306,17 +319,18 @@ def keyword_first(
     queries = queries.select("query_id", "text").where(F.col("text").isNotNull())
     corpus = corpus.select("doc_id", "text").where(F.col("text").isNotNull())
     with _kept(queries):
-        total = measured_bytes(queries)
-        blocks = [queries] if total <= block_bytes else _query_blocks(queries, total, block_bytes)
-        found = reduce(DataFrame.unionByName, [_first_matches(b, corpus, k) for b in blocks])
+        blocks = _query_blocks(queries, measured_bytes(queries), block_bytes)
+        passes = [_first_matches(b.toArrow(), queries, corpus, k) for b in blocks]
+    found = reduce(DataFrame.unionByName, passes)
     w = Window.partitionBy("query_id").orderBy("doc_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _first_matches(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    rows = queries.toArrow().to_pylist()
-    held = queries.sparkSession.sparkContext.broadcast(
-        [(r["query_id"], sorted(set(r["text"].lower().split()), key=len)) for r in rows]
+def _first_matches(
+    block: pa.Table, queries: DataFrame, corpus: DataFrame, k: int
+) -> DataFrame:
+    held = corpus.sparkSession.sparkContext.broadcast(
+        [(r["query_id"], sorted(set(r["text"].lower().split()), key=len)) for r in block.to_pylist()]
     )
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
