@@ -275,3 +275,24 @@ def test_evaluation_end_to_end(spark):
     assert row["keyword_acc_at_k"] == pytest.approx(1 / 3)
     top = {r["query_id"]: r["top_ids"] for r in result.predictions.collect()}
     assert top[2][:2] == ["r4", "r2"] and len(top) == 3
+
+
+def test_evaluation_of_files(spark, tmp_path):
+    from textprep_spark import fixed_values as fv
+    from textprep_spark.plans.evaluate import evaluate_files
+
+    def word_model():
+        return lambda texts: np.array([[t.lower().count(w) + 0.01 for w in ("lake", "river")] for t in texts])
+
+    parts = [fv.ID] + [f"{fv.P}{p}_en" for p in ("title", "description", "keywords")]
+    rows = [("r1", "Lake", None, "a"), ("r2", "River", "wide", "b"), ("r3", "Both", "lake river", "c")]
+    records = str(tmp_path / "records.parquet")
+    spark.createDataFrame(rows, ", ".join(f"{c} string" for c in parts)).write.parquet(records)
+    labels = tmp_path / "labels.csv"
+    labels.write_bytes("query,query-fr,doc_id\nlake,wide,r1\nlake,wide,r1\nriver,forêt,r2\nx,y,\n".encode("latin-1"))
+    metrics = evaluate_files(spark, str(labels), records, str(tmp_path), word_model, "some/words", k=1).first()
+    assert metrics["labelled"] == 3
+    assert metrics["acc_at_k"] == metrics["mrr_at_k"] == 1.0
+    assert metrics["keyword_acc_at_k"] == 0.0
+    written = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "predicted_words"))
+    assert sorted(tuple(r) for r in written.collect()) == [("r1", '["r1"]'), ("r1", '["r1"]'), ("r2", '["r2"]')]

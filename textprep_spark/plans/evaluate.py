@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textprep_spark import fixed_values as fv
+from textprep_spark.functions.documents import plain_record_text
 from textprep_spark.operators.infer import BATCH_SIZE, Loader, embed_texts
 from textprep_spark.operators.metrics import (
     accuracy,
@@ -15,6 +17,8 @@ from textprep_spark.operators.metrics import (
     predictions,
 )
 from textprep_spark.operators.search import keyword_first, top_k
+from textprep_spark.sources.readers import read_label_queries, read_table
+from textprep_spark.sources.writers import write_predictions
 
 
 @dataclass(frozen=True)
@@ -66,3 +70,35 @@ def evaluate_search(
         F.count(F.lit(1)).alias("labelled"),
     )
     return Evaluation(metrics, predictions(hits, labels))
+
+
+def label_queries(labels: DataFrame) -> DataFrame:
+    """``(query_id, query, query_fr, doc_id)`` of a label table; equal rows get ids of their own."""
+    rows = labels.select("query", F.col("query-fr").alias("query_fr"), "doc_id")
+    content = rows.withColumn("__row", F.md5(F.to_json(F.struct("*"))))
+    w = Window.partitionBy("__row").orderBy("__row")
+    numbered = content.withColumn("query_id", F.concat_ws("-", "__row", F.row_number().over(w)))
+    return numbered.select("query_id", "query", "query_fr", "doc_id")
+
+
+def evaluate_files(
+    spark: SparkSession,
+    labels_path: str,
+    records_path: str,
+    output_dir: str,
+    load: Loader,
+    model: str,
+    language: str = "en",
+    k: int = 5,
+) -> DataFrame:
+    """Evaluate ``model`` on a label CSV and a record table; writes the predictions.
+
+    Returns the one-row metrics. Records are searched by their plain text in ``language``.
+    """
+    records = read_table(spark, records_path).select(
+        F.col(fv.ID).alias("doc_id"), plain_record_text(language).alias("text")
+    )
+    queries = label_queries(read_label_queries(spark, labels_path))
+    result = evaluate_search(queries, records, load, k, model=model)
+    write_predictions(result.predictions, output_dir, model)
+    return result.metrics

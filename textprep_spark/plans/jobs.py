@@ -1,6 +1,6 @@
 """Batch jobs for ``spark-submit``.
 
-    spark-submit --py-files textprep_spark.zip -m textprep_spark.plans.jobs \
+    spark-submit --py-files textprep_spark.zip textprep_spark/plans/jobs.py \
         --input-dir <dir> --output-dir <dir> [--holdout 0.1] [--seed 42] [--keep-eo]
 """
 
