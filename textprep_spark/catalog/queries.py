@@ -490,7 +490,8 @@ def prepare_text_keep_eo(spark: SparkSession, d: str) -> DataFrame:
     + _split_sql("prepared", f"{fv.ID}", fv.ID).rsplit("\nselect ", 1)[1]
 )
 def prepare_text_split(spark: SparkSession, d: str) -> DataFrame:
-    # counting reads the ids several times: from a table, not from the plan that finds them
+    # Counting reads the ids several times: from a table, not from the plan that finds them. The
+    # result is read later still, so the table stays for the checkpoint folder's own clean-up.
     prepared, _ = stage(prepare_text(records(spark, d)).select(fv.ID), "prepared-ids")
     return assign_split(prepared, 0.1, 42, [fv.ID])
 
