@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
 
@@ -25,9 +26,10 @@ from pyspark import Broadcast
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from textprep_spark.llm.common import bound_batches
 from textprep_spark.shipping import ship
 
-CACHED = 1 << 18  # words and pieces a Python worker remembers, each; then it starts afresh
+CACHED = 300_000  # words and pieces a Python worker remembers, each; then those not just met go
 CACHED_CHARS = 64  # longer ones are not remembered
 WIDTHS = (8, 16, 32, 64)  # pieces up to these lengths are merged many at a time
 
@@ -96,6 +98,10 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+def _packed(ids) -> bytes:
+    return np.asarray(ids, dtype=np.int32).tobytes()
+
+
 class PairRanks:
     """Ranks of pairs of ids, for many pairs at once."""
 
@@ -121,8 +127,8 @@ class PairRanks:
 
 def merge_pieces(
     pieces: list[bytes], width: int, of_byte: np.ndarray, ranks: PairRanks
-) -> list[list[int]]:
-    """The ids of many pieces of 2 to ``width`` bytes (a power of two), by one segment tree each.
+) -> list[bytes]:
+    """The packed ids of many pieces of 2 to ``width`` bytes (a power of two), by one segment tree each.
 
     The same as ``merge_piece``, one merge of every unfinished piece per round.
     """
@@ -177,8 +183,8 @@ def merge_pieces(
         here = after[rows, here]
         open_ = here < length[rows]
         rows, here = rows[open_], here[open_]
-    ids = token[starts].tolist()
-    ends = np.cumsum(starts.sum(axis=1)).tolist()
+    ids = _packed(token[starts])
+    ends = (4 * np.cumsum(starts.sum(axis=1))).tolist()
     return [ids[a:b] for a, b in zip([0, *ends], ends)]
 
 
@@ -202,8 +208,8 @@ class Codec:
         self.bytes = {i: token for token, i in ranks.items()}
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self.pairs = PairRanks(ranks)
-        self.words: dict[str, list[int]] = {}  # between two cuts
-        self.pieces: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}  # between two cuts
+        self.pieces: dict[str, bytes] = {}
 
     def _learn(self, pieces: set[str]) -> None:
         """Merge pieces that are not remembered, short ones many at a time."""
@@ -212,7 +218,7 @@ class Codec:
             raw = piece.encode()
             width = next((w for w in WIDTHS if len(raw) <= w), None)
             if width is None or raw in self.ranks:
-                self.pieces[piece] = merge_piece(raw, self.ranks)
+                self.pieces[piece] = _packed(merge_piece(raw, self.ranks))
             else:
                 short[width].append(piece)
         for width, some in short.items():
@@ -223,30 +229,30 @@ class Codec:
                 )
                 self.pieces.update(zip(part, merged))
 
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.words) > CACHED:
-            self.words.clear()
-        if len(self.pieces) > CACHED:
-            self.pieces.clear()
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as 4-byte integers in a row."""
         cut = [self.chunks(t) for t in texts]
-        new = set(chain.from_iterable(cut)).difference(self.words)
+        met = set(chain.from_iterable(cut))
+        if len(self.words) > CACHED:
+            self.words = {c: self.words[c] for c in met.intersection(self.words)}
+        new = met.difference(self.words)
         found = {chunk: self.find(chunk) for chunk in new}
-        pieces = set(chain.from_iterable(found.values())).difference(self.pieces)
+        met = set(chain.from_iterable(found.values()))
+        if len(self.pieces) > CACHED:
+            self.pieces = {p: self.pieces[p] for p in met.intersection(self.pieces)}
+        pieces = met.difference(self.pieces)
         self._learn(pieces)
-        of_piece, of_word = self.pieces.__getitem__, self.words
+        of_piece, words = self.pieces.__getitem__, self.words
         for chunk, parts in found.items():
-            of_word[chunk] = list(chain.from_iterable(map(of_piece, parts)))
-        out = [
-            np.fromiter(chain.from_iterable(map(of_word.__getitem__, chunks)), dtype=np.int32)
-            for chunks in cut
-        ]
+            words[chunk] = b"".join(map(of_piece, parts))
+        out = [b"".join(map(words.__getitem__, chunks)) for chunks in cut]
         for known, added in ((self.words, new), (self.pieces, pieces)):
             for long in [x for x in added if len(x) > CACHED_CHARS]:
                 del known[long]
         return out
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_all([text])[0].tolist()
+        return np.frombuffer(self.encode_all([text])[0], dtype=np.int32).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -269,39 +275,59 @@ def _groups(texts: list[str]) -> Iterator[list[str]]:
     yield group
 
 
-def _list_array(lists: list[np.ndarray]) -> pa.Array:
-    offsets = np.zeros(len(lists) + 1, dtype=np.int32)
-    np.cumsum([len(x) for x in lists], out=offsets[1:])
-    flat = np.concatenate(lists) if lists else np.empty(0, dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
+def _list_array(packed: list[bytes]) -> pa.Array:
+    offsets = np.zeros(len(packed) + 1, dtype=np.int32)
+    np.cumsum([len(x) // 4 for x in packed], out=offsets[1:])
+    flat = np.frombuffer(b"".join(packed), dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
+
+def _decoded(codec: Codec, ids: pa.Array) -> pa.Array:
+    flat = ids.flatten().to_numpy()
+    ends = np.cumsum(ids.value_lengths().fill_null(0).to_numpy())
+    return pa.array(
+        [codec.decode(flat[a:b].tolist()) for a, b in zip([0, *ends], ends)], pa.binary()
+    )
 
 
-def byte_bpe(
-    spark: SparkSession, vocabulary: str, pattern: str
-) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
-    """Column functions ``encode(text) -> array<int>`` and ``decode(ids) -> binary``.
+@dataclass(frozen=True)
+class ByteBpe:
+    """Column functions; make one with ``byte_bpe``.
 
-    The driver reads the vocabulary file and broadcasts its ranks: a file of fixed size, so the
-    executors need no copy of it. Ids that the vocabulary lacks make ``decode`` fail.
+    ``encode(text) -> array<int>``, ``decode(ids) -> binary``, and ``round_trip(text)``, a struct
+    of the ids and the bytes that decoding them gives, for one pass through Python.
+    """
+
+    encode: Callable[[Column], Column]
+    decode: Callable[[Column], Column]
+    round_trip: Callable[[Column], Column]
+
+
+def byte_bpe(spark: SparkSession, vocabulary: str, pattern: str) -> ByteBpe:
+    """The codec of a vocabulary file and of the pattern that cuts texts into pieces.
+
+    The driver reads the file and broadcasts its ranks, whose number is fixed, so the executors
+    need no copy of it. Ids that the vocabulary lacks make ``decode`` fail.
     """
     ship(spark)
+    bound_batches(spark)
     content = spark.sparkContext.broadcast(read_ranks(vocabulary))
 
-    @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
         codec, out = _codec(content, pattern), []
         for group in _groups([t or "" for t in texts.to_pylist()]):
             out += codec.encode_all(group)
         return _list_array(out)
 
-    @F.arrow_udf("binary")
     def decode(ids: pa.Array) -> pa.Array:
-        codec, flat = _codec(content, pattern), ids.flatten().to_numpy()
-        ends = np.cumsum(ids.value_lengths().fill_null(0).to_numpy())
-        return pa.array(
-            [codec.decode(flat[a:b].tolist()) for a, b in zip([0, *ends], ends)], pa.binary()
-        )
-
-    # not deterministic only in name: else the optimizer may run it again for each use of its ids
-    encode = encode.asNondeterministic()
-    return encode, decode
+        return _decoded(_codec(content, pattern), ids)
+
+    def round_trip(texts: pa.Array) -> pa.Array:
+        ids = encode(texts)
+        return pa.StructArray.from_arrays([ids, decode(ids)], names=["ids", "decoded"])
+
+    return ByteBpe(
+        F.arrow_udf(encode, "array<int>"),
+        F.arrow_udf(decode, "binary"),
+        F.arrow_udf(round_trip, "struct<ids:array<int>,decoded:binary>"),
+    )

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textprep_spark.llm import bpe
+from textprep_spark.llm import bpe, quality_rules
 from textprep_spark.llm.common import sha256_hex, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,19 +35,29 @@ def _query(sql: str | None = None):
     return register
 
 
+@_query()
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality_rules.fit(documents, table(spark, sf_dir, "labels"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return quality_rules.apply_rules(documents, rules).select(
+        "doc_id", *[F.col("stats")[c].alias(c) for c in counts], "base_failed", "rule", "kept"
+    )
+
+
 @_query()
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    encode, decode = bpe.byte_bpe(
+    codec = bpe.byte_bpe(
         spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     )
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = documents.select("doc_id", encode("text").alias("ids"))
-    both = ids.withColumn("decoded", decode("ids"))
-    return both.select(
+    coded = documents.select("doc_id", codec.round_trip("text").alias("coded"))
+    ids = F.col("coded.ids")
+    return coded.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        sha256_hex(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.size(ids).cast("long").alias("n_tokens"),
+        sha256_hex(F.array_join(ids.cast("array<string>"), ",")).alias("ids_sha256"),
+        F.sha2("coded.decoded", 256).alias("decoded_sha256"),
     )
