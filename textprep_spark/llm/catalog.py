@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textprep_spark.llm import bpe, chat, mixing, quality_rules, url_filter
+from textprep_spark.llm import bpe, chat, mixing, pii, quality_rules, url_filter
 from textprep_spark.llm.common import LOWER, UPPER, sha256_hex, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,6 +106,19 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query()
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_spans(documents).select("doc_id", "spans")
+    spans = F.col("spans")
+    return found.select(
+        "doc_id",
+        *[F.size(pii.of_kind(spans, k)).cast("long").alias(f"n_{k}") for k in pii.BASE],
+        sha256_hex(pii.joined(pii.of_kind(spans, *pii.BASE))).alias("base_sha256"),
+        pii.joined(spans).alias("spans"),
+    )
+
+
 @_query()
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
