@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textprep_spark.llm import bpe, chat, mixing, pii, quality_rules, url_filter
+from textprep_spark.llm import bpe, chat, mixing, near_dedup, pii, quality_rules, url_filter
 from textprep_spark.llm.common import LOWER, UPPER, sha256_hex, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,6 +106,46 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+COMPONENTS_SQL = """
+reach(node, other) as (
+  select node, node from nodes
+  union
+  select r.node, l.b from reach r join both_ways l on l.a = r.other
+), component as (
+  select node, min(other) as component_id from reach group by node
+)
+"""
+
+NEAR_SQL = f"""
+with recursive worded as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+    '[^\\x20\\x09-\\x0D]+') as words from documents
+), shingled as materialized (
+  select doc_id, case when len(words) = 0 then []
+    when len(words) < 5 then [array_to_string(words, ' ')]
+    else list_distinct(list_transform(range(1, len(words) - 3),
+      lambda i: array_to_string(words[i:i + 4], ' '))) end as shingles from worded
+), tokens as materialized (
+  select doc_id, unnest(shingles) as shingle from shingled
+), common as (
+  select a.doc_id as a, b.doc_id as b, count(*) as n
+  from tokens a join tokens b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by 1, 2
+), both_ways as materialized (
+  select c.a, c.b from common c join shingled x on x.doc_id = c.a join shingled y on y.doc_id = c.b
+  where 100 * c.n >= 75 * (len(x.shingles) + len(y.shingles) - c.n)
+), nodes as (select doc_id as node from shingled),
+{COMPONENTS_SQL}
+select s.doc_id, len(s.shingles)::bigint as n_shingles, c.component_id,
+  s.doc_id = c.component_id as kept
+from shingled s join component c on c.node = s.doc_id
+"""
+
+
+@_query(NEAR_SQL)
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @_query()
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
