@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textprep_spark.llm import bpe, chat, mixing, near_dedup, pii, quality_rules, url_filter
+from textprep_spark.llm import bpe, chat, line_dedup, mixing, near_dedup, pii, quality_rules, url_filter
 from textprep_spark.llm.common import LOWER, UPPER, sha256_hex, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -227,3 +227,60 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     host, path = url_filter.url_parts(F.col("url"))
     listed = pages.where(F.contains("html", F.lit(JUNK))).select(F.concat(host, path).alias("key"))
     return url_filter.judge(pages.select("page_id", "url"), URL_RULES, listed)
+
+
+LINES_SQL = r"""
+with recursive raw as (
+  select doc_id, string_split(text, chr(10)) as parts from documents
+), lines as materialized (
+  select doc_id, place, parts[place + 1] as line from (
+    select doc_id, parts, unnest(range(len(parts))) as place from raw)
+), worded as materialized (
+  select *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') as words from lines
+), classes as materialized (
+  select line, min((doc_id, place)) as first, any_value(words) as words,
+    row_number() over (order by min((doc_id, place))) as node
+  from worded where len(words) > 0 group by line
+), sets as materialized (
+  select node, case when len(words) < 5 then [array_to_string(words, ' ')]
+    else list_distinct(list_transform(range(1, len(words) - 3),
+      lambda i: array_to_string(words[i:i + 4], ' '))) end as tokens from classes
+), tokens as materialized (
+  select node, unnest(tokens) as token from sets
+), common as (
+  select a.node as a, b.node as b, count(*) as n
+  from tokens a join tokens b on a.token = b.token and a.node <> b.node group by 1, 2
+), both_ways as materialized (
+  select c.a, c.b from common c join sets x on x.node = c.a join sets y on y.node = c.b
+  where 4 * c.n >= 3 * (len(x.tokens) + len(y.tokens) - c.n)
+), reach(node, other) as (
+  select a, a from both_ways
+  union
+  select r.node, l.b from reach r join both_ways l on l.a = r.other
+), later as (
+  select node from reach group by node having min(other) < node
+), kept as materialized (
+  select first from classes where node not in (select node from later)
+), marked as (
+  select w.doc_id, w.place, w.line, len(w.words) > 0 as has_words,
+    len(w.words) = 0 or k.first is not null as stays
+  from worded w left join kept k on k.first = (w.doc_id, w.place)
+)
+select doc_id, sum(has_words::int)::bigint as n_lines, sum((not stays)::int)::bigint as n_removed,
+  sha256(coalesce(string_agg(line, chr(10) order by place) filter (where stays), ''))
+    as text_sha256
+from marked group by doc_id
+union all
+select doc_id, 0, 0, null from documents where text is null
+"""
+
+
+@_query(LINES_SQL)
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(documents).select(
+        "doc_id",
+        F.greatest(F.col("__lines"), F.lit(0)).cast("long").alias("n_lines"),
+        F.col("__removed").cast("long").alias("n_removed"),
+        sha256_hex(F.col("text")).alias("text_sha256"),
+    )
