@@ -263,10 +263,11 @@ def fit(
     texts = documents.select("doc_id", "text")
     found = texts.join(F.broadcast(sample), texts.doc_id == sample.labelled_id)
     counted = found.select("order", "label", text_stats(found).alias("stats"))
-    counted = counted.where(~base_failed(F.col("stats")))
     of = features(F.col("stats"))
-    rows = counted.select("order", "label", *[c.alias(n) for n, c in of.items()]).toPandas()
+    failed = base_failed(F.col("stats")).alias("failed")
+    rows = counted.select("order", "label", failed, *[c.alias(n) for n, c in of.items()]).toPandas()
     names = list(of)
+    rows = rows[~rows["failed"]]  # here, as a filter would be pushed below the join with its counts
     rows = rows.sort_values(["order", "label", *names], kind="stable")
     bad = (rows["label"] == bad_label).to_numpy(dtype=bool)
     x = rows[names].to_numpy(dtype=float)
