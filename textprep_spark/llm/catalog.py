@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textprep_spark.llm import bpe, chat, line_dedup, mixing, near_dedup, pii, quality_rules, url_filter
+from textprep_spark.llm import bpe, chat, embedding_dedup, line_dedup, mixing, near_dedup, ordinal, pii, quality_rules, url_filter
 from textprep_spark.llm.common import LOWER, UPPER, sha256_hex, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -165,6 +165,16 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+@_query()
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rated = table(spark, sf_dir, "labels")  # 0: poor, 1: sound but toxic, 2: sound
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
+    rated = rated.where("quality is not null and toxic is not null")
+    model = ordinal.fit(documents, rated.select("doc_id", grade.alias("grade")))
+    return ordinal.grade(documents, model)
+
+
 @_query()
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
@@ -284,3 +294,26 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("__removed").cast("long").alias("n_removed"),
         sha256_hex(F.col("text")).alias("text_sha256"),
     )
+
+
+VECTORS_SQL = f"""
+with recursive usable as materialized (
+  select vec_id, embedding::double[] as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), both_ways as materialized (
+  select a.vec_id as a, b.vec_id as b from usable a join usable b
+  on a.vec_id <> b.vec_id and len(a.v) = len(b.v) and list_cosine_similarity(a.v, b.v) >= 0.95
+), nodes as (select vec_id as node from embeddings),
+{COMPONENTS_SQL}
+select e.vec_id, (select count(*) from both_ways w where w.a = e.vec_id) as n_links,
+  c.component_id, e.vec_id = c.component_id as kept
+from embeddings e join component c on c.node = e.vec_id
+"""
+
+
+@_query(VECTORS_SQL)
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(
+        table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    )
