@@ -30,8 +30,8 @@ from textprep_spark.shipping import ship
 
 SAMPLE_ROWS = 8000
 SPARED = 0.002  # of the best-graded held-out documents may fall below the cut
-MIN_TEXTS = 6  # of the sample, that a word must stand in to get a weight
-DECAY = 3e-3
+MIN_TEXTS = 10  # of the sample, that a word must stand in to get a weight
+DECAY = 1e-3
 STEPS, RATE = 150, 0.1
 CACHED_WORDS = 300_000
 EDGES = b".,;:!?\"'()[]|#*$%&<>"
