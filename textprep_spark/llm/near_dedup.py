@@ -12,10 +12,11 @@ id; only representatives go on.
 3. Survivors are confirmed on their full sets.
 
 Buckets can hold a third of all rows, so their pairs are never listed. Each member is first
-compared with the bucket's least member only. Afterwards most buckets lie within one component and
-need nothing more; in the others, members of different components are compared block by block, two
-blocks of some hundred signatures in a task, which returns survivors only. Every pair of a bucket is
-so either compared or known to be connected, and no link between components is lost.
+compared with the bucket's least member only, in the first ``FIRST_BANDS`` bands, then, if the two
+are not connected by that, in the others. Afterwards most buckets lie within one component and need
+nothing more; in the others, members of different components are compared block by block, two
+blocks of some hundred members in a task, which returns links only. Every pair of a bucket is so
+either compared or known to be connected, and no link between components is lost.
 
 Documents without words, null or empty, have empty sets and link with nothing. A null doc_id links
 with nothing, too. Repeated rows of a document are rows of one class. Empty tables give an empty
@@ -41,9 +42,11 @@ SHINGLE = 5
 PERCENT = 75  # similarity of a link, at least
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
+FIRST_BANDS = 4
 BATCH = 32  # hashes compared at a time
-MISS = 1e-5  # posterior probability below which a candidate is dropped
+MISS = 1e-4  # posterior probability below which a candidate is dropped
 BLOCK = 256  # members of a bucket compared at a time
+BROADCAST_IDS = 2_000_000  # ids of texts to read again that are broadcast, at most
 CACHED_WORDS = 400_000
 
 
@@ -126,14 +129,19 @@ def least_matches(miss: float = MISS) -> list[int]:
     ]
 
 
-def _survive(compare: Callable[[np.ndarray, int, int], np.ndarray], pairs: int) -> np.ndarray:
-    """The numbers of the pairs that no batch drops; ``compare`` counts their matches in a batch."""
+def _survive(
+    compare: Callable[[np.ndarray, int, int], np.ndarray], pairs: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the pairs that no batch drops, and how many hashes of theirs match.
+
+    ``compare`` counts matches in a batch.
+    """
     left, matches = np.arange(pairs), np.zeros(pairs, dtype=np.int64)
     for i, least in enumerate(least_matches()):
         matches += compare(left, i * BATCH, (i + 1) * BATCH)
         going = matches >= least
         left, matches = left[going], matches[going]
-    return left
+    return left, matches
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -167,8 +175,11 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = band_keys(_matrix(batch["signature"])).ravel()
         rows = np.repeat(np.arange(batch.num_rows), BANDS)
-        ids = batch["doc_id"].take(pa.array(rows))
-        yield pa.RecordBatch.from_arrays([pa.array(keys), ids], names=["key", "doc_id"])
+        bands = np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys), pa.array(bands), batch["doc_id"].take(pa.array(rows))],
+            names=["key", "band", "doc_id"],
+        )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +193,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = _matrix(batch["sig_a"]), _matrix(batch["sig_b"])
-        left = _survive(
+        left, _ = _survive(
             lambda rows, i, j: (a[rows, i:j] == b[rows, i:j]).sum(axis=1), batch.num_rows
         )
         yield batch.select(["a", "b"]).take(pa.array(left))
@@ -199,10 +210,15 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(block: pa.Table) -> pa.Table:
-    """Promising pairs of different components in two blocks of a bucket."""
+    """Links between different components in two blocks of a bucket, as far as they connect more.
+
+    Promising pairs are confirmed on their sets, the most promising first; pairs that a link
+    found here connects are left out.
+    """
     ids, of = block["doc_id"].to_numpy(), block["component"].to_numpy()
     second = block["second"].to_numpy()
     signatures = _matrix(block["signature"].combine_chunks())
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in block["shingles"].to_pylist()]
     same = bool(block["same"][0].as_py())
     left, right = np.flatnonzero(~second), np.flatnonzero(second)
     if same:
@@ -211,12 +227,26 @@ def _across(block: pa.Table) -> pa.Table:
     i, j = left[i], right[j]
     if same:
         i, j = i[i < j], j[i < j]
-    found = _survive(
+    found, matches = _survive(
         lambda rows, x, y: (signatures[i[rows], x:y] == signatures[j[rows], x:y]).sum(axis=1),
         len(i),
     )
-    a, b = ids[i[found]], ids[j[found]]
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    found = found[np.argsort(-matches, kind="stable")]
+    joined: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while (up := joined.get(c, c)) != c:
+            c = up
+        return c
+
+    links = []
+    for x, y in zip(i[found].tolist(), j[found].tolist()):
+        cx, cy = root(of[x]), root(of[y])
+        if cx != cy and _similar(sets[x], sets[y]):
+            joined[cx] = cy
+            links.append(sorted((int(ids[x]), int(ids[y]))))
+    a, b = zip(*links) if links else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _with_both(pairs: DataFrame, of: DataFrame, value: str, short: str) -> DataFrame:
@@ -227,31 +257,53 @@ def _with_both(pairs: DataFrame, of: DataFrame, value: str, short: str) -> DataF
     return pairs
 
 
-def _confirm(pairs: DataFrame, documents: DataFrame) -> DataFrame:
-    """The pairs whose full sets are similar enough; only texts of survivors are read again."""
-    pairs = stage(pairs.distinct(), "survivors")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def _full_sets(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, shingles) of the texts with the given ids: those texts only are shingled again."""
+    ids = stage(ids.distinct(), "ids")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
     texts = documents.join(ids, "doc_id", "left_semi")
-    sets = stage(texts.mapInArrow(_sets, "doc_id long, shingles binary"), "sets")
+    sets = texts.mapInArrow(_sets, "doc_id long, shingles binary")
+    return stage(sets.dropDuplicates(["doc_id"]), "sets")
+
+
+def _confirm(pairs: DataFrame, signatures: DataFrame, documents: DataFrame) -> DataFrame:
+    """The pairs (a, b) that survive comparing signatures and are similar on their full sets."""
+    signed = _with_both(pairs.distinct(), signatures, "signature", "sig")
+    pairs = stage(signed.mapInArrow(_promising, "a long, b long"), "survivors")
+    sets = _full_sets(documents, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")))
     both = _with_both(pairs, sets, "shingles", "set")
-    return stage(both.mapInArrow(_confirmed, "a long, b long").distinct(), "confirmed")
+    return stage(both.mapInArrow(_confirmed, "a long, b long"), "confirmed")
+
+
+def _component_of(members: DataFrame, nodes: DataFrame, column: str, name: str) -> DataFrame:
+    """``members`` with the component of ``column``: the node itself unless it is linked."""
+    known = nodes.select(F.col("node").alias("__node"), F.col("component").alias("__component"))
+    joined = members.join(known, members[column] == known["__node"], "left")
+    own = F.coalesce("__component", column).alias(name)
+    return joined.select(*[members[c] for c in members.columns], own)
 
 
-def _cross_pairs(members: DataFrame, nodes: DataFrame, signed: DataFrame) -> DataFrame:
-    """Promising pairs between components that meet in a bucket.
+def _cross_links(
+    members: DataFrame, nodes: DataFrame, signed: DataFrame, documents: DataFrame
+) -> DataFrame:
+    """Links between components that meet in a bucket.
 
-    ``members`` (key, doc_id, pivot), ``nodes`` (node, component). Members of a large component
-    are dealt over blocks of their own, the others over common blocks; a pair of blocks is a task.
+    ``members`` (key, doc_id, ...), ``nodes`` (node, component). Members of a large component are
+    dealt over blocks of their own, the others over common blocks; a pair of blocks is a task. Of
+    buckets with the same members, as every band of a group of near copies has, one is taken.
     """
-    own = F.coalesce("component", "doc_id")
-    known = members.join(nodes, members.doc_id == nodes.node, "left")
-    known = known.select("key", "doc_id", own.alias("component"))
+    known = _component_of(members.select("key", "doc_id"), nodes, "doc_id", "component")
     mixed = known.groupBy("key").agg(
-        F.min("component").alias("first"), F.max("component").alias("last"), F.count("*").alias("n")
+        F.min("component").alias("first"),
+        F.max("component").alias("last"),
+        F.count("*").alias("n"),
+        F.bit_xor(F.xxhash64("doc_id")).alias("x"),
+        F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"),
     )
     # in a bucket of two, the one pair has been compared
-    mixed = mixed.where("first <> last and n > 2").select("key")
-    open_ = stage(known.join(mixed, "key"), "open")
+    mixed = mixed.where("first <> last and n > 2").groupBy("n", "x", "y").agg(F.min("key").alias("key"))
+    open_ = stage(known.join(mixed.select("key"), "key"), "open")
     sizes = open_.groupBy("key", "component").agg(F.count("*").alias("n"))
     small = F.when(F.col("n") <= BLOCK, F.col("n")).otherwise(0)
     totals = sizes.groupBy("key").agg(F.sum(small).alias("small"))
@@ -277,8 +329,11 @@ def _cross_pairs(members: DataFrame, nodes: DataFrame, signed: DataFrame) -> Dat
     ends = tasks.select("*", F.col("x").alias("block"), F.lit(False).alias("second")).union(
         tasks.where("not same").select("*", F.col("y").alias("block"), F.lit(True).alias("second"))
     )
-    rows = ends.join(placed, ["key", "block"]).join(signed.select("doc_id", "signature"), "doc_id")
-    return rows.groupBy("key", "x", "y").applyInArrow(_across, "a long, b long")
+    whole = _full_sets(documents, placed.select("doc_id"))
+    whole = whole.join(signed.select("doc_id", "signature"), "doc_id")
+    rows = ends.join(placed, ["key", "block"]).join(whole, "doc_id")
+    links = rows.groupBy("key", "x", "y").applyInArrow(_across, "a long, b long")
+    return stage(links, "cross-links")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -302,22 +357,23 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     reps = linkable.join(firsts, ["class", "doc_id"], "left_semi").select("doc_id", "signature")
     reps = stage(reps.dropDuplicates(["doc_id"]), "representatives")
 
-    placed = reps.mapInArrow(_banded, "key long, doc_id long")
+    placed = reps.mapInArrow(_banded, "key long, band int, doc_id long")
     shared = placed.groupBy("key").agg(
         F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")
     )
     shared = shared.where("pivot < last").select("key", "pivot")
     members = stage(placed.join(shared, "key"), "members")
 
-    first = members.where("doc_id <> pivot").select(
-        F.col("pivot").alias("a"), F.col("doc_id").alias("b")
-    )
-    signatures = _with_both(first.distinct(), reps, "signature", "sig")
-    links = _confirm(signatures.mapInArrow(_promising, "a long, b long"), texts)
+    others = members.where("doc_id <> pivot")
+    pairs = others.select("band", F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
+    links = _confirm(pairs.where(F.col("band") < FIRST_BANDS).select("a", "b"), reps, texts)
+    nodes = components(links, "a", "b")
+    pairs = pairs.where(F.col("band") >= FIRST_BANDS).select("a", "b").distinct()
+    pairs = _component_of(_component_of(pairs, nodes, "a", "of_a"), nodes, "b", "of_b")
+    links = links.union(_confirm(pairs.where("of_a <> of_b").select("a", "b"), reps, texts))
+    nodes = components(links, "a", "b")
+    links = links.union(_cross_links(members, nodes, reps, texts))
     nodes = components(links, "a", "b")
-    across = _cross_pairs(members, nodes, reps)
-    more = _confirm(across.join(links, ["a", "b"], "left_anti"), texts)
-    nodes = components(links.union(more), "a", "b")
 
     rows = signed.select("doc_id", "n_shingles", "class").join(
         classes.select("class", "first"), "class", "left"
