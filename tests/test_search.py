@@ -9,7 +9,7 @@ from textprep_spark.operators import metrics as M
 from textprep_spark.operators.infer import embed_texts, generate_questions
 from textprep_spark.operators.pairs import adjacent_pairs, text_halves
 from textprep_spark.operators.search import DISTANCES, keyword_first, top_k
-from textprep_spark.plans.evaluate import evaluate_search
+from textprep_spark.plans.evaluate import evaluate_search, search
 
 RNG = np.random.default_rng(5)
 DIM = 6
@@ -75,15 +75,82 @@ def assert_same(got, want):
             assert (g is None) == (w is None) and (w is None or abs(g - w) < 1e-8)
 
 
-# queries held; corpus held (queries larger than the block); neither fits
-@pytest.mark.parametrize("block", [1 << 20, 16_000, 900])
+@pytest.mark.parametrize("held, block", [("queries", 1), ("corpus", 1), (None, 1 << 20), (None, 900)])
 @pytest.mark.parametrize("k", [1, 5, 400])
-def test_top_k_is_exact_on_every_path(spark, data, block, k):
-    queries, corpus = data
-    if block == 16_000:  # make the corpus the smaller side
-        data = ([*queries, *corpus, *corpus], corpus[:100])
+def test_top_k_is_exact_on_every_path(spark, data, held, block, k):
     q, c = frames(spark, data)
-    assert_same(found(top_k(q, c, k, block_bytes=block)), brute(data, k, "cosine"))
+    assert_same(found(top_k(q, c, k, held=held, block_bytes=block)), brute(data, k, "cosine"))
+
+
+def counted(folder):
+    """A loader whose model notes every call in a file, and the number of texts noted."""
+    path = str(folder / "calls")
+
+    def counting():
+        def model(texts):
+            with open(path, "a") as notes:
+                notes.write(f"{len(texts)}\n")
+            return np.array([[len(t), 1.0] for t in texts])
+
+        return model
+
+    return counting, lambda: sum(map(int, open(path).read().split()))
+
+
+@pytest.mark.parametrize("held, block", [("queries", 1), ("corpus", 1), (None, 1 << 20), (None, 900)])
+@pytest.mark.parametrize("n", [50, 2500])
+def test_every_text_goes_through_the_model_once(spark, tmp_path, held, block, n):
+    counting, calls = counted(tmp_path)
+    queries = spark.range(n).selectExpr("id as query_id", "repeat('x', cast(id % 9 as int)) as text")
+    corpus = spark.range(300).selectExpr("id as doc_id", "repeat('y', cast(id % 7 as int)) as text")
+    asked, stored = embed_texts(queries, "text", counting), embed_texts(corpus, "text", counting)
+    hits = top_k(asked, stored, 3, held=held, block_bytes=block)
+    assert hits.count() == 3 * n
+    assert calls() == n + 300
+
+
+def test_evaluation_embeds_once_for_all_its_results(spark, tmp_path):
+    counting, calls = counted(tmp_path)
+    records = spark.range(200).selectExpr("cast(id as string) as doc_id", "repeat('ab ', cast(id % 9 as int)) as text")
+    queries = spark.range(30).selectExpr("id as query_id", "'ab' as query", "'ab' as query_fr", "cast(id as string) as doc_id")
+    result = evaluate_search(queries, records, counting)
+    result.metrics.collect(), result.predictions.collect(), result.predictions.count()
+    assert calls() == 230
+
+
+def test_loaders_do_not_share_a_model(spark):
+    df = spark.createDataFrame([(i, "x") for i in range(40)], "id int, t string")
+
+    def loader(value):
+        return lambda: lambda texts: np.full((len(texts), 1), value)
+
+    for value in (1.0, 2.0):
+        got = embed_texts(df, "t", loader(value)).select("embedding").distinct().collect()
+        assert [r[0] for r in got] == [[value]]
+
+
+def test_only_the_text_goes_to_the_model(spark):
+    df = spark.createDataFrame([(1, "a", "b")], "id int, t string, payload string")
+    out = embed_texts(df, "t", lambda: lambda texts: np.ones((len(texts), 1)))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapIn" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_search_from_texts(spark):
+    def words():
+        return lambda texts: np.array([[t.count("lake") + 0.1, t.count("river") + 0.1] for t in texts])
+
+    q = spark.createDataFrame([(1, "lake"), (2, None)], "query_id int, text string")
+    c = spark.createDataFrame([(1, "river"), (2, "lake lake"), (3, None)], "doc_id int, text string")
+    assert [d for d, _, _ in found(search(q, c, words, 1, "euclidean"))[1]] == [2]
+    assert [d for d, _, _ in found(search(q, c, words, 2))[1]] == [2, 1]
+
+
+def test_null_vectors_are_an_error(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, embedding array<float>")
+    c = spark.createDataFrame([(4, None)], "doc_id int, embedding array<float>")
+    with pytest.raises(Exception, match="no vector for doc_id 4"):
+        top_k(q, c, 3).collect()
 
 
 @pytest.mark.parametrize("metric", DISTANCES)
@@ -94,7 +161,7 @@ def test_metrics_of_distance(spark, data, metric):
 
 def test_zero_vectors_rank_last(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, embedding array<float>")
-    c = spark.createDataFrame([(1, [0.0, 0.0]), (2, [-1.0, 0.0]), (3, [1.0, 1.0]), (4, None)], "doc_id int, embedding array<float>")
+    c = spark.createDataFrame([(1, [0.0, 0.0]), (2, [-1.0, 0.0]), (3, [1.0, 1.0])], "doc_id int, embedding array<float>")
     assert [(d, s) for d, s, _ in found(top_k(q, c, 3))[1]] == [(3, pytest.approx(2**-0.5)), (2, -1.0), (1, None)]
 
 
@@ -116,15 +183,15 @@ def test_search_arguments(spark, data):
 def test_no_pairs_in_the_plan(spark, data):
     q, c = frames(spark, data)
     plan = top_k(q, c, 3)._jdf.queryExecution().executedPlan().toString()
-    assert "Cartesian" not in plan and "NestedLoop" not in plan and plan.count("WindowGroupLimit") == 2
+    assert "Cartesian" not in plan and "NestedLoop" not in plan and plan.count("WindowGroupLimit") == 4
     words = spark.createDataFrame([(1, "a b")], "query_id int, text string")
     texts = spark.createDataFrame([(1, "a")], "doc_id int, text string")
     plan = keyword_first(words, texts)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
-@pytest.mark.parametrize("block", [1 << 20, 60])
-def test_keyword_first(spark, block):
+@pytest.mark.parametrize("held, block", [(True, 1), (False, 1000), (False, 2)])
+def test_keyword_first(spark, held, block):
     rng = np.random.default_rng(3)
     letters = list("abcdefgh")
     texts = ["".join(rng.choice(letters, 12)).upper() for _ in range(300)]
@@ -133,7 +200,7 @@ def test_keyword_first(spark, block):
     q = spark.createDataFrame(list(queries.items()), "query_id int, text string")
     c = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(1000, None)], "doc_id int, text string")
     got = {}
-    for r in sorted(keyword_first(q, c.repartition(7), 5, block).collect()):
+    for r in sorted(keyword_first(q, c.repartition(7), 5, held, block).collect()):
         got.setdefault(r["query_id"], []).append((r["rank"], r["doc_id"]))
     for qid, text in queries.items():
         hits = [i for i, t in enumerate(texts) if any(w in t.lower() for w in text.lower().split())][:5]
@@ -232,7 +299,7 @@ def test_embed_texts(spark):
         return model
 
     df = spark.createDataFrame([(i, "x" * i) for i in range(10)], "id int, t string").repartition(2)
-    out = embed_texts(df, "t", length_model, batch_size=3, model_name="len")
+    out = embed_texts(df, "t", length_model, batch_size=3)
     assert out.columns == ["id", "t", "embedding"] and df.columns == ["id", "t"]
     assert {r["id"]: r["embedding"] for r in out.collect()} == {i: [i, 1.0] for i in range(10)}
     with pytest.raises(ValueError):

@@ -562,6 +562,12 @@ _SCORES = {
     "sqeuclidean": "1 - list_distance({a}, {b}) ** 2",
     "cityblock": "1 - list_sum(list_transform(list_zip({a}, {b}), lambda p: abs(p[1] - p[2])))",
     "chebyshev": "1 - list_max(list_transform(list_zip({a}, {b}), lambda p: abs(p[1] - p[2])))",
+    "canberra": "1 - list_sum(list_transform(list_zip({a}, {b}), lambda p: case when p[1] = 0 and p[2] = 0"
+    " then 0 else abs(p[1] - p[2]) / (abs(p[1]) + abs(p[2])) end))",
+    "braycurtis": "1 - list_sum(list_transform(list_zip({a}, {b}), lambda p: abs(p[1] - p[2])))"
+    " / list_sum(list_transform(list_zip({a}, {b}), lambda p: abs(p[1] + p[2])))",
+    "correlation": "list_cosine_similarity(list_transform({a}, lambda x: x - list_avg({a})),"
+    " list_transform({b}, lambda x: x - list_avg({b})))",
 }
 
 
@@ -575,17 +581,18 @@ def _hits_sql(metric: str, k: int) -> str:
     )
 
 
-def _register_top_k(metric: str, k: int) -> None:
+def _register_top_k(metric: str, k: int, held: str | None = None) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        hits = top_k(_label_queries(spark, d), _corpus(spark, d), k, metric)
+        hits = top_k(_label_queries(spark, d), _corpus(spark, d), k, metric, held)
         return hits.withColumn("score", F.round("score", 6))
 
     sql = _hits_sql(metric, k) + "select query_id, doc_id, round(s, 6) as score, rank::integer as rank from hits"
-    _query(sql, f"topk_{metric}")(run)
+    _query(sql, f"topk_{metric}" + (f"_{held}_held" if held else ""))(run)
 
 
 for _metric in _SCORES:
     _register_top_k(_metric, 5)
+_register_top_k("cosine", 5, "queries")  # one mean vector for each label
 
 
 @_query(_hits_sql("cosine", 1) + "select query_id, doc_id, round(s, 6) as score from hits")
@@ -746,7 +753,7 @@ _DIMS = ", ".join(f"round(v[{i + 1}], 6) as {x}" for i, x in enumerate(LETTERS))
 @_query(f"with {_LETTER_CTE} select doc_id, {_DIMS} from letters", "embed_texts")
 def _embed_texts(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d).select("doc_id", "text")
-    v = embed_texts(docs, "text", letter_model, model_name="letters")
+    v = embed_texts(docs, "text", letter_model)
     return v.select(
         "doc_id", *[F.round(F.get("embedding", F.lit(i)), 6).alias(x) for i, x in enumerate(LETTERS)]
     )
@@ -777,7 +784,7 @@ def _evaluation(spark: SparkSession, d: str):
         F.col("item_id").alias("doc_id"),
     )
     corpus = documents(spark, d).select("doc_id", "text")
-    return evaluate_search(queries, corpus, letter_model, model="letters")
+    return evaluate_search(queries, corpus, letter_model)
 
 
 @_query(

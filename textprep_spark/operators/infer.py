@@ -1,16 +1,19 @@
 """Batch inference with a model the user supplies.
 
 A model is given by a loader: a function without arguments that returns a callable from a list of
-texts to one result per text. The loader runs once per Python worker, not per batch or task.
+texts to one result per text. A Python worker loads a model once and keeps it for its later tasks,
+as long as the same loader object is used. Only the text column goes to Python.
 """
 
 from __future__ import annotations
 
+import uuid
+import weakref
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,16 +25,26 @@ Model = Callable[[Sequence[str]], Any]
 Loader = Callable[[], Model]
 
 BATCH_SIZE = 32
+KEPT_MODELS = 2  # per worker
 
+_keys: weakref.WeakKeyDictionary[Loader, str] = weakref.WeakKeyDictionary()  # on the driver
 _loaded: dict[str, Model] = {}  # per worker process
 
 
-def _model(name: str | None, load: Loader) -> Model:
-    if name is None:
-        return load()
-    if name not in _loaded:
-        _loaded[name] = load()
-    return _loaded[name]
+def _key(load: Loader) -> str:
+    """A name for this loader object. Another loader, whatever it is called, has another one."""
+    try:
+        return _keys.setdefault(load, uuid.uuid4().hex)
+    except TypeError:  # cannot be referred to weakly
+        return uuid.uuid4().hex
+
+
+def _model(key: str, load: Loader) -> Model:
+    if key not in _loaded:
+        while len(_loaded) >= KEPT_MODELS:
+            _loaded.pop(next(iter(_loaded)))
+        _loaded[key] = load()
+    return _loaded[key]
 
 
 def _apply_model(
@@ -39,9 +52,9 @@ def _apply_model(
     text: str,
     target: str,
     kind: T.DataType,
+    arrow: pa.DataType,
     load: Loader,
     batch_size: int,
-    name: str | None,
     convert: Callable[[Any], list],
 ) -> DataFrame:
     if text not in df.columns:
@@ -49,22 +62,26 @@ def _apply_model(
     if batch_size < 1:
         raise ValueError("batch_size must be at least 1")
     ship(df.sparkSession)
-    kept = [c for c in df.columns if c != target]
-    schema = T.StructType([df.schema[c] for c in kept]).add(target, kind)
-
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = None
-        for frame in frames:
-            model = model or _model(name, load)
-            texts = frame[text].tolist()
-            results: list = []
+    key = _key(load)
+
+    def results(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            model, texts, out = _model(key, load), batch.to_pylist(), []
             for start in range(0, len(texts), batch_size):
-                results += convert(model(texts[start : start + batch_size]))
-            if len(results) != len(texts):
-                raise ValueError(f"the model gave {len(results)} results for {len(texts)} texts")
-            yield frame[kept].assign(**{target: pd.Series(results, index=frame.index, dtype=object)})
+                out += convert(model(texts[start : start + batch_size]))
+            if len(out) != len(texts):
+                raise ValueError(f"the model gave {len(out)} results for {len(texts)} texts")
+            yield pa.array(out, arrow)
+
+    # the optimizer must not run a model again for each use of its result, nor a sampling one twice
+    apply = F.arrow_udf(_typed(results), kind).asNondeterministic()
+    return df.withColumn(target, apply(F.col(text)))
+
 
-    return df.mapInPandas(task, schema)
+def _typed(function):
+    """With annotations as objects, which the kind of the function is read from."""
+    function.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return function
 
 
 def embed_texts(
@@ -73,15 +90,14 @@ def embed_texts(
     load: Loader,
     target: str = "embedding",
     batch_size: int = BATCH_SIZE,
-    model_name: str | None = None,
 ) -> DataFrame:
-    """``df`` with one vector per text. Give ``model_name`` to share a model between tasks."""
+    """``df`` with one vector per text."""
 
     def vectors(output: Any) -> list:
         return [np.asarray(v, dtype=np.float64) for v in output]
 
-    kind = T.ArrayType(T.DoubleType())
-    return _apply_model(df, text, target, kind, load, batch_size, model_name, vectors)
+    kind, arrow = T.ArrayType(T.DoubleType()), pa.list_(pa.float64())
+    return _apply_model(df, text, target, kind, arrow, load, batch_size, vectors)
 
 
 def generate_questions(
@@ -90,8 +106,7 @@ def generate_questions(
     target: str,
     load: Loader,
     batch_size: int = BATCH_SIZE,
-    model_name: str | None = None,
 ) -> DataFrame:
     """``df`` with one generated question per text, freed of its stock opening."""
-    raw = _apply_model(df, text, target, T.StringType(), load, batch_size, model_name, list)
+    raw = _apply_model(df, text, target, T.StringType(), pa.string(), load, batch_size, list)
     return raw.withColumn(target, clean_question(F.col(target)))

@@ -1,37 +1,37 @@
 """Exact top-k vector search and first-k keyword search.
 
-Both operators hold one side in memory on each worker, in blocks whose size is measured, and
-stream the other side past it in Arrow batches. Whichever side fits is held:
+Both sides are dealt into blocks by a hash of their ids, and every block of queries meets every
+block of documents in one task, which returns the ``k`` best per query only. Ranking takes two
+stages: first among a group of blocks, then over all. Each input plan runs exactly once, whatever
+the number of blocks: vectors, which may come out of a model, are staged, and block counts come
+from the staged tables. Neither side passes the driver.
 
-* queries held, corpus streamed: every task keeps the ``k`` best per query and emits those only;
-  a ranked window picks the final ``k``;
-* corpus held, queries streamed: a query's result is complete within its batch, nothing is
-  shuffled;
-* neither fits: the queries are held block by block, one pass over the corpus each.
+A caller who knows that one side is small may say so: ``held="queries"`` or ``held="corpus"``
+broadcasts that side and streams the other past it without a shuffle.
 
 No query-document pair is ever a row; no candidate is left out.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
-from functools import reduce
 
+import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from textprep_spark.operators.sizes import measured_bytes
+from textprep_spark.functions.text import keyword_tokens
 from textprep_spark.shipping import ship
+from textprep_spark.sources.writers import stage
 
-BLOCK_BYTES = 64 * 1024 * 1024
-FEW = 2000  # vectors read at once, before anything is measured; their length is a model's dimension
+BLOCK_BYTES = 32 * 1024 * 1024  # of vectors of one side in a task
+TOKEN_BLOCK = 50_000  # distinct tokens in a task
 SCORE_DIGITS = 9  # scores are compared after rounding, so that summation order cannot decide ranks
 
 _CELLS = 4_000_000  # scores held at once per worker: bounds memory whatever the batch size
@@ -100,39 +100,39 @@ def _ids(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
-def _best_of(row: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the ``k`` largest scores; among equal ones the first positions."""
-    if len(row) <= k:
-        return np.arange(len(row))
-    cut = np.partition(row, len(row) - k)[len(row) - k]
-    above = np.flatnonzero(row > cut)
-    return np.concatenate([above, np.flatnonzero(row == cut)[: k - len(above)]])
+def _best_of(scores: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the ``k`` largest scores of each row, ascending; among equal ones the first."""
+    n, m = scores.shape
+    if m <= k:
+        return np.broadcast_to(np.arange(m), (n, m))
+    cut = np.partition(scores, m - k, axis=1)[:, m - k, None]
+    above, equal = scores > cut, scores == cut
+    room = k - above.sum(axis=1, keepdims=True)
+    return np.nonzero(above | equal & (np.cumsum(equal, axis=1) <= room))[1].reshape(n, k)
 
 
 class _Best:
-    """The ``k`` best documents per query seen so far: by score, then by smaller id."""
+    """The ``k`` best documents of each query seen so far: by score, then by smaller id."""
 
     def __init__(self, n_queries: int, k: int) -> None:
-        self.k = k
-        self.scores: list[np.ndarray] = [np.empty(0)] * n_queries
-        self.ids: list[np.ndarray] = []
-        self.worst = np.full(n_queries, -np.inf)  # score to reach once k documents are known
-        self.full = False
+        self.n, self.k = n_queries, k
+        self.scores = np.empty((n_queries, 0))
+        self.ids: np.ndarray | None = None
 
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        """Merge a batch whose ``ids`` ascend, so that first positions are smaller ids."""
-        if not self.ids:
-            self.ids = [ids[:0]] * len(scores)
-        reach = scores.max(axis=1) >= self.worst if self.full else np.ones(len(scores), bool)
-        for i in np.flatnonzero(reach):
-            keep = _best_of(scores[i], self.k)
-            s = np.concatenate([self.scores[i], scores[i][keep]])
-            d = np.concatenate([self.ids[i], ids[keep]])
-            order = np.lexsort((pd.factorize(d, sort=True)[0], -s))[: self.k]
-            self.scores[i], self.ids[i] = s[order], d[order]
-            if len(order) == self.k:
-                self.worst[i] = s[order[-1]]
-        self.full = all(len(s) == self.k for s in self.scores)
+        """Merge scores of documents whose ``ids`` ascend, all queries at once."""
+        near = _best_of(scores, self.k)
+        both = np.concatenate([self.scores, np.take_along_axis(scores, near, 1)], axis=1)
+        known = ids[near] if self.ids is None else np.concatenate([self.ids, ids[near]], axis=1)
+        by_id = np.argsort(known, axis=1, kind="stable")
+        both, known = np.take_along_axis(both, by_id, 1), np.take_along_axis(known, by_id, 1)
+        order = np.argsort(-both, axis=1, kind="stable")[:, : self.k]
+        self.scores = np.take_along_axis(both, order, 1)
+        self.ids = np.take_along_axis(known, order, 1)
+
+    def rows(self, query_ids: pa.Array, **more) -> pa.RecordBatch:
+        kept = self.scores.shape[1]
+        return _rows(query_ids, kept, self.ids.ravel(), self.scores.ravel(), **more)
 
 
 def _rows(query_ids: pa.Array, counts, doc_ids: np.ndarray, scores: np.ndarray, **more):
@@ -171,11 +171,16 @@ def _block(rows: pa.Table, id_column: str) -> tuple[pa.Array, np.ndarray] | tupl
     return ids, _matrix(vectors)
 
 
-def _stream_corpus(
-    block: pa.Table, queries: DataFrame, corpus: DataFrame, k: int, metric: str
-) -> DataFrame:
-    """Best documents per task for a block of the queries; the caller ranks over all tasks."""
-    held = corpus.sparkSession.sparkContext.broadcast(_block(block, "query_id"))
+def _best_documents(q: np.ndarray, documents: np.ndarray, c: np.ndarray, k: int, metric: str) -> _Best:
+    best = _Best(len(q), k)
+    for part in _slices(len(documents), len(q)):
+        best.add(_scores(q, c[part], metric), documents[part])
+    return best
+
+
+def _stream_corpus(queries: DataFrame, corpus: DataFrame, k: int, metric: str) -> DataFrame:
+    """Best documents per task, the queries broadcast; the caller ranks over all tasks."""
+    held = corpus.sparkSession.sparkContext.broadcast(_block(queries.toArrow(), "query_id"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, q = held.value
@@ -187,169 +192,232 @@ def _stream_corpus(
             docs, c = _ids(batch["doc_id"]), _matrix(batch["embedding"])
             for part in _slices(len(docs), len(q)):
                 best.add(_scores(q, c[part], metric), docs[part])
-        if best.ids:
-            yield _rows(
-                query_ids,
-                [len(s) for s in best.scores],
-                np.concatenate(best.ids),
-                np.concatenate(best.scores),
-            )
+        if best.ids is not None:
+            yield best.rows(query_ids)
 
     return corpus.mapInArrow(task, _result_schema(queries, corpus))
 
 
 def _stream_queries(queries: DataFrame, corpus: DataFrame, k: int, metric: str) -> DataFrame:
-    """Complete, ranked results: every query meets the whole corpus within its batch."""
+    """Complete, ranked results, the corpus broadcast: every query meets it within its batch."""
     held = queries.sparkSession.sparkContext.broadcast(_block(corpus.toArrow(), "doc_id"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc_ids, c = held.value
         if c is None:
             return
-        docs, kept = _ids(doc_ids), min(k, len(c))
+        docs = _ids(doc_ids)
         for batch in batches:
-            q, query_ids = _matrix(batch["embedding"]), batch["query_id"]
+            q = _matrix(batch["embedding"])
             for part in _slices(len(q), len(c)):
-                s = _scores(q[part], c, metric)
-                near = np.stack([_best_of(row, k) for row in s])
-                near.sort(axis=1)
-                found = np.take_along_axis(s, near, axis=1)
-                order = np.argsort(-found, axis=1, kind="stable")
-                top = np.take_along_axis(near, order, axis=1)
-                yield _rows(
-                    query_ids.slice(part.start, len(s)),
-                    kept,
-                    docs[top.ravel()],
-                    np.take_along_axis(s, top, axis=1).ravel(),
-                    rank=np.tile(np.arange(1, kept + 1, dtype=np.int32), len(s)),
-                )
+                best = _Best(part.stop - part.start, k)
+                best.add(_scores(q[part], c, metric), docs)
+                rank = np.arange(1, best.scores.shape[1] + 1, dtype=np.int32)
+                ids = batch["query_id"].slice(part.start, part.stop - part.start)
+                yield best.rows(ids, rank=np.tile(rank, len(ids)))
 
     schema = _result_schema(queries, corpus).add("rank", T.IntegerType())
     return queries.mapInArrow(task, schema)
 
 
 def _vector_rows(df: DataFrame, id_column: str) -> DataFrame:
+    """Ids and vectors. A null vector is an error, not a row to leave out."""
     element = df.schema["embedding"].dataType.elementType
     vector = F.col("embedding")
     if not isinstance(element, (T.FloatType, T.DoubleType)):
-        vector = vector.cast("array<double>").alias("embedding")
-    return df.select(id_column, vector).where(F.col("embedding").isNotNull())
+        vector = vector.cast("array<double>")
+    missing = F.concat(F.lit(f"no vector for {id_column} "), F.col(id_column).cast("string"))
+    failed = F.raise_error(F.coalesce(missing, F.lit("no vector"))).cast(
+        "array<double>" if not isinstance(element, T.FloatType) else "array<float>"
+    )
+    return df.select(id_column, F.coalesce(vector, failed).alias("embedding"))
 
 
-def _vector_bytes(df: DataFrame) -> int:
-    numbers = F.coalesce(F.sum(F.size("embedding").cast("long")), F.lit(0).cast("long"))
-    row = df.agg(numbers.alias("numbers"), F.count(F.lit(1)).alias("rows")).first()
-    return 8 * row["numbers"] + 64 * row["rows"]
+def _blocks_of(vectors: DataFrame, block_bytes: int) -> int:
+    """Into how many blocks a staged table goes; counted from the table, not from its plan."""
+    row = vectors.agg(F.coalesce(F.sum(F.size("embedding").cast("long")), F.lit(0)).alias("n")).first()
+    return max(1, math.ceil(8 * row["n"] / block_bytes))
 
 
-def _ranked(candidates: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc_nulls_last(), F.col("doc_id"))
+def _ranked(candidates: DataFrame, k: int, *within: str) -> DataFrame:
+    order = [F.col("score").desc_nulls_last(), F.col("doc_id")]
+    w = Window.partitionBy("query_id", *within).orderBy(*order)
     return candidates.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _own_block(id_column: str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(id_column), F.lit(blocks)).cast("int")
+
+
+def _every_block(blocks: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+
+
+def _block_pairs(
+    queries: DataFrame, corpus: DataFrame, k: int, metric: str, block_bytes: int
+) -> DataFrame:
+    """Best documents of every pair of blocks, then the best of groups of blocks."""
+    queries, _ = stage(queries, "query-vectors")
+    corpus, _ = stage(corpus, "corpus-vectors")
+    n, m = _blocks_of(queries, block_bytes), _blocks_of(corpus, block_bytes)
+    group_size = max(1, math.isqrt(m))
+    left = queries.select("*", _own_block("query_id", n).alias("q"), _every_block(m).alias("c"))
+    right = corpus.select("*", _every_block(n).alias("q"), _own_block("doc_id", m).alias("c"))
+
+    def task(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        query_ids, q = _block(ours, "query_id")
+        doc_ids, c = _block(theirs, "doc_id")
+        if q is None or c is None:
+            return none
+        best = _best_documents(q, _ids(doc_ids), c, k, metric)
+        group = np.full(best.scores.size, ours["c"][0].as_py() // group_size, dtype=np.int32)
+        return pa.Table.from_batches([best.rows(query_ids, group=group)])
+
+    schema = _result_schema(queries, corpus).add("group", T.IntegerType())
+    none = to_arrow_schema(schema).empty_table()
+    pairs = left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInArrow(task, schema)
+    return _ranked(pairs, k, "group").drop("rank", "group")
+
+
 def top_k(
     queries: DataFrame,
     corpus: DataFrame,
     k: int = 5,
     metric: str = "cosine",
+    held: str | None = None,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """``(query_id, doc_id, score, rank)``: the ``k`` best documents of every query, exactly.
 
     ``queries(query_id, embedding)``, ``corpus(doc_id, embedding)``; ids are unique. The score is
     ``1 - distance``; equal scores rank by smaller id; undefined ones (a zero vector under cosine)
-    are null and rank last.
+    are null and rank last. Null vectors raise. ``held`` names a side that the caller knows to fit
+    the driver and every worker.
     """
     if metric not in DISTANCES:
         raise ValueError(f"unknown metric {metric!r}; known: {sorted(DISTANCES)}")
     if k < 1:
         raise ValueError("k must be at least 1")
+    if held not in (None, "queries", "corpus"):
+        raise ValueError("held must be 'queries', 'corpus' or None")
     ship(queries.sparkSession)
     queries, corpus = _vector_rows(queries, "query_id"), _vector_rows(corpus, "doc_id")
-    few = _few_rows(queries, block_bytes)
-    if few is not None:
-        return _ranked(_stream_corpus(few, queries, corpus, k, metric), k)
-    with _kept(queries):
-        size = _vector_bytes(queries)
-        if size > block_bytes and _vector_bytes(corpus) <= block_bytes:
-            return _stream_queries(queries, corpus, k, metric)
-        blocks = (b.toArrow() for b in _query_blocks(queries, size, block_bytes))
-        passes = [_stream_corpus(b, queries, corpus, k, metric) for b in blocks]
-    return _ranked(reduce(DataFrame.unionByName, passes), k)
-
-
-def _few_rows(queries: DataFrame, block_bytes: int) -> pa.Table | None:
-    """The queries themselves when they are few and fit a block: the usual case, in one job."""
-    rows = queries.limit(FEW + 1).toArrow()
-    return rows if len(rows) <= FEW and rows.nbytes <= block_bytes else None
-
-
-@contextmanager
-def _kept(df: DataFrame) -> Iterator[None]:
-    """Keeps what is measured first and read afterwards: it may come out of a model."""
-    df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield
-    finally:
-        df.unpersist()
-
-
-def _query_blocks(queries: DataFrame, total: int, block_bytes: int) -> list[DataFrame]:
-    """Disjoint blocks of the queries by hash of their id, about half full on average."""
-    if total <= block_bytes:
-        return [queries]
-    n = -(-2 * total // block_bytes)
-    block = F.pmod(F.xxhash64("query_id"), F.lit(n))
-    return [queries.where(block == i) for i in range(n)]
+    if held == "corpus":
+        return _stream_queries(queries, corpus, k, metric)
+    if held == "queries":
+        return _ranked(_stream_corpus(queries, corpus, k, metric), k)
+    return _ranked(_block_pairs(queries, corpus, k, metric, block_bytes), k)
 
 
 # --- keyword search --------------------------------------------------------------------------
 
 
+def _first_ids(tokens_of: dict[str, list[int]], n: int, k: int, batches) -> list[list]:
+    """Per query the first ``k`` ids, ascending, of documents that hold one of its tokens.
+
+    ``batches`` give (ids, texts). Every distinct token is looked for once per document, however
+    many queries share it, by one automaton.
+    """
+    hits: list[list] = [[] for _ in range(n)]
+    find = ahocorasick.Automaton()
+    for token, asking in tokens_of.items():
+        find.add_word(token, asking)
+    if not tokens_of:
+        return hits
+    find.make_automaton()
+    for ids, texts in batches:
+        order = sorted(range(len(ids)), key=ids.__getitem__)
+        waiting = {i for asking in tokens_of.values() for i in asking}
+        for at in order:
+            doc, low = ids[at], texts[at]
+            # ids ascend: a query that is full below this one is done with the batch
+            found: set[int] = set()
+            for _, asking in find.iter(low):
+                found.update(asking)
+            for i in found & waiting:
+                own = hits[i]
+                if len(own) == k and doc >= own[-1]:
+                    waiting.discard(i)
+                elif doc not in own:
+                    hits[i] = sorted([*own, doc])[:k]
+            if not waiting:
+                break
+    return hits
+
+
 def keyword_first(
-    queries: DataFrame, corpus: DataFrame, k: int = 5, block_bytes: int = BLOCK_BYTES
+    queries: DataFrame,
+    corpus: DataFrame,
+    k: int = 5,
+    held: bool = False,
+    token_block: int = TOKEN_BLOCK,
 ) -> DataFrame:
     """``(query_id, doc_id, rank)``: the first ``k`` documents, by id, that contain any token of
     the query's text as a substring, both lower-cased.
 
-    ``queries(query_id, text)``, ``corpus(doc_id, text)``. A task reads each document once and
-    drops a query's test as soon as the document could not enter its first ``k`` any more.
+    ``queries(query_id, text)``, ``corpus(doc_id, text)``. ``held`` says that the queries are known
+    to fit the driver and every worker: then they are broadcast and the corpus is not shuffled.
+    Otherwise blocks of tokens meet blocks of documents, as many as the session's shuffles have
+    partitions.
     """
     ship(queries.sparkSession)
-    queries = queries.select("query_id", "text").where(F.col("text").isNotNull())
-    corpus = corpus.select("doc_id", "text").where(F.col("text").isNotNull())
-    with _kept(queries):
-        blocks = _query_blocks(queries, measured_bytes(queries), block_bytes)
-        passes = [_first_matches(b.toArrow(), queries, corpus, k) for b in blocks]
-    found = reduce(DataFrame.unionByName, passes)
+    words = F.explode(F.array_distinct(keyword_tokens(F.col("text"))))
+    tokens = queries.select("query_id", words.alias("token"))
+    low = F.lower("text").alias("text")
+    corpus = corpus.where(F.col("text").isNotNull()).select("doc_id", low)
+    schema = T.StructType([queries.schema["query_id"], corpus.schema["doc_id"]])
+    found = (
+        _stream_texts(tokens, corpus, k, schema)
+        if held
+        else _text_blocks(tokens, corpus, k, schema, token_block)
+    )
     w = Window.partitionBy("query_id").orderBy("doc_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _first_matches(
-    block: pa.Table, queries: DataFrame, corpus: DataFrame, k: int
-) -> DataFrame:
-    held = corpus.sparkSession.sparkContext.broadcast(
-        [(r["query_id"], sorted(set(r["text"].lower().split()), key=len)) for r in block.to_pylist()]
-    )
+def _asked(tokens: pa.Table) -> tuple[list, dict[str, list[int]]]:
+    """The query ids, and for each token the numbers of the queries that ask for it."""
+    numbers: dict = {}
+    asking: dict[str, list[int]] = {}
+    for q, token in zip(tokens["query_id"].to_pylist(), tokens["token"].to_pylist()):
+        asking.setdefault(token, []).append(numbers.setdefault(q, len(numbers)))
+    return list(numbers), asking
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted = [tokens for _, tokens in held.value]
-        hits: list[list] = [[] for _ in wanted]  # per query: ascending ids, at most k
-        for batch in batches:
-            batch = batch.sort_values("doc_id", kind="stable")
-            active = range(len(wanted))
-            for doc, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
-                # ids ascend within the batch: a query that is full below this id is done with it
-                active = [i for i in active if len(hits[i]) < k or doc < hits[i][-1]]
-                if not active:
-                    break
-                low = text.lower()
-                for i in active:
-                    if any(token in low for token in wanted[i]):
-                        hits[i] = sorted([*hits[i], doc])[:k]
-        out = [(q, doc) for (q, _), found in zip(held.value, hits) for doc in found]
-        yield pd.DataFrame(out, columns=["query_id", "doc_id"])
 
-    schema = T.StructType([queries.schema["query_id"], corpus.schema["doc_id"]])
-    return corpus.mapInPandas(task, schema)
+def _found(schema: pa.Schema, query_ids: list, hits: list[list]) -> pa.Table:
+    pairs = [(q, d) for q, found in zip(query_ids, hits) for d in found]
+    columns = [[p[i] for p in pairs] for i in (0, 1)]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _stream_texts(tokens: DataFrame, corpus: DataFrame, k: int, schema: T.StructType) -> DataFrame:
+    shared = corpus.sparkSession.sparkContext.broadcast(_asked(tokens.toArrow()))
+    arrow = to_arrow_schema(schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, asking = shared.value
+        pairs = ((b["doc_id"].to_pylist(), b["text"].to_pylist()) for b in batches)
+        hits = _first_ids(asking, len(query_ids), k, pairs)
+        yield from _found(arrow, query_ids, hits).to_batches()
+
+    return corpus.mapInArrow(task, schema)
+
+
+def _text_blocks(
+    tokens: DataFrame, corpus: DataFrame, k: int, schema: T.StructType, token_block: int
+) -> DataFrame:
+    tokens, _ = stage(tokens, "query-tokens")
+    distinct = tokens.select(F.count_distinct("token")).first()[0]
+    n = max(1, math.ceil(distinct / token_block))
+    m = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = tokens.select("*", _own_block("token", n).alias("t"), _every_block(m).alias("c"))
+    right = corpus.select("*", _every_block(n).alias("t"), _own_block("doc_id", m).alias("c"))
+    arrow = to_arrow_schema(schema)
+
+    def task(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        query_ids, asking = _asked(ours)
+        texts = [(theirs["doc_id"].to_pylist(), theirs["text"].to_pylist())]
+        return _found(arrow, query_ids, _first_ids(asking, len(query_ids), k, texts))
+
+    pairs = left.groupBy("t", "c").cogroup(right.groupBy("t", "c")).applyInArrow(task, schema)
+    return pairs.distinct()  # a query's tokens may stand in several blocks

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textprep_spark import fixed_values as fv
@@ -12,13 +13,14 @@ from textprep_spark.functions.documents import plain_record_text
 from textprep_spark.operators.infer import BATCH_SIZE, Loader, embed_texts
 from textprep_spark.operators.metrics import (
     accuracy,
+    first_listed_mrr,
     label_ranks,
     mean_reciprocal_rank,
     predictions,
 )
 from textprep_spark.operators.search import keyword_first, top_k
-from textprep_spark.sources.readers import read_label_queries, read_table
-from textprep_spark.sources.writers import write_predictions
+from textprep_spark.sources.readers import read_label_queries, read_table, union_by_name
+from textprep_spark.sources.writers import stage, write_predictions
 
 
 @dataclass(frozen=True)
@@ -29,10 +31,23 @@ class Evaluation:
     predictions: DataFrame
 
 
-def embedded(
-    df: DataFrame, text: str, load: Loader, batch_size: int = BATCH_SIZE, model: str | None = None
+def embedded(df: DataFrame, text: str, load: Loader, batch_size: int = BATCH_SIZE) -> DataFrame:
+    return embed_texts(df, text, load, "embedding", batch_size).drop(text)
+
+
+def search(
+    queries: DataFrame,
+    corpus: DataFrame,
+    load: Loader,
+    k: int = 5,
+    metric: str = "cosine",
+    held: str | None = None,
 ) -> DataFrame:
-    return embed_texts(df, text, load, "embedding", batch_size, model).drop(text)
+    """``(query_id, doc_id, score, rank)`` from texts: ``queries(query_id, text)``,
+    ``corpus(doc_id, text)``. Either side goes through the model once."""
+    asked = queries.where(F.col("text").isNotNull()).select("query_id", "text")
+    found = corpus.where(F.col("text").isNotNull()).select("doc_id", "text")
+    return top_k(embedded(asked, "text", load), embedded(found, "text", load), k, metric, held)
 
 
 def evaluate_search(
@@ -42,23 +57,22 @@ def evaluate_search(
     k: int = 5,
     vector_query: str = "query",
     keyword_query: str = "query_fr",
-    model: str | None = None,
+    metric: str = "cosine",
 ) -> Evaluation:
     """Accuracy and reciprocal rank of vector search, and accuracy of keyword search.
 
     ``queries(query_id, <vector_query>, <keyword_query>, doc_id)``, ``records(doc_id, text)``.
-    Queries without a label are left out. The two searches may read different query texts.
+    Queries without a label are left out. The two searches may read different query texts. The
+    hits of both are staged, so metrics and predictions are of the same search, and no text goes
+    through the model again when they are read.
     """
     labelled = queries.where(F.col("doc_id").isNotNull())
     labels = labelled.select("query_id", "doc_id")
     wanted = labelled.select("query_id", F.col(vector_query).alias("text"))
     corpus = records.select("doc_id", "text")
-    hits = top_k(
-        embedded(wanted, "text", load, model=model), embedded(corpus, "text", load, model=model), k
-    )
-    by_keyword = keyword_first(
-        labelled.select("query_id", F.col(keyword_query).alias("text")), corpus, k
-    )
+    hits, _ = stage(search(wanted, corpus, load, k, metric), "hits")
+    asked = labelled.select("query_id", F.col(keyword_query).alias("text"))
+    by_keyword, _ = stage(keyword_first(asked, corpus, k), "keyword-hits")
     ranks = label_ranks(hits, labels).join(
         label_ranks(by_keyword, labels).select("query_id", F.col("rank").alias("keyword_rank")),
         "query_id",
@@ -72,13 +86,36 @@ def evaluate_search(
     return Evaluation(metrics, predictions(hits, labels))
 
 
+def compare_listed(
+    models: Mapping[str, tuple[DataFrame, Loader]], corpus: DataFrame, k: int = 5
+) -> DataFrame:
+    """``(model, mrr, queries)``: the reciprocal rank of the first listed document, by model.
+
+    Each model has its queries ``(query_id, text, related_documents)`` and its loader.
+    """
+    hits, listed = [], []
+    for name, (queries, load) in models.items():
+        found, _ = stage(search(queries, corpus, load, k), "hits")
+        hits.append(found.withColumn("model", F.lit(name)))
+        wanted = queries.select("query_id", "related_documents")
+        listed.append(wanted.withColumn("model", F.lit(name)))
+    return first_listed_mrr(union_by_name(hits), union_by_name(listed), ["model"])
+
+
 def label_queries(labels: DataFrame) -> DataFrame:
     """``(query_id, query, query_fr, doc_id)`` of a label table; equal rows get ids of their own."""
     rows = labels.select("query", F.col("query-fr").alias("query_fr"), "doc_id")
-    content = rows.withColumn("__row", F.md5(F.to_json(F.struct("*"))))
-    w = Window.partitionBy("__row").orderBy("__row")
-    numbered = content.withColumn("query_id", F.concat_ws("-", "__row", F.row_number().over(w)))
-    return numbered.select("query_id", "query", "query_fr", "doc_id")
+    # copies are counted first and numbered from the count: none of them is gathered
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies"))
+    number = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    numbered = counted.select("query", "query_fr", "doc_id", number.alias("number"))
+    row = F.md5(F.to_json(F.struct("query", "query_fr", "doc_id")))
+    return numbered.select(
+        F.concat_ws("-", row, F.col("number").cast("string")).alias("query_id"),
+        "query",
+        "query_fr",
+        "doc_id",
+    )
 
 
 def evaluate_files(
@@ -99,6 +136,6 @@ def evaluate_files(
         F.col(fv.ID).alias("doc_id"), plain_record_text(language).alias("text")
     )
     queries = label_queries(read_label_queries(spark, labels_path))
-    result = evaluate_search(queries, records, load, k, model=model)
+    result = evaluate_search(queries, records, load, k)
     write_predictions(result.predictions, output_dir, model)
     return result.metrics
