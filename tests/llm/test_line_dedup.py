@@ -1,0 +1,73 @@
+import random
+
+from tests.llm.test_near_dedup import least
+from textprep_spark.llm import line_dedup
+
+
+def tokens(line):
+    words = line.encode().split()
+    if len(words) < 5:
+        return {tuple(words)} if words else set()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def brute(rows):
+    """What stays of each text; ids are unique here."""
+    first = {}
+    for doc, text in sorted((r for r in rows if r[1] is not None), key=lambda r: r[0]):
+        for place, line in enumerate(text.split("\n")):
+            if tokens(line):
+                first.setdefault(line, (doc, place))
+    at = {p: tokens(line) for line, p in first.items()}
+    ids = sorted(at)
+    links = [(a, b) for k, b in enumerate(ids) for a in ids[:k] if 4 * len(at[a] & at[b]) >= 3 * len(at[a] | at[b])]
+    stays = {p for p, c in least(ids, links).items() if p == c}
+    return {
+        doc: None
+        if text is None
+        else "\n".join(x for i, x in enumerate(text.split("\n")) if not tokens(x) or (doc, i) in stays)
+        for doc, text in rows
+    }
+
+
+def found(spark, rows):
+    df = spark.createDataFrame([(i, t, 1, "y") for i, t in rows], "doc_id long, text string, first int, token string")
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == [*df.columns, "__lines", "__removed"]
+    return out.collect()
+
+
+def test_random_documents(spark):
+    chance = random.Random(11)
+    pool = []
+    for _ in range(60):
+        line = [f"w{chance.randint(0, 40)}" for _ in range(chance.choice([1, 3, 5, 6, 12, 40]))]
+        pool.append(line)
+        for _ in range(chance.randint(0, 5)):
+            other = list(chance.choice(pool))
+            other[chance.randrange(len(other))] = f"x{chance.randint(0, 3)}"
+            pool.append(other)
+    lines = [chance.choice([" ", "  ", "\t"]).join(x) for x in pool] + ["", " ", "\t\x0b", "rare rare rare rare rare rare rare rare rare a b"]
+    rows = [(i, "\n".join(chance.choices(lines, k=chance.randint(1, 6)))) for i in range(120)]
+    chance.shuffle(rows)
+    want = brute(rows)
+    got = {r.doc_id: r.text for r in found(spark, rows)}
+    assert got == want
+
+
+def test_frequent_lines_are_taken_once(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "FREQUENT", 1)
+    rows = [(i, f"the same line in every one of them\nown line number {i} and nothing else here") for i in range(200)]
+    rows += [(500, "the same line in every one of them")]
+    assert {r.doc_id: r.text for r in found(spark, rows)} == brute(rows)
+
+
+def test_odd_rows(spark):
+    rows = [(1, None), (2, ""), (3, "\n\n"), (4, "a b"), (4, "a b"), (5, " \na b\n "), (6, "b a"), (7, " ".join(f"v{i}" for i in range(100_000)))]
+    got = found(spark, rows)
+    assert len(got) == 8
+    want = {1: None, 2: "", 3: "\n\n", 4: "a b", 5: " \n ", 6: "b a", 7: rows[-1][1]}
+    assert all(r.text == want[r.doc_id] for r in got)
+    assert found(spark, []) == []
+    nulls = found(spark, [(None, "a b"), (None, "c d"), (1, "a b")])
+    assert sorted(((r.doc_id or 0), r.text) for r in nulls)[-1] == (1, "")

@@ -29,9 +29,10 @@ from textprep_spark.llm.common import bound_batches
 from textprep_spark.shipping import ship
 
 SAMPLE_ROWS = 8000
-SPARED = 0.002  # of the best-graded held-out documents may fall below the cut
-MIN_TEXTS = 10  # of the sample, that a word must stand in to get a weight
-DECAY = 1e-3
+SPARED = 0.001  # of the best-graded held-out documents may fall below the cut
+MIN_TEXTS = 5  # of the sample, that a word must stand in to get a weight
+MIN_DEVIATION = 3.5  # standard errors that the share of a grade among its texts must be off
+DECAY = 1e-4
 STEPS, RATE = 150, 0.1
 CACHED_WORDS = 300_000
 EDGES = b".,;:!?\"'()[]|#*$%&<>"
@@ -169,10 +170,21 @@ def fit(documents: DataFrame, ratings: DataFrame, sample_rows: int = SAMPLE_ROWS
     if len(set(grades[~held].tolist())) < grades.max() + 1:  # too few to hold any out
         held[:] = False
     fitted = [r for r, h in zip(rows, held) if not h]
-    all_keys, texts_with = np.unique(
-        np.array([k for r in fitted for k in r[2]], dtype=np.int64), return_counts=True
+    all_keys, which, texts_with = np.unique(
+        np.array([k for r in fitted for k in r[2]], dtype=np.int64),
+        return_inverse=True,
+        return_counts=True,
     )
-    keys = all_keys[texts_with >= MIN_TEXTS]
+    # words whose texts are graded like any other would only add noise
+    own, sizes = grades[~held], [len(r[2]) for r in fitted]
+    deviation = np.zeros(len(all_keys))
+    for g in np.unique(own):
+        share = (own == g).mean()
+        off = np.repeat((own == g) - share, sizes)
+        sums = np.abs(np.bincount(which, weights=off, minlength=len(all_keys)))
+        spread = np.sqrt(texts_with * max(share * (1 - share), 1e-9))
+        deviation = np.maximum(deviation, sums / spread)
+    keys = all_keys[(texts_with >= MIN_TEXTS) & (deviation >= MIN_DEVIATION)]
     n = len(keys) + len(RATES)
 
     def matrix(some: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
