@@ -13,7 +13,6 @@ from textprep_spark.functions.text import DEFAULT_LANGUAGES, LanguageConfig
 from textprep_spark.operators.dedup import deduplicate
 from textprep_spark.operators.enrich import enrich, tags_per_record
 from textprep_spark.operators.normalize import apply_and_count, change_report, normalize_columns
-from textprep_spark.operators.sizes import broadcast_if_small, measured_bytes, spread
 from textprep_spark.operators.split import assign_split, split_frames, split_sizes
 from textprep_spark.sources import readers, writers
 
@@ -74,9 +73,12 @@ def test_label_csv(spark, tmp_path):
 
 def test_listed_csv(spark, tmp_path):
     path = tmp_path / "listed.csv"
-    path.write_text("query,related_documents\nq1,\"['a', 'b']\"\nq2,\"[\"\"c\"\"]\"\nq3,__import__('os')\n")
+    path.write_text("query,related_documents\nq1,\"['a', 'b']\"\nq2,\"[\"\"c\"\"]\"\nq3,\n")
     got = rows(readers.read_listed_queries(spark, str(path)))
     assert got == [("q1", ["a", "b"]), ("q2", ["c"]), ("q3", None)]
+    path.write_text("query,related_documents\nq3,__import__('os')\n")
+    with pytest.raises(Exception, match="not a list: __import__"):
+        readers.read_listed_queries(spark, str(path)).collect()
 
 
 def test_embeddings_csv(spark, tmp_path):
@@ -205,9 +207,15 @@ def test_split_of_identical_rows(spark, tmp_path):
         want = split_sizes(900, holdout)
         got = sizes(assign_split(table, holdout, 42, tie_break=position))
         assert (got["test"], got["eval"], got["train"]) == (want.test, want.eval, want.train)
-    with pytest.raises(ValueError, match="share one split key"):
-        for holdout in (0.1, 0.3, 0.5, 0.7, 0.9):
-            assign_split(table.where("i = -1"), holdout, 42)
+    for holdout in (0.1, 0.3, 0.5, 0.7, 0.9):
+        want = split_sizes(300, holdout)
+        got = sizes(assign_split(table.where("i = -1"), holdout, 42))
+        assert [got.get(k, 0) for k in ("test", "eval", "train")] == [want.test, want.eval, want.train]
+
+
+def test_split_of_twenty_equal_rows(spark):
+    got = sizes(assign_split(spark.range(20).select(F.lit("x").alias("i")), 0.4, 42))
+    assert (got["train"], got["eval"], got["test"]) == (12, 4, 4)
 
 
 def test_split_arguments():
@@ -247,18 +255,20 @@ def test_enrich_with_nothing(spark, themed):
     assert rows(enrich(themed, [(lookup(spark, []), None)])) == rows(themed)
 
 
-def test_lookup_is_broadcast_only_when_small(spark, themed):
-    tags = tags_per_record([(lookup(spark, [("r1", "a")] * 50), None)])
-    assert measured_bytes(tags) < 100
-    hinted = themed.join(broadcast_if_small(tags), themed[fv.ID] == tags["uuid"], "left")
-    assert "BroadcastHashJoin" in hinted._jdf.queryExecution().executedPlan().toString()
-    assert broadcast_if_small(tags, 10) is tags
+def test_enrichment_join_can_be_chosen(spark, themed):
+    tags = lookup(spark, [("r1", "a")] * 50)
+    for hint, join in (("merge", "SortMergeJoin"), ("broadcast", "BroadcastHashJoin")):
+        out = enrich(themed, [(tags, None)], join_hint=hint)
+        assert join in out._jdf.queryExecution().executedPlan().toString()
+        assert rows(out)[0] == ("r1", ["economy", "a"])
 
 
-def test_spread_leaves_large_scans_alone(spark):
-    assert spread(spark.range(0, 100, 1, 2), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    wide = spark.range(0, 100, 1, 64)
-    assert spread(wide, "id") is wide
+def test_malformed_text_is_an_error(spark):
+    bad = spark.createDataFrame([(1, "[0.1 0.2]"), (2, None)], "k int, v string")
+    with pytest.raises(Exception, match="not a vector: "):
+        readers.embedding_source(bad, "k", "v").collect()
+    with pytest.raises(Exception, match="not a list: "):
+        bad.select(readers.text_list(F.col("v"))).collect()
 
 
 # --- counting changes -----------------------------------------------------------------------------------

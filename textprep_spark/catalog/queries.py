@@ -35,7 +35,13 @@ from textprep_spark.operators.search import keyword_first, top_k
 from textprep_spark.operators.split import assign_split
 from textprep_spark.plans.evaluate import evaluate_search
 from textprep_spark.plans.prepare import prepare_full, prepare_text
-from textprep_spark.sources.readers import union_by_name
+from textprep_spark.sources.readers import (
+    embedding_source,
+    lookup_table,
+    read_records,
+    text_list,
+    union_by_name,
+)
 from textprep_spark.sources.writers import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -375,12 +381,12 @@ def geo_themes(spark: SparkSession, d: str) -> DataFrame:
     return _themed(spark, d).select(fv.ID, _joined(P + "geo_theme").alias("themes"))
 
 
-def _enriched(spark: SparkSession, d: str) -> DataFrame:
+def _enriched(spark: SparkSession, d: str, join_hint: str | None = None) -> DataFrame:
     lookups = [
         (theme_lookup(spark, d), fv.THEME_TAGS_ALLOWED),
         (foundational_lookup(spark, d), None),
     ]
-    return enrich(_themed(spark, d), lookups)
+    return enrich(_themed(spark, d), lookups, join_hint=join_hint)
 
 
 _ENRICH_CTES = (Q.RECORDS_CTE, Q.BINS_CTE, Q.LOOKUPS_CTE, Q.THEMES_CTE, Q.ENRICHED_CTE)
@@ -393,6 +399,14 @@ def enrich_themes(spark: SparkSession, d: str) -> DataFrame:
     return _enriched(spark, d).select(fv.ID, _joined(P + "geo_theme").alias("themes"))
 
 
+@_query(
+    _with(*_ENRICH_CTES) + f"select id as {fv.ID}, array_to_string(themes, '|') as themes from enriched"
+)
+def enrich_themes_shuffled(spark: SparkSession, d: str) -> DataFrame:
+    enriched = _enriched(spark, d, "merge")
+    return enriched.select(fv.ID, _joined(P + "geo_theme").alias("themes"))
+
+
 _IS_FOUNDATIONAL = "case when list_contains(themes, 'foundational') then 'true' else 'false' end"
 
 
@@ -415,7 +429,34 @@ def foundational(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("select * from documents")
 def load_records(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return read_records(spark, d, pattern="documents.parquet*")
+
+
+@_query("""select vec_id as doc_id, len(embedding)::integer as length,
+ round(list_sum(embedding::double[]), 4) as total from embeddings""")
+def embedding_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors written as JSON text and read back."""
+    written = table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("id"), F.to_json("embedding").alias("vector")
+    )
+    read = embedding_source(written, "id", "vector")
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, b: a + b)
+    return read.select("doc_id", F.size("embedding").alias("length"), F.round(total, 4).alias("total"))
+
+
+@_query("select doc_id::varchar as uuid, 'q' || quality as tag from labels")
+def typed_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Labels as an export with typed values, unwrapped."""
+    labels = table(spark, d, "labels")
+
+    def typed(c):
+        return F.struct(c.alias("S"))
+
+    items = labels.select(
+        typed(F.col("doc_id").cast("string")).alias("uuid"),
+        typed(F.concat(F.lit("q"), "quality")).alias("tag"),
+    )
+    return lookup_table(items)
 
 
 @_query(
@@ -449,6 +490,18 @@ def split_sets(spark: SparkSession, d: str) -> DataFrame:
     return assign_split(rows, 0.1, 42, ["doc_id"])
 
 
+@_query("""with n as (select count(*) as n from documents),
+sizes as (select n, ceil(0.1 * n)::bigint as held from n),
+parts as (select n, held, ceil(held * 0.5)::bigint as test from sizes)
+select 'test' as split, test as rows from parts union all
+select 'eval', held - test from parts union all select 'train', n - held from parts""")
+def split_repeated(spark: SparkSession, d: str) -> DataFrame:
+    """Set sizes where a few values identify all rows."""
+    rows = table(spark, d, "documents").select("lang")
+    assigned = assign_split(rows, 0.1, 42, ["lang"])
+    return assigned.groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
+
+
 _TEXT_OUT = "text_en, text_fr, text_seq, text_para"
 
 
@@ -651,11 +704,12 @@ from listed l left join firsts f on f.query_id = l.query_id"""
 )
 def mrr_first_listed(spark: SparkSession, d: str) -> DataFrame:
     vecs = _vectors(spark, d)
+    label = F.col("label")
+    items = F.array((label + 3) % 10, label, (label + 5) % 10).cast("array<string>")
+    written = F.concat(F.lit("['"), F.array_join(items, "', '"), F.lit("']"))
     listed = vecs.select(
         F.col("vec_id").alias("query_id"),
-        F.array((F.col("label") + 3) % 10, "label", (F.col("label") + 5) % 10).alias(
-            "related_documents"
-        ),
+        text_list(written).cast("array<int>").alias("related_documents"),
     )
     hits = top_k(_vector_queries(vecs), _label_corpus(vecs), 3)
     return _rounded(metrics.first_listed_mrr(hits, listed))

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textprep_spark import fixed_values as fv
-from textprep_spark.operators.sizes import spread
 
 _NL, _BS = "chr(10)", "chr(92)"
 
@@ -110,8 +109,7 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, directory: str) -> DataFrame:
-    """The documents, spread over the cores when the table is too small to keep them busy."""
-    return spread(table(spark, directory, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
+    return table(spark, directory, "documents").select("doc_id", "text", "lang", "source")
 
 
 def records(spark: SparkSession, directory: str) -> DataFrame:

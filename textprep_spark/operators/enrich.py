@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from textprep_spark import fixed_values as fv
 from textprep_spark.functions.themes import append_tags
-from textprep_spark.operators.sizes import BROADCAST_BYTES, broadcast_if_small, measured_bytes
 
 Lookup = tuple[DataFrame, Sequence[str] | None]
 
@@ -49,20 +48,19 @@ def enrich(
     lookups: Sequence[Lookup],
     key: str = fv.ID,
     themes: str = fv.P + "geo_theme",
+    join_hint: str | None = None,
 ) -> DataFrame:
     """Append the tags of every ``(lookup, allowed tags)`` to each record's themes, in turn.
 
-    The lookups are merged first, so the records are joined once: by a broadcast when the merged
-    lookup is measured to be small, by a shuffle otherwise. No record is multiplied or lost.
+    The lookups are merged first, so the records are joined once. How is left to adaptive
+    execution, which knows the merged lookup's size by then, unless ``join_hint`` says it. No record
+    is multiplied or lost.
     """
     if not lookups:
         return df
     tags = tags_per_record(lookups)
-    # the rows themselves are the cheaper measure; repeats may make them much larger than the tags
-    if measured_bytes(_stacked(lookups)) <= BROADCAST_BYTES:
-        tags = F.broadcast(tags)
-    else:
-        tags = broadcast_if_small(tags)
+    if join_hint is not None:
+        tags = tags.hint(join_hint)
     out = df.join(tags, df[key] == tags["uuid"], "left")
     for i in range(len(lookups)):
         out = out.withColumn(themes, append_tags(F.col(themes), F.col(f"tags_{i}")))

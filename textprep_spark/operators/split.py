@@ -15,7 +15,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIGITS = 3
@@ -66,6 +66,14 @@ class _Boundary:
         self.prefix = ""
         self.depth = DIGITS
         self.done = position <= 0
+        self.among = 0  # rows with the key ``prefix`` itself that lie before the boundary
+
+    def before(self, key: Column, number: Column | None) -> Column:
+        """Whether a row lies before the boundary; ``number`` counts the rows of one key."""
+        plain = key < F.lit(self.prefix)
+        if not self.among:
+            return plain
+        return plain | (key == self.prefix) & (number <= self.among)
 
     def descend(self, histogram: list[tuple[str, int]]) -> None:
         """Go on into the bucket of ``histogram`` that holds the boundary."""
@@ -86,10 +94,8 @@ class _Boundary:
         self.depth = min(behind if copies else len(digits) + DIGITS, self.key_length)
         self.done = self.left == 0
         if not self.done and len(digits) >= self.key_length:
-            raise ValueError(
-                f"{count} rows share one split key across a boundary; pass columns that tell "
-                "rows apart as the identity"
-            )
+            # the boundary lies among rows of one key: so many of them go before it
+            self.among, self.done = self.left, True
 
 
 def _histograms(keys: DataFrame, bounds: Sequence[_Boundary]) -> list[list[tuple[str, int]]]:
@@ -108,7 +114,7 @@ def _histograms(keys: DataFrame, bounds: Sequence[_Boundary]) -> list[list[tuple
     return [[x for x in pairs if x[0].startswith(b.prefix)] for b in bounds]
 
 
-def _thresholds(keys: DataFrame, holdout: float | int, key_length: int) -> tuple[str, str]:
+def _thresholds(keys: DataFrame, holdout: float | int, key_length: int) -> list[_Boundary]:
     first = _histograms(keys, [_Boundary(1, 0, key_length)])[0]
     sizes = split_sizes(sum(n for _, n in first), holdout)
     ends = (sizes.test, sizes.test + sizes.eval)
@@ -119,7 +125,7 @@ def _thresholds(keys: DataFrame, holdout: float | int, key_length: int) -> tuple
             b.descend(histogram)
         open_bounds = [b for b in open_bounds if not b.done]
         histograms = _histograms(keys, open_bounds) if open_bounds else []
-    return bounds[0].prefix, bounds[1].prefix
+    return bounds
 
 
 def assign_by_key(
@@ -129,11 +135,23 @@ def assign_by_key(
 
     Runs one small counting job per three digits needed, which reads the key's columns only.
     """
-    test_end, eval_end = _thresholds(df.select(key.alias(KEY)), holdout, key_length)
-    return df.withColumn(
-        "split",
-        F.when(key < F.lit(test_end), "test").when(key < F.lit(eval_end), "eval").otherwise("train"),
-    )
+    bounds = _thresholds(df.select(key.alias(KEY)), holdout, key_length)
+
+    def assigned(rows: DataFrame, number: Column | None = None) -> DataFrame:
+        test, held = (b.before(key, number) for b in bounds)
+        return rows.withColumn(
+            "split", F.when(test, "test").when(held, "eval").otherwise("train")
+        )
+
+    repeated = {b.prefix for b in bounds if b.among}
+    if not repeated:
+        return assigned(df)
+    # rows of one key are interchangeable: only those at a boundary are numbered
+    at_bound = F.coalesce(key.isin(sorted(repeated)), F.lit(False))
+    number = F.row_number().over(Window.partitionBy(KEY).orderBy(KEY))
+    copies = df.where(at_bound).withColumn(KEY, key).withColumn("__number", number)
+    copies = assigned(copies, F.col("__number")).drop(KEY, "__number")
+    return assigned(df.where(~at_bound), F.lit(0)).unionByName(copies)
 
 
 def assign_split(
@@ -145,9 +163,9 @@ def assign_split(
 ) -> DataFrame:
     """The same with a key made from ``identity`` (all columns when not given).
 
-    The identity must tell rows apart. Where the data holds identical rows, ``tie_break`` extends
-    the key: for a table read from files, ``_metadata.file_path`` and ``_metadata.row_index``
-    always do.
+    Set sizes are exact whatever the identity. Rows of one identity go to one set, but for those
+    at a boundary, of which as many as needed go before it. ``tie_break`` extends the key: for a
+    table read from files, ``_metadata.file_path`` and ``_metadata.row_index`` tell any rows apart.
     """
     key = split_key(seed, list(identity or df.columns))
     if not tie_break:

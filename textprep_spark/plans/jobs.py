@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from textprep_spark import fixed_values as fv
 from textprep_spark.functions.documents import record_text
 from textprep_spark.operators.cleaning import require_columns
-from textprep_spark.operators.sizes import spread
 from textprep_spark.operators.split import KEY, assign_by_key, split_frames, split_key
 from textprep_spark.plans.prepare import distinct_records, document_texts
 from textprep_spark.sources.readers import read_records
@@ -43,7 +42,7 @@ def run_prepare_text(spark: SparkSession, config: PrepareTextConfig) -> str:
     are only put together as they are written. Duplicate removal has made the English text
     unique, so with the id it makes a key that no two records share.
     """
-    records = spread(read_records(spark, config.input_dir), fv.ID, fv.P + "title_en")
+    records = read_records(spark, config.input_dir)
     distinct = distinct_records(require_columns(records, fv.TEXT_COLUMNS), keep_eo=config.keep_eo)
     key = split_key(config.seed, [F.col(fv.ID), F.md5(record_text(distinct, ["en"]))])
     target = output_directory(config.output_dir, config.keep_eo)

@@ -19,9 +19,13 @@ def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def read_records(
-    spark: SparkSession, directory: str, schema: T.StructType | None = None
+    spark: SparkSession,
+    directory: str,
+    schema: T.StructType | None = None,
+    pattern: str = "*.parquet",
 ) -> DataFrame:
-    """All ``*.parquet`` entries directly in ``directory`` as one frame, matched by column name.
+    """All entries directly in ``directory`` that match ``pattern`` as one frame, matched by column
+    name.
 
     Without a ``schema`` the files' schemas are merged, which reads every footer; give one to
     skip that. Raises ``ValueError`` when there is no such entry.
@@ -29,7 +33,7 @@ def read_records(
     reader = spark.read
     reader = reader.schema(schema) if schema is not None else reader.option("mergeSchema", "true")
     try:
-        return reader.parquet(f"{directory.rstrip('/')}/*.parquet")
+        return reader.parquet(f"{directory.rstrip('/')}/{pattern}")
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             raise ValueError(f"No parquet files found in {directory}") from e
@@ -61,9 +65,17 @@ def read_label_queries(
     return _csv(spark, path, encoding, multi_line=True)
 
 
+def _parsed(c: Column, kind: str, what: str, options: dict[str, str] | None = None) -> Column:
+    """JSON text as ``kind``. Null stays null; any other text is an error, not a lost row."""
+    value = F.from_json(c, kind, options or {})
+    begin = F.substring(c, 1, 60)
+    failed = F.raise_error(F.concat(F.lit(f"not {what}: "), begin)).cast(kind)
+    return F.when(c.isNotNull(), F.coalesce(value, failed))
+
+
 def text_list(c: Column) -> Column:
-    """A list of strings written as JSON or with single quotes; null when it is neither."""
-    return F.from_json(c, "array<string>", {"allowSingleQuotes": "true"})
+    """A list of strings written as JSON or with single quotes; other text raises."""
+    return _parsed(c, "array<string>", "a list", {"allowSingleQuotes": "true"})
 
 
 def read_listed_queries(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
@@ -78,7 +90,7 @@ def embedding_source(
     """Any frame with ids and vectors as ``(doc_id, embedding)``; vectors may be JSON text."""
     vector = F.col(embedding)
     if isinstance(df.schema[embedding].dataType, T.StringType):
-        vector = F.from_json(vector, "array<double>")
+        vector = _parsed(vector, "array<double>", "a vector")
     return df.select(F.col(doc_id).alias("doc_id"), vector.alias("embedding"))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
@@ -37,12 +36,9 @@ def output_directory(base: str, keep_eo: bool) -> str:
 
 
 def _shared_directory(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="textprep-")
-    raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    """Where intermediate tables go: ``spark.checkpoint.dir``, or the warehouse if that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
 
 
 def stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
