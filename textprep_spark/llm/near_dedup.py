@@ -47,7 +47,7 @@ BATCH = 32  # hashes compared at a time
 MISS = 1e-4  # posterior probability below which a candidate is dropped
 BLOCK = 256  # members of a bucket compared at a time
 BROADCAST_IDS = 2_000_000  # ids of texts to read again that are broadcast, at most
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -367,7 +367,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     others = members.where("doc_id <> pivot")
     pairs = others.select("band", F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
     links = _confirm(pairs.where(F.col("band") < FIRST_BANDS).select("a", "b"), reps, texts)
-    nodes = components(links, "a", "b")
+    # what is linked to the same member is connected; that much is known without iterating
+    nodes = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
     pairs = pairs.where(F.col("band") >= FIRST_BANDS).select("a", "b").distinct()
     pairs = _component_of(_component_of(pairs, nodes, "a", "of_a"), nodes, "b", "of_b")
     links = links.union(_confirm(pairs.where("of_a <> of_b").select("a", "b"), reps, texts))
