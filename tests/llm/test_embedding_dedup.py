@@ -10,7 +10,7 @@ def unlinked(v):
 
 
 def brute(rows):
-    usable = [(i, np.array(v, dtype=float)) for i, v in rows if not unlinked(v)]
+    usable = [(i, np.array(v, dtype=float) / max(map(abs, v))) for i, v in rows if not unlinked(v)]
     links = []
     for k, (a, x) in enumerate(usable):
         for b, y in usable[:k]:
