@@ -146,7 +146,65 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@_query()
+_CODE = "case when ascii(c) < 65 then ascii(c) - 48 else ascii(c) - 55 end"
+_PLAIN = "replace(hit, ' ', '')"
+_DIGITS = "regexp_replace(hit, '[^0-9]', '', 'g')"
+_DIGIT = f"substr({_DIGITS}, length({_DIGITS}) - i, 1)::int"
+#: name, pattern, and what a hit must satisfy besides
+PII_SQL_KINDS = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    (
+        "ip",
+        r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "list_max(list_transform(string_split(hit, '.'), lambda p: p::double)) <= 255",
+    ),
+    (
+        "card",
+        r"[0-9]([\x20-]?[0-9])+",
+        f"length({_DIGITS}) between 14 and 19 and list_sum(list_transform(range(length({_DIGITS})),"
+        f" lambda i: case when i % 2 = 0 then {_DIGIT} when {_DIGIT} > 4 then 2 * {_DIGIT} - 9"
+        f" else 2 * {_DIGIT} end)) % 10 = 0",
+    ),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) between 10 and 15"),
+    (
+        "iban",
+        r"\b[A-Z]{2}[0-9]{2}( ?[A-Z0-9]{4}){2,7}( ?[A-Z0-9]{1,3})?\b",
+        f"length({_PLAIN}) between 15 and 34 and list_reduce(list_prepend(0, list_transform("
+        f"string_split(substr({_PLAIN}, 5) || left({_PLAIN}, 4), ''), lambda c: {_CODE})),"
+        " lambda rest, c: case when c < 10 then (rest * 10 + c) % 97 else (rest * 100 + c) % 97 end) = 1",
+    ),
+    (
+        "secret",
+        r"\b[0-9A-Fa-f]{32,64}\b",
+        "regexp_matches(lower(right(gap, 32)), 'token|secret|password|api.?key|bearer')",
+    ),
+)
+
+
+def _pii_kind_sql(order: int, name: str, pattern: str, valid: str) -> str:
+    return f"""select doc_id, {order} as kind_order, '{name}' as kind, start, start + length(hit) as stop
+from (select doc_id, hits[k] as hit, gaps[k] as gap,
+    list_sum(list_transform(gaps[1:k], lambda g: length(g)))
+      + coalesce(list_sum(list_transform(hits[1:k - 1], lambda h: length(h))), 0) as start
+  from (select *, unnest(range(1, len(hits) + 1)) as k
+    from (select doc_id, regexp_extract_all(text, '{pattern}') as hits,
+        string_split_regex(text, '{pattern}') as gaps from texts)))
+where {valid}"""
+
+
+PII_SQL = f"""
+with texts as materialized (select doc_id, coalesce(text, '') as text from documents),
+spans as ({" union all ".join(_pii_kind_sql(i, *k) for i, k in enumerate(PII_SQL_KINDS))}),
+told as (select *, kind || ':' || start::bigint || ':' || stop::bigint as span from spans)
+select t.doc_id, {", ".join(f"count(*) filter (where kind = '{k}') as n_{k}" for k in pii.BASE)},
+  sha256(coalesce(string_agg(span, ',' order by start, kind_order) filter (where kind_order < 4), ''))
+    as base_sha256,
+  coalesce(string_agg(span, ',' order by start, kind_order), '') as spans
+from texts t left join told s using (doc_id) group by t.doc_id
+"""
+
+
+@_query(PII_SQL)
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find_spans(documents).select("doc_id", "spans")
