@@ -1,5 +1,7 @@
 """Search, metrics, pairs and inference against brute force on small fixtures."""
 
+import sys
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from textprep_spark.operators.infer import embed_texts, generate_questions
 from textprep_spark.operators.pairs import adjacent_pairs, text_halves
 from textprep_spark.operators.search import DISTANCES, keyword_first, top_k
 from textprep_spark.plans.evaluate import evaluate_search, search
+from textprep_spark.plans.evaluate import main as evaluate_main
 
 RNG = np.random.default_rng(5)
 DIM = 6
@@ -344,7 +347,7 @@ def test_evaluation_end_to_end(spark):
     assert top[2][:2] == ["r4", "r2"] and len(top) == 3
 
 
-def test_evaluation_of_files(spark, tmp_path):
+def test_evaluation_of_files(spark, tmp_path, capsys):
     from textprep_spark import fixed_values as fv
     from textprep_spark.plans.evaluate import evaluate_files
 
@@ -358,6 +361,11 @@ def test_evaluation_of_files(spark, tmp_path):
     labels = tmp_path / "labels.csv"
     labels.write_bytes("query,query-fr,doc_id\nlake,wide,r1\nlake,wide,r1\nriver,forêt,r2\nx,y,\n".encode("latin-1"))
     metrics = evaluate_files(spark, str(labels), records, str(tmp_path), word_model, "some/words", k=1).first()
+    (tmp_path / "own_models.py").write_text("def load():\n    return lambda texts: [[float(t.lower().count('lake')) + 0.01] for t in texts]\n")
+    sys.path.insert(0, str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "own_models.py"))
+    evaluate_main(["--labels", str(labels), "--records", records, "--output-dir", str(tmp_path), "--loader", "own_models:load", "--model", "lakes", "--k", "1"])
+    assert '"labelled":3' in capsys.readouterr().out
     assert metrics["labelled"] == 3
     assert metrics["acc_at_k"] == metrics["mrr_at_k"] == 1.0
     assert metrics["keyword_acc_at_k"] == 0.0

@@ -33,7 +33,7 @@ from textprep_spark.operators.normalize import change_report, normalize_columns
 from textprep_spark.operators.pairs import adjacent_pairs, text_halves
 from textprep_spark.operators.search import keyword_first, top_k
 from textprep_spark.operators.split import assign_split
-from textprep_spark.plans.evaluate import evaluate_search
+from textprep_spark.plans.evaluate import evaluate_search, search
 from textprep_spark.plans.prepare import prepare_full, prepare_text
 from textprep_spark.sources.readers import (
     embedding_source,
@@ -855,6 +855,21 @@ def _evaluate_search(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(_evaluation(spark, d).metrics)
 
 
+@_query(
+    f"""with {_LETTER_CTE},
+asked as (select query_id, list_transform(c, lambda x: x / greatest(sqrt(list_dot_product(c, c)), 1e-12)) as v
+  from (select item_id as query_id, {_COUNTS} as c from benchmark)),
+scored as (select a.query_id, l.doc_id, round(1 - list_distance(a.v, l.v), 9) as s from asked a, letters l),
+hits as (select *, row_number() over (partition by query_id order by s desc, doc_id) as rank
+  from scored qualify rank <= 5)
+select query_id, doc_id, round(s, 6) as score, rank::integer as rank from hits"""
+)
+def search_texts(spark: SparkSession, d: str) -> DataFrame:
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    hits = search(queries, documents(spark, d).select("doc_id", "text"), letter_model, 5, "euclidean")
+    return hits.withColumn("score", F.round("score", 6))
+
+
 @_query(
     f"""with {_J3_CTES}
 select query_id, query_id as doc_id, string_agg(doc_id::varchar, '|' order by rank) as top_ids

@@ -1,8 +1,15 @@
-"""Search evaluation: embed, search, score."""
+"""Search evaluation: embed, search, score.
+
+    spark-submit --py-files textprep_spark.zip textprep_spark/plans/evaluate.py \\
+        --labels <csv> --records <parquet> --output-dir <dir> \\
+        --loader <module>:<function> --model <name> [--language en] [--k 5]
+"""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import argparse
+import importlib
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -139,3 +146,27 @@ def evaluate_files(
     result = evaluate_search(queries, records, load, k)
     write_predictions(result.predictions, output_dir, model)
     return result.metrics
+
+
+def main(argv: Sequence[str] | None = None) -> None:
+    """Evaluate a model from the command line; prints the metrics as JSON."""
+    parser = argparse.ArgumentParser(description="Evaluate a model on labelled queries.")
+    parser.add_argument("--labels", required=True, help="CSV of labelled queries")
+    parser.add_argument("--records", required=True, help="parquet table of records")
+    parser.add_argument("--output-dir", required=True, help="folder the predictions go to")
+    parser.add_argument("--loader", required=True, help="module:function that loads the model")
+    parser.add_argument("--model", required=True, help="name the predictions are written under")
+    parser.add_argument("--language", default="en")
+    parser.add_argument("--k", type=int, default=5)
+    a = parser.parse_args(argv)
+    module, _, function = a.loader.partition(":")
+    load = getattr(importlib.import_module(module), function)
+    spark = SparkSession.builder.appName("evaluate").getOrCreate()
+    metrics = evaluate_files(
+        spark, a.labels, a.records, a.output_dir, load, a.model, a.language, a.k
+    )
+    print(metrics.toJSON().first())
+
+
+if __name__ == "__main__":
+    main()
