@@ -55,3 +55,34 @@ def test_odd_vectors(spark):
 def test_a_repeated_id_is_a_row_of_its_own(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [2.0, 1.0])], "vec_id long, embedding array<double>")
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in e.near_duplicates(df).collect()) == [(1, 1, 1), (1, 1, 1), (2, 0, 2)]
+
+
+def in_subspace(chance, n, dims, rank):
+    """Unit vectors of a low-rank table, and for each another at the very cosine of a link."""
+    basis = np.linalg.qr(chance.normal(size=(dims, rank)))[0].T
+    x, aside = e.unit(chance.normal(size=(n, rank))), chance.normal(size=(n, rank))
+    aside = e.unit(aside - (aside * x).sum(axis=1, keepdims=True) * x)
+    return x @ basis, (0.95001 * x + np.sqrt(1 - 0.95001**2) * aside) @ basis
+
+
+@pytest.mark.parametrize("rank", [8, 16, 64])
+def test_low_rank_vectors_find_each_other(rank):
+    x, y = in_subspace(np.random.default_rng(rank), 8000, 64, rank)
+    a, b = x[6000:], y[6000:]
+    index = e.fit_index(x[:6000], 10_368, 0.95, 0.995)  # nine words a codebook
+    met = index.goes_to(a, index.home(b)) | index.goes_to(b, index.home(a))
+    assert met.mean() > 0.985
+
+
+def test_the_margin_holds_for_true_links(spark):
+    """Copies that are moved towards other groups of the table only."""
+    chance, rows = np.random.default_rng(5), []
+    base = e.unit(chance.normal(size=(700, 32)))
+    for i, x in enumerate(base):
+        near = base[np.argsort(-(base @ x))[1:4]].sum(axis=0)
+        near = near - (near @ x) * x
+        rows += [x, 0.951 * x + np.sqrt(1 - 0.951**2) * near / np.linalg.norm(near)]
+    rows = [(i, v.tolist()) for i, v in enumerate(rows)]
+    want, got = brute(rows), found(spark, rows)
+    assert all(got[i][0] <= want[i][0] for i in want)
+    assert sum(n for n, _ in got.values()) >= 0.99 * sum(n for n, _ in want.values())

@@ -3,15 +3,21 @@
 The two halves of a unit vector have codebooks of their own; the pairs of their codewords form a
 grid of cells. Every vector is posted in the cell of its two nearest codewords. It then visits cells
 from near to far, in the order of its distance to their codewords, until the next one is farther
-than its own cell by more than a margin. The margin is measured: pairs at the very cosine of a link,
-in random directions, must find each other with probability ``RECALL``, and closer pairs do so more
-surely. In a visited cell every posted vector is verified by its cosine in double precision.
-
-Codebooks and margin are fitted on a bounded sample, at most ``SAMPLE_ROWS`` vectors (least hash of
-the id); all vectors are indexed and all visit. The grid grows with the table, so cells stay small
-in the mean. A cell that holds many vectors all the same is dealt in blocks of ``BLOCK``; pairs of
-blocks are verified in tasks of their own, which give link counts for each vector and a spanning
-forest of the links, never the links themselves. Equal vectors are one class, verified once.
+than its own cell by more than a margin. In a visited cell every posted vector is verified by its
+cosine in double precision.
+
+The margin is measured, and the largest of these is taken. Pairs at the very cosine of a link must
+find each other with probability ``RECALL``, both where they differ in random directions and where
+they differ along differences of data vectors, which stay in the data's subspace however low its rank.
+So must the true links of at most ``QUERIES`` vectors of each length, found by comparing these with
+all rows: the share is taken of all links, and once more with each query counting the same, so that
+one large group does not set it alone.
+
+Codebooks are fitted on a bounded sample, at most ``SAMPLE_ROWS`` vectors (least hash of the id), of
+which the queries are part; all vectors are indexed and all visit. The grid grows with the table, so
+cells stay small in the mean. A cell that holds many vectors all the same is dealt in blocks of
+``BLOCK``; pairs of blocks are verified in tasks of their own, which give link counts for each vector
+and a spanning forest of the links, never the links themselves. Equal vectors are one class, verified once.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing; so do vectors
 of different lengths with each other. Repeated ids are rows of their own. A null id is counted as
@@ -38,6 +44,9 @@ RECALL = 0.995
 SAMPLE_ROWS = 20_000
 PER_CELL = 128  # vectors in a cell, in the mean
 MOST_WORDS = 1024  # of a codebook
+QUERIES = 2000  # vectors of each length whose true links are found
+BINS = 4096  # of excess distances
+MOST_EXCESS = 8.0
 BLOCK = 1024
 ROUNDS = 8  # of fitting a codebook
 CELL_BITS = 12  # of a codeword's number
@@ -112,6 +121,15 @@ class Index:
         at = np.arange(len(x))
         return a[at, cells >> CELL_BITS] + b[at, cells & ((1 << CELL_BITS) - 1)] <= self.margin
 
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The least margin at which one of each pair visits the other."""
+        excess = []
+        for one, other in ((x, y), (y, x)):
+            a, b = self._excess(one)
+            cell, at = self.home(other), np.arange(len(one))
+            excess.append(a[at, cell >> CELL_BITS] + b[at, cell & ((1 << CELL_BITS) - 1)])
+        return np.minimum(*excess)
+
 
 def fit_index(sample: np.ndarray, rows: int, cosine: float, recall: float) -> Index:
     """An index for ``rows`` vectors, from a sample of unit vectors."""
@@ -120,19 +138,20 @@ def fit_index(sample: np.ndarray, rows: int, cosine: float, recall: float) -> In
     n = min(max(1, round(math.sqrt(rows / PER_CELL))), MOST_WORDS, len(sample))
     first = _codebook(sample[:, :half], n, chance)
     second = _codebook(sample[:, half:], n, chance)
-    x = sample[:4000]
-    aside = chance.normal(size=x.shape)
-    aside -= (aside * x).sum(axis=1, keepdims=True) * x
-    length = np.sqrt((aside * aside).sum(axis=1, keepdims=True))
-    y = cosine * x + math.sqrt(1 - cosine**2) * aside / np.maximum(length, 1e-12)
     index = Index(first, second, 0.0)
-    excess = []
-    for one, other in ((x, y), (y, x)):
-        a, b = index._excess(one)
-        cell, at = index.home(other), np.arange(len(one))
-        excess.append(a[at, cell >> CELL_BITS] + b[at, cell & ((1 << CELL_BITS) - 1)])
-    least = np.minimum(*excess)  # it is enough that one of the two visits the other
-    return Index(first, second, float(np.quantile(least, recall, method="higher")))
+    x = sample[:4000]
+    differences = sample[chance.integers(len(sample), size=len(x))]
+    differences = differences - sample[chance.integers(len(sample), size=len(x))]
+    margin = 0.0
+    for aside in (chance.normal(size=x.shape), differences):
+        aside -= (aside * x).sum(axis=1, keepdims=True) * x
+        length = np.sqrt((aside * aside).sum(axis=1, keepdims=True))
+        some = length[:, 0] > 1e-9
+        if some.any():
+            y = cosine * x[some] + math.sqrt(1 - cosine**2) * aside[some] / length[some]
+            apart = index.apart(x[some], y)
+            margin = max(margin, float(np.quantile(apart, recall, method="higher")))
+    return Index(first, second, margin)
 
 
 def _usable(v: Column) -> Column:
@@ -180,6 +199,77 @@ def _indexes(sample: list[tuple], rows: dict[int, int], cosine: float, recall: f
     return found
 
 
+def _widened(one: DataFrame, sample: list[tuple], indexes: dict, cosine: float, recall: float) -> dict:
+    """``indexes`` with margins at which true links of some of the sample are found as well."""
+    queries: dict[int, list] = {}
+    for node, v in sample:
+        own = queries.setdefault(len(v), [])
+        if len(own) < QUERIES and math.isfinite(indexes[len(v)].margin):
+            own.append((node, v))
+    queries = {
+        length: (np.array([n for n, _ in own]), unit(np.array([v for _, v in own], dtype=float)))
+        for length, own in queries.items()
+        if own
+    }
+    shared = one.sparkSession.sparkContext.broadcast((queries, indexes))  # part of the sample
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many links of each query lie in each bin of excess."""
+        queries, indexes = shared.value
+        for batch in batches:
+            sizes = batch["vector"].value_lengths().to_numpy()
+            for length in np.unique(sizes).tolist():
+                if length not in queries:
+                    continue
+                own = batch.filter(pa.array(sizes == length))
+                nodes, index = own["node"].to_numpy(), indexes[length]
+                names, q = queries[length]
+                for start in range(0, len(nodes), BLOCK):
+                    x = _units(own["vector"].slice(start, BLOCK))
+                    hits = x @ q.T >= cosine
+                    hits &= nodes[start : start + BLOCK, None] != names[None, :]
+                    at, which = np.nonzero(hits)
+                    found: dict[int, int] = {}
+                    for part in range(0, len(at), BLOCK):
+                        some = slice(part, part + BLOCK)
+                        apart = index.apart(x[at[some]], q[which[some]])
+                        bins = np.ceil(apart * (BINS / MOST_EXCESS)).astype(np.int64)
+                        for key, n in zip(*np.unique(which[some] * 2 * BINS + bins, return_counts=True)):
+                            found[int(key)] = found.get(int(key), 0) + int(n)
+                    keys = np.array(list(found), dtype=np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(keys), length, dtype=np.int32)),
+                            pa.array((keys // (2 * BINS)).astype(np.int32)),
+                            pa.array((keys % (2 * BINS)).astype(np.int32)),
+                            pa.array(list(found.values()), pa.int64()),
+                        ],
+                        names=["length", "query", "bin", "n"],
+                    )
+
+    links = one.select("node", "vector").mapInArrow(linked, "length int, query int, bin int, n long")
+    links = links.groupBy("length", "query", "bin").agg(F.sum("n").alias("n"))
+    links = links.groupBy("length", "query").agg(
+        F.collect_list(F.struct("bin", "n")).alias("bins"), F.sum("n").alias("total")
+    )
+    links = links.select("length", "total", F.inline("bins"))
+    links = links.groupBy("length", "bin").agg(
+        F.sum("n").alias("links"), F.sum(F.col("n") / F.col("total")).alias("queries")
+    )
+    wider = dict(indexes)
+    by_length: dict[int, list] = {}
+    for r in links.collect():  # at most 2 * BINS rows of each length
+        by_length.setdefault(r.length, []).append((r.bin, float(r.links), r.queries))
+    for length, rows in by_length.items():
+        bins, *weights = (np.array(c) for c in zip(*sorted(rows)))
+        for weight in weights:
+            reached = np.cumsum(weight) >= recall * weight.sum() * (1 - 1e-12)
+            margin = float(bins[reached.argmax()]) * (MOST_EXCESS / BINS)
+            own = wider[length]
+            wider[length] = Index(own.first, own.second, max(own.margin, margin))
+    return wider
+
+
 def near_duplicates(
     embeddings: DataFrame, cosine: float = COSINE, recall: float = RECALL
 ) -> DataFrame:
@@ -207,9 +297,10 @@ def near_duplicates(
 
     sample = one.select("node", "vector").orderBy(F.xxhash64("node"), "node").limit(SAMPLE_ROWS)
     lengths = one.groupBy(F.size("vector").alias("length")).count().collect()
-    indexes = _indexes(
-        sample.select("vector").collect(), {r.length: r["count"] for r in lengths}, cosine, recall
-    )
+    sample = sample.collect()
+    rows = {r.length: r["count"] for r in lengths}
+    indexes = _indexes([(v,) for _, v in sample], rows, cosine, recall)
+    indexes = _widened(one, sample, indexes, cosine, recall)
     shared = spark.sparkContext.broadcast(indexes)  # two codebooks of at most MOST_WORDS words
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
