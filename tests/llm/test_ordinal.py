@@ -55,3 +55,41 @@ def test_odd_tables(spark):
         assert ordinal.grade(documents.limit(0), ordinal.fit(documents.limit(0), rated)).collect() == []
         if len({g for i, g in grades if i and g is not None}) < 2:
             assert all(r.kept for r in got)
+
+
+def test_wrong_labels_do_not_set_the_cut(spark):
+    """Some texts with foul words are rated best; one foul word must be enough, ten not too many."""
+    rows, grades = corpus(3000, 3)
+    chance, given = random.Random(4), []
+    for i, g in grades:
+        if g == 1:
+            words = rows[i][1].split()
+            for place in range(chance.choice([1, 1, 10])):
+                words[place] = chance.choice(["foul", "vile", "rotten", "bad1", "bad2", "bad3"])
+            words[30] = words[0]
+            rows[i] = (i, " ".join(words))
+        given.append((i, 2 if g == 1 and chance.random() < 0.03 else g))
+    documents, rated = frames(spark, rows, given[:2000])
+    got = {r.doc_id: r for r in ordinal.grade(documents, ordinal.fit(documents, rated)).collect()}
+    kept = {g: np.mean([got[i].kept for i, x in grades[2000:] if x == g]) for g in (0, 1, 2)}
+    assert kept[2] > 0.97 and kept[0] < 0.02 and kept[1] < 0.1
+
+
+def test_words_are_known_by_their_beginnings(spark):
+    """The words of poor texts are all different and begin alike."""
+    rows, grades = corpus(1500, 5)
+    poor = [i for i, g in grades if g == 0]
+    for i in poor:
+        rows[i] = (i, " ".join([f"w{k}x{i}" for k in range(60)] + [f"slander{i}"]))
+    documents, rated = frames(spark, rows, grades[:1000])
+    got = {r.doc_id: r for r in ordinal.grade(documents, ordinal.fit(documents, rated)).collect()}
+    kept = {g: np.mean([got[i].kept for i, x in grades[1000:] if x == g]) for g in (0, 2)}
+    assert kept[2] > 0.97 and kept[0] < 0.02
+
+
+def test_the_cut_weighs_both_sides():
+    best = np.concatenate([[0.001], np.linspace(0.6, 1, 999)])
+    cut = ordinal.choose_cut(best, np.array([0.0005, 0.2, 0.4, 0.99]))
+    assert 0.4 < cut < 0.62
+    assert ordinal.choose_cut(np.array([]), np.array([0.5])) == 0.0
+    assert ordinal.choose_cut(np.array([0.4, 0.5]), np.array([])) == 0.4

@@ -1,13 +1,17 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
 ``P(grade <= k) = sigmoid(threshold_k - score)``: all grades share the weights of one score, the
-thresholds between them are ordered. The score of a text sums the weights of its distinct words, by
-hash, and of some rates of its writing. From the score follow the expected grade and the probability
-of each tail, ``P(grade >= k)``.
+thresholds between them are ordered. The score of a text sums the weights of its distinct words and
+word beginnings, by hash, and of some rates of its writing. Beginnings carry what is known over to
+words that are too rare to have a weight. Words or beginnings that stand mostly in texts of one grade
+below the best mark it: a text that holds any is moved by one more weight of that grade, however many
+it holds. A sum alone cannot place a middle grade both for one such word and for many. From the score
+follow the expected grade and the probability of each tail, ``P(grade >= k)``.
 
 The model is fitted on a bounded sample of the rated documents, at most ``SAMPLE_ROWS`` (least hash
 of the id), on the driver; every document is scored, whole. A fifth of the sample is held out and
-sets the cut: the tail probability that all but ``SPARED`` of its best-graded documents reach.
+sets the cut from both sides: of the tail probabilities that all but ``SPARED`` of its best-graded
+documents reach, one that the fewest others reach.
 
 Null and empty texts have no words; they get the score of none. Without ratings, or with a single
 grade, every document gets that grade (0 without any) and is kept. Repeated ratings count each.
@@ -29,10 +33,12 @@ from textprep_spark.llm.common import bound_batches
 from textprep_spark.shipping import ship
 
 SAMPLE_ROWS = 8000
-SPARED = 0.001  # of the best-graded held-out documents may fall below the cut
+SPARED = 0.01  # of the best-graded held-out documents may fall below the cut
 MIN_TEXTS = 5  # of the sample, that a word must stand in to get a weight
-MIN_DEVIATION = 3.5  # standard errors that the share of a grade among its texts must be off
-DECAY = 1e-4
+MIN_DEVIATION = 5.0  # standard errors that the share of a grade among its texts must be off
+MARKS = 0.5  # of the texts with a word that marks a grade have the grade, at least
+BEGINNING = 5  # bytes of a longer word
+DECAY = 1e-3  # with less, words of long texts that stand by chance make up for marks
 STEPS, RATE = 150, 0.1
 CACHED_WORDS = 300_000
 EDGES = b".,;:!?\"'()[]|#*$%&<>"
@@ -52,33 +58,42 @@ def rates(words: list[bytes], times: Counter) -> list[float]:
     return [upper / n, marks / n, symbols / n, digits / n, repeated / n, float(n < 50)]
 
 
-def word_key(word: bytes) -> int:
-    """The hash of a word without the marks around it, ASCII letters lower-cased."""
-    return xxhash.xxh3_64_intdigest(word.strip(EDGES).lower()) >> 1
+def word_keys(word: bytes) -> list[int]:
+    """The hashes of a word without the marks around it, ASCII letters lower-cased, and of its
+    beginning."""
+    plain = word.strip(EDGES).lower()
+    keys = [xxhash.xxh3_64_intdigest(plain) >> 1]
+    if len(plain) > BEGINNING:
+        keys.append(xxhash.xxh3_64_intdigest(plain[:BEGINNING], seed=1) >> 1)
+    return keys
 
 
 @dataclass(frozen=True)
 class OrdinalModel:
-    """Weights by word hash and rate, and the ordered thresholds between grades."""
+    """Weights by word hash, marked grade and rate, and the ordered thresholds between grades."""
 
     weights: dict[int, float]
+    marks: dict[int, int]  # the grade that a word hash marks
+    mark_weights: tuple[float, ...]
     rate_weights: tuple[float, ...]
     thresholds: tuple[float, ...]
     cut: float  # of the highest tail probability
 
-    def score(self, text: bytes | None, known: dict[bytes, tuple[int, float]]) -> float:
+    def score(self, text: bytes | None, known: dict[bytes, tuple]) -> float:
         words = text.split() if text else []
         times = Counter(words)
         keys: dict[int, float] = {}
         for word in times:
             found = known.get(word)
             if found is None:
-                key = word_key(word)
-                found = known[word] = key, self.weights.get(key, 0.0)
-            if found[1]:
-                keys[found[0]] = found[1]
+                own = [k for k in word_keys(word) if k in self.weights]
+                found = known[word] = tuple((k, self.weights[k]) for k in own)
+            if found:
+                keys.update(found)
+        marked = {self.marks[k] for k in keys if k in self.marks}
         rated = zip(rates(words, times), self.rate_weights)
-        return sum(keys.values()) + sum(r * w for r, w in rated)
+        score = sum(keys.values()) + sum(self.mark_weights[g] for g in marked)
+        return score + sum(r * w for r, w in rated)
 
     def tails(self, scores: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k from 1, a column each."""
@@ -132,7 +147,7 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch["text"].to_pylist():
             words = text.split() if text else []
             times = Counter(words)
-            keys.append(sorted({word_key(w) for w in times}))
+            keys.append(sorted({k for w in times for k in word_keys(w)}))
             rated.append(rates(words, times))
         yield pa.RecordBatch.from_arrays(
             [
@@ -161,63 +176,96 @@ def fit(documents: DataFrame, ratings: DataFrame, sample_rows: int = SAMPLE_ROWS
     found = found.select("order", "grade", "text").mapInArrow(
         _entries, "order long, grade int, keys array<long>, rates array<double>"
     )
-    rows = sorted(zip(*found.toArrow().to_pydict().values()))
+    table = found.toArrow().combine_chunks()
+    keys = table["keys"].combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int64()))
+    keys = [k.values.to_numpy() for k in keys]
+    given = (table["order"].to_pylist(), table["grade"].to_pylist(), keys, table["rates"].to_pylist())
+    return fit_rows(sorted(zip(*given), key=lambda r: (r[0], r[1], r[2].tobytes())))
+
+
+def fit_rows(rows: list[tuple]) -> OrdinalModel:
+    """A model from (order, grade, sorted word hashes, rates) of each sampled document."""
     grades = np.array([r[1] for r in rows], dtype=np.int64)
     if len(set(grades.tolist())) < 2:
         top = int(grades.max()) if len(grades) else 0
-        return OrdinalModel({}, (0.0,) * len(RATES), (-40.0,) * top, 0.0)
+        return OrdinalModel({}, {}, (0.0,) * top, (0.0,) * len(RATES), (-40.0,) * top, 0.0)
+    top = int(grades.max())
     held = np.array([r[0] % 5 == 0 for r in rows])
-    if len(set(grades[~held].tolist())) < grades.max() + 1:  # too few to hold any out
+    if len(set(grades[~held].tolist())) < top + 1:  # too few to hold any out
         held[:] = False
     fitted = [r for r, h in zip(rows, held) if not h]
     all_keys, which, texts_with = np.unique(
-        np.array([k for r in fitted for k in r[2]], dtype=np.int64),
-        return_inverse=True,
-        return_counts=True,
+        np.concatenate([r[2] for r in fitted]), return_inverse=True, return_counts=True
     )
     # words whose texts are graded like any other would only add noise
     own, sizes = grades[~held], [len(r[2]) for r in fitted]
-    deviation = np.zeros(len(all_keys))
+    deviation, marked = np.zeros(len(all_keys)), np.full(len(all_keys), -1)
     for g in np.unique(own):
-        share = (own == g).mean()
-        off = np.repeat((own == g) - share, sizes)
-        sums = np.abs(np.bincount(which, weights=off, minlength=len(all_keys)))
+        share, with_grade = (own == g).mean(), np.repeat((own == g).astype(float), sizes)
+        sums = np.bincount(which, weights=with_grade, minlength=len(all_keys))
         spread = np.sqrt(texts_with * max(share * (1 - share), 1e-9))
-        deviation = np.maximum(deviation, sums / spread)
-    keys = all_keys[(texts_with >= MIN_TEXTS) & (deviation >= MIN_DEVIATION)]
-    n = len(keys) + len(RATES)
+        deviation = np.maximum(deviation, np.abs(sums - share * texts_with) / spread)
+        if g < top:
+            marked[_least_share(sums, texts_with) >= max(MARKS, share)] = g
+    some = (texts_with >= MIN_TEXTS) & (deviation >= MIN_DEVIATION)
+    keys, marks = all_keys[some], marked[some]
+    n = len(keys) + top + len(RATES)
 
     def matrix(some: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        sizes = [len(r[2]) for r in some]
-        flat = np.array([k for r in some for k in r[2]], dtype=np.int64)
-        at = np.repeat(np.arange(len(some)), sizes)
+        flat = np.concatenate([r[2] for r in some])
+        at = np.repeat(np.arange(len(some)), [len(r[2]) for r in some])
         column = np.searchsorted(keys, flat)
         column[column == len(keys)] = 0
         known = keys[column] == flat if len(keys) else np.zeros(len(flat), dtype=bool)
+        at, column = at[known], column[known]
+        marking = marks[column] >= 0
+        holding = np.unique(at[marking] * top + marks[column[marking]])
         more = np.repeat(np.arange(len(some)), len(RATES))
-        names = np.tile(np.arange(len(keys), n), len(some))
+        names = np.tile(np.arange(n - len(RATES), n), len(some))
         values = np.array([v for r in some for v in r[3]])
         return (
-            np.concatenate([at[known], more]),
-            np.concatenate([column[known], names]),
-            np.concatenate([np.ones(known.sum()), values]),
+            np.concatenate([at, holding // top, more]),
+            np.concatenate([column, len(keys) + holding % top, names]),
+            np.concatenate([np.ones(len(at) + len(holding)), values]),
         )
 
     weights, cuts = fit_ordinal(*matrix(fitted), grades[~held], n)
     judged = [r for r, h in zip(rows, held) if h] or fitted
     at, column, values = matrix(judged)
     scores = np.bincount(at, weights=values * weights[column], minlength=len(judged))
-    best = np.array([r[1] for r in judged]) == grades.max()
-    tails = _sigmoid(scores[best] - cuts[-1])
-    cut = float(np.quantile(tails, SPARED, method="lower")) if len(tails) else 0.0
+    best = np.array([r[1] for r in judged]) == top
+    tails = _sigmoid(scores - cuts[-1])
+    weights = weights.tolist()
     return OrdinalModel(
-        dict(zip(keys.tolist(), weights.tolist())),
-        tuple(weights[len(keys) :].tolist()),
+        dict(zip(keys.tolist(), weights)),
+        {k: g for k, g in zip(keys.tolist(), marks.tolist()) if g >= 0},
+        tuple(weights[len(keys) : len(keys) + top]),
+        tuple(weights[len(keys) + top :]),
         tuple(cuts.tolist()),
-        min(cut, 0.5),
+        choose_cut(tails[best], tails[~best]),
     )
 
 
+def _least_share(hits: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The lower end of Wilson's interval, two standard errors wide to each side."""
+    share, z = hits / n, 4 / n
+    return (share + z / 2 - np.sqrt(z * share * (1 - share) + z * z / 4)) / (1 + z)
+
+
+def choose_cut(best: np.ndarray, others: np.ndarray) -> float:
+    """Where at most ``SPARED`` of ``best`` fall below, and as many of ``others`` as then can;
+    midway between the tails around it."""
+    if not len(best):
+        return 0.0
+    best = np.sort(best)
+    highest = best[int(SPARED * len(best))]
+    caught = others[others < highest]
+    if not len(caught):
+        return float(best[0])
+    most = caught.max()
+    return float((most + best[np.searchsorted(best, most, side="right")]) / 2)
+
+
 def grade(documents: DataFrame, model: OrdinalModel) -> DataFrame:
     """(doc_id, expected_grade, tail, kept): ``tail`` is the probability of the highest grade."""
     spark = documents.sparkSession
