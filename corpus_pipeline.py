@@ -28,7 +28,7 @@ def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that match an earlier line go; no document does."""
-    left = line_dedup.dedup_lines(docs).select(*docs.columns)
+    left = line_dedup.dedup_lines(docs, matching=True).select(*docs.columns)
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return left

@@ -71,3 +71,44 @@ def test_odd_rows(spark):
     assert found(spark, []) == []
     nulls = found(spark, [(None, "a b"), (None, "c d"), (1, "a b")])
     assert sorted(((r.doc_id or 0), r.text) for r in nulls)[-1] == (1, "")
+
+
+def brute_matching(rows):
+    """As ``brute``, but only lines that are themselves linked to an earlier one go."""
+    seen, out = {}, {}
+    for doc, text in sorted(rows):
+        stay = []
+        for line in text.split("\n"):
+            own = tokens(line)
+            if line not in seen and not any(4 * len(own & t) >= 3 * len(own | t) for t in seen.values()):
+                stay.append(line)
+            seen.setdefault(line, own)
+        out[doc] = "\n".join(stay)
+    return out
+
+
+def test_a_line_without_an_earlier_match_stays(spark):
+    """Chains of lines, dealt in any order; a later line bridges two earlier ones."""
+    chance, lines = random.Random(12), []
+    for c in range(25):
+        words = [f"c{c}w{i}" for i in range(40)]
+        for step in range(8):
+            words = [*words[3:], *[f"c{c}n{step}{i}" for i in range(3)]]
+            lines.append(" ".join(words))
+    lines += chance.choices(lines, k=60)
+    chance.shuffle(lines)
+    rows = [(i, "\n".join(lines[3 * i : 3 * i + 3])) for i in range(len(lines) // 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_matching(rows)
+    assert want != brute(rows)
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df, matching=True).collect()} == want
+
+
+def test_the_pipeline_keeps_lines_without_an_earlier_match(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(46)]
+    a, b, c = (" ".join(words[k : k + 40]) for k in (0, 3, 6))
+    df = spark.createDataFrame([(1, a), (2, c), (3, b)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.remove_lines(spark, df, "").collect()}
+    assert got == {1: a, 2: c, 3: ""}
