@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textprep_spark.llm import bpe, chat, embedding_dedup, line_dedup, mixing, near_dedup, ordinal, pii, quality_rules, url_filter
+from textprep_spark.llm import bpe, chat, embedding_dedup, langid, line_dedup, mixing, near_dedup, ordinal, pii, quality_rules, url_filter
 from textprep_spark.llm.common import LOWER, UPPER, sha256_hex, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -375,3 +375,18 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(
         table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     )
+
+
+@_query()
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    documents = documents.withColumn("held_out", F.coalesce(fold == 0, F.lit(False)))
+    learned = documents.where(fold != 0).select("text", "lang")
+    model = langid.fit(learned, public_tokenizers.path("piece_bpe_32k.model"))
+    told = documents.select("doc_id", "held_out", model.predict(F.col("text")).alias("told"))
+    return told.select(
+        "doc_id", "held_out", F.col("told.lang").alias("lang_pred"), F.col("told.score").alias("score")
+    )
