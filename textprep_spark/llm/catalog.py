@@ -12,8 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textprep_spark.llm import bpe, chat, embedding_dedup, langid, line_dedup, mixing, near_dedup, ordinal, pii, quality_rules, url_filter
-from textprep_spark.llm.common import LOWER, UPPER, sha256_hex, table
+from textprep_spark.llm import bpe, chat, embedding_dedup, langid, line_dedup, mixing, near_dedup, ordinal, pii, quality_rules, trie, url_filter
+from textprep_spark.llm.common import LOWER, UPPER, sha256_hex, stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -390,3 +390,78 @@ def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select(
         "doc_id", "held_out", F.col("told.lang").alias("lang_pred"), F.col("told.score").alias("score")
     )
+
+
+TRIE_SQL = r"""
+with turns as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as place
+  from conversations where conv_id is not null
+), convs as (
+  select conv_id, list({'role': role, 'text': text} order by place) as own from turns group by conv_id
+), sized as (
+  select c.conv_id, c.own, coalesce(b.own, []) as base, c.conv_id % 20 = 0 as is_base from convs c
+  left join convs b on b.conv_id = c.conv_id - c.conv_id % 20
+), shared as (
+  select s.*, h.h from sized s join hashes h using (conv_id)
+), rebuilt as materialized (
+  select conv_id, case when is_base then own else list_concat(base[1:h], own[h + 1:]) end as said from shared
+), prefixes as materialized (
+  select conv_id, depth, said[1:depth] as path, depth = len(said) as whole
+  from (select conv_id, said, unnest(range(0, len(said) + 1)) as depth from rebuilt)
+), nodes as materialized (
+  select min(conv_id) as conv_id, depth, path, count(*) as n_convs,
+    len(regexp_extract_all(coalesce(path[-1].text, ''), '[^\x20\x09-\x0D]+')) as words,
+    string_agg(conv_id::varchar, ',' order by conv_id) filter (where whole) as ends
+  from prefixes group by depth, path
+), linked as materialized (
+  select n.*, p.conv_id as parent_conv_id from nodes n
+  left join nodes p on p.depth = n.depth - 1 and p.path = n.path[1:n.depth - 1]
+), children as (
+  select parent_conv_id as conv_id, depth - 1 as depth, count(*) as n_children from linked where depth > 0 group by all
+), counted as materialized (
+  select l.*, coalesce(c.n_children, 0) as n_children from linked l left join children c using (conv_id, depth)
+), above as (
+  select a.depth, a.path, n.n_children, (n.n_convs - 1) * n.words as saved
+  from counted n join prefixes r on r.conv_id = n.conv_id and r.depth <= n.depth
+  join counted a on a.depth = r.depth and a.path = r.path
+), sums as (
+  select depth, path, sum((n_children = 0)::int) as n_leaves, sum(saved) as saved_tokens from above group by depth, path
+)
+select c.conv_id, c.depth, c.parent_conv_id, c.n_convs, c.n_children, s.n_leaves::bigint as n_leaves,
+  s.saved_tokens::bigint as saved_tokens, sha256(coalesce(c.ends, '')) as ends_sha256
+from counted c join sums s using (depth, path)
+"""
+
+
+def _crc32_sql(argument: str) -> str:
+    """DuckDB has no crc32: bit by bit over the bytes of a decimal number."""
+    step = "case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end"
+    byte = f"list_reduce(list_prepend(xor(c, b), [0::ubigint, 0, 0, 0, 0, 0, 0, 0]), lambda c, i: {step})"
+    codes = f"list_transform(string_split({argument}::varchar, ''), lambda d: ascii(d)::ubigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::ubigint, {codes}), lambda c, b: {byte}), 4294967295)"
+
+
+_HASHES = f"hashes as (select distinct conv_id, ({_crc32_sql('conv_id')} % 4)::bigint as h from conversations)"
+TRIE_SQL = TRIE_SQL.replace("with turns", f"with {_HASHES}, turns", 1)
+
+
+@_query(TRIE_SQL)
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = stage(trie.ordered_turns(table(spark, sf_dir, "conversations")), "ordered-turns")
+    base = F.col("conv_id") - F.col("conv_id") % 20
+    taken = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
+    convs = turns.where("place = 0").select(
+        "conv_id", base.alias("base"), F.when(base == F.col("conv_id"), 0).otherwise(taken).alias("taken")
+    )
+    first = turns.where("place < 3 and conv_id % 20 = 0").groupBy(F.col("conv_id").alias("base"))
+    first = first.agg(F.array_sort(F.collect_list(F.struct("place", "a", "b", "words"))).alias("first"))
+    opened = convs.join(first, "base", "left").select(
+        "conv_id", "taken", F.slice(F.coalesce("first", F.array()), F.lit(1), F.col("taken").cast("int")).alias("shared")
+    )
+    opened = stage(opened, "openings")
+    shared = opened.select("conv_id", F.inline("shared"))
+    shared = shared.select("conv_id", (F.col("place") + 1).alias("depth"), "a", "b", "words")
+    own = turns.join(opened.select("conv_id", "taken", F.size("shared").alias("n")), "conv_id").where("place >= taken")
+    own = own.select("conv_id", (F.col("place") - F.col("taken") + F.col("n") + 1).alias("depth"), "a", "b", "words")
+    return trie.prefix_trie(shared.unionByName(own), opened.select("conv_id"))
