@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textprep_spark.llm import bpe, chat, embedding_dedup, langid, line_dedup, mixing, near_dedup, ordinal, pii, quality_rules, trie, url_filter
+from textprep_spark.llm import alignment, bpe, chat, embedding_dedup, langid, line_dedup, mixing, near_dedup, ordinal, pii, quality_rules, trie, url_filter
 from textprep_spark.llm.common import LOWER, UPPER, sha256_hex, stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -392,6 +392,17 @@ def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query()
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(
+        table(spark, sf_dir, "documents").select("doc_id", "text"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
+
+
 TRIE_SQL = r"""
 with turns as (
   select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
