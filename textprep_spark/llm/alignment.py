@@ -37,6 +37,8 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +51,9 @@ from textprep_spark.llm.common import bound_batches, stage
 from textprep_spark.shipping import ship
 
 MARK = "▁"
-CACHED = 300_000  # units a Python worker remembers
+CACHED = 150_000  # units in each of the two generations that a Python worker remembers
+GROUP = 1 << 19  # characters of texts that are cut at a time
+BATCH = 1 << 22  # characters of texts whose links are counted together
 TOGETHER = 1 << 19  # characters of new units that are aligned in one pass
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
@@ -148,18 +152,19 @@ class Tokenizers:
         coded = self.a.encode(text, add_special_tokens=False)
         a = np.array(coded.ids, dtype=np.int64)
         ends = char_ends(text)
-        offsets = np.array(coded.offsets, dtype=np.int64).reshape(-1, 2)
+        offsets = np.fromiter(chain.from_iterable(coded.offsets), dtype=np.int64, count=2 * len(a)).reshape(-1, 2)
         pieces = self.b.encode(text[1:], return_type="proto").pieces
-        told = np.array([(p.id, p.begin, p.end) for p in pieces], dtype=np.int64).reshape(-1, 3)
-        b = told[:, 0]
+        b, b_starts, b_stops = (
+            np.fromiter(map(attrgetter(x), pieces), dtype=np.int64, count=len(pieces)) for x in ("id", "begin", "end")
+        )
         if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != whole:
             return None
         if b"".join(map(self.b_bytes.__getitem__, b.tolist())) != whole:
             return None
         at_a = refined(ends[offsets[:, 0]], ends[offsets[:, 1]], self.a_sizes[a])
         # spans count the text's bytes: one less than here, but that the space in front starts at 0
-        starts = np.where(np.arange(len(b)) > 0, told[:, 1] + 1, 0)
-        at_b = refined(starts, told[:, 2] + 1, self.b_sizes[b])
+        starts = np.where(np.arange(len(b)) > 0, b_starts + 1, 0)
+        at_b = refined(starts, b_stops + 1, self.b_sizes[b])
         if at_a is None or at_b is None:  # spans that do not fit the bytes: the bytes alone decide
             at_a, at_b = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
         cuts, of_a, of_b = np.intersect1d(at_a, at_b, assume_unique=True, return_indices=True)
@@ -182,12 +187,25 @@ class Units:
         self.told[:] = told
         self.n_a = len(a)
         self.n_b = len(b)
+        self._begin()
+        self.before = self._all()
+
+    def _begin(self) -> None:
         self.known: dict[str, int] = {}
         self.a: list[int] = []
         self.b: list[int] = []
         self.groups: list[bytes] = []
         self.links: list[bytes] = []  # 8 bytes each
 
+    def _all(self) -> tuple:
+        return self.known, self.a, self.b, self.groups, self.links
+
+    def forget(self) -> None:
+        """Drop what has not been met for long: of two generations, the older one."""
+        if len(self.known) > CACHED:
+            self.before = self._all()
+            self._begin()
+
     def _add(self, unit: str, a: int, b: int, groups: bytes, links: bytes) -> None:
         self.known[unit] = len(self.a)
         self.a.append(a)
@@ -236,13 +254,10 @@ class Units:
             self._learn(units[len(units) // 2 :])
 
     def learn(self, met: set[str]) -> None:
-        if len(self.known) > CACHED:
-            kept = list(met.intersection(self.known))
-            at = [self.known[u] for u in kept]
-            self.known = dict(zip(kept, range(len(kept))))
-            self.a, self.b, self.groups, self.links = (
-                [x[i] for i in at] for x in (self.a, self.b, self.groups, self.links)
-            )
+        known, *columns = self.before
+        for unit in met.difference(self.known).intersection(known):
+            i = known[unit]
+            self._add(unit, *[c[i] for c in columns])
         some, size = [], 0
         for unit in sorted(met.difference(self.known)):
             if not self.tokenizers.local:
@@ -292,30 +307,44 @@ ROWS = pa.schema(
 )
 
 
+def _runs(texts: list[str | None], characters: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about so many characters."""
+    start = size = 0
+    for i, text in enumerate(texts, 1):
+        size += len(text or "")
+        if size >= characters or i == len(texts):
+            yield start, i
+            start, size = i, 0
+
+
 def _aligned(units: Units, batch: int, ids: list, texts: list[str | None]) -> pa.RecordBatch:
     """Rows of one batch: one for each text, and one for its units."""
-    cut = [units.tokenizers.units(t) if t else [] for t in texts]
-    units.learn(set().union(*cut))
-    number, groups = units.known.__getitem__, units.groups.__getitem__
+    units.forget()
+    at, told, number, groups = [], [], units.known.__getitem__, units.groups
+    for start, stop in _runs(texts, GROUP):
+        cut = [units.tokenizers.units(t) if t else [] for t in texts[start:stop]]
+        units.learn(set().union(*cut))
+        for own in cut:
+            own = list(map(number, own))
+            told.append(hashlib.sha256(b";".join([groups[i] for i in own])).hexdigest())
+            at.append(np.array(own, dtype=np.int32))
     n_a, n_b = np.array(units.a, dtype=np.int64), np.array(units.b, dtype=np.int64)
     n_links = np.fromiter(map(len, units.links), dtype=np.int64, count=len(units.links)) // 8
-    at = [list(map(number, own)) for own in cut]
-    sound = [bool(own) and bool((n_a[own] >= 0).all()) for own in at]
-    flat = np.concatenate([np.empty(0, dtype=np.int64), *[own for own, s in zip(at, sound) if s]])
-    used, local, times = np.unique(flat.astype(np.int64), return_inverse=True, return_counts=True)
-    rows, start = [], 0
-    for doc_id, own, s in zip(ids, at, sound):
+    sound = [len(own) > 0 and bool((n_a[own] >= 0).all()) for own in at]
+    met = [own for own, s in zip(at, sound) if s]
+    times = np.bincount(np.concatenate(met) if met else np.empty(0, dtype=np.int32), minlength=len(n_a))
+    used = np.flatnonzero(times)
+    local = np.cumsum(times > 0) - 1
+    rows = []
+    for doc_id, own, s, groups_told in zip(ids, at, sound, told):
         if not s:
             rows.append((batch, doc_id, 0, 0, 0, "", b"", None, None, None))
             continue
-        told = hashlib.sha256(b";".join(map(groups, own))).hexdigest()
-        end = start + len(own)
         sums = (int(x[own].sum()) for x in (n_a, n_b, n_links))
-        rows.append((batch, doc_id, *sums, told, packed(local[start:end]), None, None, None))
-        start = end
+        rows.append((batch, doc_id, *sums, groups_told, packed(local[own]), None, None, None))
     links = b"".join([units.links[i] for i in used.tolist()])
     per_unit = n_links[used].astype(np.uint32)
-    rows.append((batch, *[None] * 6, per_unit.tobytes(), times.astype(np.uint32).tobytes(), links))
+    rows.append((batch, *[None] * 6, per_unit.tobytes(), times[used].astype(np.uint32).tobytes(), links))
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), ROWS)], schema=ROWS)
 
 
@@ -382,8 +411,12 @@ def align(documents: DataFrame, byte_level: str, pieces: str) -> DataFrame:
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, part = _remembered(files), TaskContext.get().partitionId()
-        for i, batch in enumerate(batches):
-            yield _aligned(units, (part << 32) + i, batch["doc_id"].to_pylist(), batch["text"].to_pylist())
+        number = part << 32
+        for batch in batches:
+            ids, texts = (batch[c].to_pylist() for c in ("doc_id", "text"))
+            for start, stop in _runs(texts, BATCH):
+                yield _aligned(units, number, ids[start:stop], texts[start:stop])
+                number += 1
 
     texts = documents.select(F.col("doc_id").cast("long"), "text")
     # a batch's number is that of the written table: a task that runs again writes anew
