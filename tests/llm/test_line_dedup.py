@@ -1,6 +1,5 @@
 import random
 
-from tests.llm.test_near_dedup import least
 from textprep_spark.llm import line_dedup
 
 
@@ -20,8 +19,9 @@ def brute(rows):
                 first.setdefault(line, (doc, place))
     at = {p: tokens(line) for line, p in first.items()}
     ids = sorted(at)
-    links = [(a, b) for k, b in enumerate(ids) for a in ids[:k] if 4 * len(at[a] & at[b]) >= 3 * len(at[a] | at[b])]
-    stays = {p for p, c in least(ids, links).items() if p == c}
+    stays = {
+        b for k, b in enumerate(ids) if not any(4 * len(at[a] & at[b]) >= 3 * len(at[a] | at[b]) for a in ids[:k])
+    }
     return {
         doc: None
         if text is None
@@ -55,8 +55,7 @@ def test_random_documents(spark):
     assert got == want
 
 
-def test_frequent_lines_are_taken_once(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "FREQUENT", 1)
+def test_frequent_lines(spark):
     rows = [(i, f"the same line in every one of them\nown line number {i} and nothing else here") for i in range(200)]
     rows += [(500, "the same line in every one of them")]
     assert {r.doc_id: r.text for r in found(spark, rows)} == brute(rows)
@@ -73,20 +72,6 @@ def test_odd_rows(spark):
     assert sorted(((r.doc_id or 0), r.text) for r in nulls)[-1] == (1, "")
 
 
-def brute_matching(rows):
-    """As ``brute``, but only lines that are themselves linked to an earlier one go."""
-    seen, out = {}, {}
-    for doc, text in sorted(rows):
-        stay = []
-        for line in text.split("\n"):
-            own = tokens(line)
-            if line not in seen and not any(4 * len(own & t) >= 3 * len(own | t) for t in seen.values()):
-                stay.append(line)
-            seen.setdefault(line, own)
-        out[doc] = "\n".join(stay)
-    return out
-
-
 def test_a_line_without_an_earlier_match_stays(spark):
     """Chains of lines, dealt in any order; a later line bridges two earlier ones."""
     chance, lines = random.Random(12), []
@@ -99,9 +84,33 @@ def test_a_line_without_an_earlier_match_stays(spark):
     chance.shuffle(lines)
     rows = [(i, "\n".join(lines[3 * i : 3 * i + 3])) for i in range(len(lines) // 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    want = brute_matching(rows)
-    assert want != brute(rows)
-    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df, matching=True).collect()} == want
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()} == brute(rows)
+
+
+def test_lines_that_meet_at_common_tokens_are_compared_in_blocks(spark, monkeypatch):
+    """Many unlike lines share their rarest words' shingle; few of them are similar."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 4)
+    monkeypatch.setattr(line_dedup, "BUCKETS", 8)  # an order that hardly tells words apart
+    chance = random.Random(13)
+    common = [f"z{i}" for i in range(9)]
+    lines = []
+    for k in range(60):
+        own = [f"k{k}w{i}" for i in range(chance.randint(0, 4))]
+        lines.append(common + own)
+        near = list(lines[chance.randrange(len(lines))])
+        near.insert(chance.choice([0, len(near)]), f"n{k}")
+        lines.append(near)
+    chance.shuffle(lines)
+    rows = [(i, " ".join(line)) for i, line in enumerate(lines)]
+    assert {r.doc_id: r.text for r in found(spark, rows)} == brute(rows)
+
+
+def test_clashing_columns(spark):
+    names = ["doc_id", "text", "__id", "__places", "__lines", "__LINES_", "words", "line", "a.b"]
+    df = spark.createDataFrame([(1, "a b c", *[7] * 7), (2, "a b c\nd", *[8] * 7)], names)
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == [*names, "__lines__", "__removed"]
+    assert sorted(map(tuple, out.collect())) == [(1, "a b c", *[7] * 7, 1, 0), (2, "d", *[8] * 7, 2, 1)]
 
 
 def test_the_pipeline_keeps_lines_without_an_earlier_match(spark):

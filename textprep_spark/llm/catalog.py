@@ -298,7 +298,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LINES_SQL = r"""
-with recursive raw as (
+with raw as (
   select doc_id, string_split(text, chr(10)) as parts from documents
 ), lines as materialized (
   select doc_id, place, parts[place + 1] as line from (
@@ -321,12 +321,8 @@ with recursive raw as (
 ), both_ways as materialized (
   select c.a, c.b from common c join sets x on x.node = c.a join sets y on y.node = c.b
   where 4 * c.n >= 3 * (len(x.tokens) + len(y.tokens) - c.n)
-), reach(node, other) as (
-  select a, a from both_ways
-  union
-  select r.node, l.b from reach r join both_ways l on l.a = r.other
 ), later as (
-  select node from reach group by node having min(other) < node
+  select a as node from both_ways where b < a
 ), kept as materialized (
   select first from classes where node not in (select node from later)
 ), marked as (
