@@ -53,7 +53,7 @@ from textprep_spark.shipping import ship
 MARK = "▁"
 CACHED = 150_000  # units in each of the two generations that a Python worker remembers
 GROUP = 1 << 19  # characters of texts that are cut at a time
-BATCH = 1 << 22  # characters of texts whose links are counted together
+BATCH = 6 << 20  # characters of texts whose links are counted together
 TOGETHER = 1 << 19  # characters of new units that are aligned in one pass
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
@@ -182,6 +182,8 @@ class Units:
     def __init__(self, tokenizers: Tokenizers):
         self.tokenizers = tokenizers
         a, b = ([str(i).encode() for i in range(len(x))] for x in (tokenizers.a_bytes, tokenizers.b_bytes))
+        # a link in as few bytes as the vocabularies allow
+        self.code = np.dtype(np.uint32 if max(len(a), len(b)) <= 1 << 16 else np.uint64)
         told = [x + mark for ids, marks in ((a, (b",", b"|")), (b, (b",", b";"))) for mark in marks for x in ids]
         self.told = np.empty(len(told), dtype=object)
         self.told[:] = told
@@ -195,7 +197,7 @@ class Units:
         self.a: list[int] = []
         self.b: list[int] = []
         self.groups: list[bytes] = []
-        self.links: list[bytes] = []  # 8 bytes each
+        self.links: list[bytes] = []
 
     def _all(self) -> tuple:
         return self.known, self.a, self.b, self.groups, self.links
@@ -236,12 +238,13 @@ class Units:
         told[np.arange(len(a)) + np.concatenate([[0], found.b_ends])[of_a]] = a
         told[np.arange(len(b)) + found.a_ends[of_b]] = b
         told = self.told[told].tolist()
-        links = ((found.a[found.a_ends - 1] << 32) | found.b[found.b_ends - 1]).tobytes()
+        half, width = 4 * self.code.itemsize, self.code.itemsize
+        links = ((found.a[found.a_ends - 1] << half) | found.b[found.b_ends - 1]).astype(self.code).tobytes()
         upto_a, upto_b = (np.concatenate([[0], e])[upto].tolist() for e in (found.a_ends, found.b_ends))
         upto = upto.tolist()
         for i, unit in enumerate(units):
             x, y, v, w = *upto_a[i : i + 2], *upto_b[i : i + 2]
-            self._add(unit, y - x, w - v, b"".join(told[x + v : y + w])[:-1], links[8 * upto[i] : 8 * upto[i + 1]])
+            self._add(unit, y - x, w - v, b"".join(told[x + v : y + w])[:-1], links[width * upto[i] : width * upto[i + 1]])
         return True
 
     def _learn(self, units: list[str]) -> None:
@@ -329,7 +332,7 @@ def _aligned(units: Units, batch: int, ids: list, texts: list[str | None]) -> pa
             told.append(hashlib.sha256(b";".join([groups[i] for i in own])).hexdigest())
             at.append(np.array(own, dtype=np.int32))
     n_a, n_b = np.array(units.a, dtype=np.int64), np.array(units.b, dtype=np.int64)
-    n_links = np.fromiter(map(len, units.links), dtype=np.int64, count=len(units.links)) // 8
+    n_links = np.fromiter(map(len, units.links), dtype=np.int64, count=len(units.links)) // units.code.itemsize
     sound = [len(own) > 0 and bool((n_a[own] >= 0).all()) for own in at]
     met = [own for own, s in zip(at, sound) if s]
     times = np.bincount(np.concatenate(met) if met else np.empty(0, dtype=np.int32), minlength=len(n_a))
@@ -348,12 +351,22 @@ def _aligned(units: Units, batch: int, ids: list, texts: list[str | None]) -> pa
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), ROWS)], schema=ROWS)
 
 
+def _codes(links: bytes, per_unit: np.ndarray) -> np.ndarray:
+    """The links of a batch's units as 64-bit codes: the ids of A and B in the two halves."""
+    n = int(per_unit.sum())
+    if not n or len(links) == 8 * n:
+        return np.frombuffer(links, dtype=np.int64)
+    codes = np.frombuffer(links, dtype=np.uint32).astype(np.int64)
+    return ((codes >> 16) << 32) | (codes & 0xFFFF)
+
+
 def _batch_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct links of each batch, and how often they occur there."""
     for rows in batches:
         for batch, per_unit, times, links in zip(*(rows[c].to_pylist() for c in ("batch", "per_unit", "times", "links"))):
-            codes = np.frombuffer(links, dtype=np.int64)
-            each = np.repeat(np.frombuffer(times, dtype=np.uint32), np.frombuffer(per_unit, dtype=np.uint32))
+            per_unit = np.frombuffer(per_unit, dtype=np.uint32)
+            codes = _codes(links, per_unit)
+            each = np.repeat(np.frombuffer(times, dtype=np.uint32), per_unit)
             distinct, at = np.unique(codes, return_inverse=True)
             counts = np.bincount(at, each, len(distinct)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -367,12 +380,13 @@ RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best l
 
 def _judged(rows: pa.Table, counts: pa.Table) -> pa.Table:
     """The texts of one batch, with the corpus counts of its links."""
+    _remembered.cache_clear()  # all texts are aligned by now
     texts = rows.filter(pa.compute.is_null(rows["per_unit"]))
     of_batch = rows.filter(pa.compute.is_valid(rows["per_unit"]))
     best_of = sum_of = np.zeros(0, dtype=np.int64)
     if len(counts):
-        codes = np.frombuffer(of_batch["links"][0].as_py(), dtype=np.int64)
         per_unit = np.frombuffer(of_batch["per_unit"][0].as_py(), dtype=np.uint32)
+        codes = _codes(of_batch["links"][0].as_py(), per_unit)
         link = counts["link"].to_numpy()
         order = np.argsort(link)
         at = order[np.searchsorted(link[order], codes)]
@@ -432,4 +446,5 @@ def align(documents: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     highest = counts.groupBy("b").agg(F.max("n").alias("highest"))  # a row for each of B's ids, at most
     counts = counts.join(F.broadcast(highest), "b").select("link", "n", (F.col("n") == F.col("highest")).alias("best"))
     told = linked.select("batch", "link").join(counts, "link")
+    rows = rows.drop("times")
     return rows.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_judged, RESULT)
