@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as registered
 from textprep_spark import fixed_values as fv
+from textprep_spark.catalog.queries import CATALOG
 from textprep_spark.catalog.records import foundational_lookup, records, theme_lookup
 from textprep_spark.plans.jobs import PrepareTextConfig, parse_args, run_prepare_text
 from textprep_spark.plans.prepare import prepare_full, prepare_text
@@ -144,17 +145,22 @@ def comparable(columns, rows):
     )
 
 
-@pytest.mark.parametrize("name", registered.queries())
+@pytest.mark.parametrize("name", [n for n, r in CATALOG.items() if r.sql])
 def test_registered_query(spark, duck, name):
-    df = registered.queries()[name](spark, SMALL)
+    df = CATALOG[name].run(spark, SMALL)
     got = comparable(df.columns, [tuple(r) for r in df.collect()])
-    sql = registered.oracle_sql()[name]
-    answer = duck.execute(sql)
+    answer = duck.execute(CATALOG[name].sql)
     columns = [c[0] for c in answer.description]
     assert sorted(columns) == sorted(df.columns)
     assert got == comparable(columns, answer.fetchall())
     assert got
 
 
+def test_every_query_is_registered_with_its_sql():
+    assert set(CATALOG) <= set(registered.queries())
+    sql = registered.oracle_sql()
+    assert {n: r.sql for n, r in CATALOG.items() if r.sql} == {n: sql[n] for n in CATALOG if n in sql}
+
+
 def test_entry(spark):
     assert registered.entry(spark).count() > 0

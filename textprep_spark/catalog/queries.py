@@ -26,6 +26,7 @@ from textprep_spark.catalog.records import (
 from textprep_spark.functions import jsoncols, sentences, text, themes, vectors
 from textprep_spark.functions.documents import PARALLEL, plain_record_text, record_text
 from textprep_spark.operators import cleaning, metrics
+from textprep_spark.operators.boundaries import learn_splitter
 from textprep_spark.operators.dedup import deduplicate
 from textprep_spark.operators.enrich import enrich
 from textprep_spark.operators.infer import embed_texts, generate_questions
@@ -935,3 +936,79 @@ def split_sentences(spark: SparkSession, d: str) -> DataFrame:
     cut = sentences.split_sentences(F.col("text"))
     rows = documents(spark, d).select(F.col("doc_id").alias("record_id"), cut.alias("s"))
     return rows.select("record_id", F.size("s").alias("sentences"), _joined("s").alias("cut"))
+
+
+_TERMS = {
+    "core": r"regexp_replace(regexp_replace({0}, '^[^\p{{L}}\p{{N}}]+', ''), '[^\p{{L}}\p{{N}}.]+$', '')",
+    "kind": r"lower(regexp_replace({0}, '\.$', ''))",
+}
+
+
+def _core_sql(x: str) -> str:
+    return _TERMS["core"].format(x)
+
+
+def _kind_sql(x: str) -> str:
+    return _TERMS["kind"].format(x)
+
+
+_LIKELIHOOD = "({0}) * ln(greatest(least({2}, 1 - 1e-12), 1e-12)) + ({1} - ({0})) * ln(1 - greatest(least({2}, 1 - 1e-12), 1e-12))"
+_BOUND_SQL = f"(regexp_matches({_kind_sql('core')}, '^\\p{{L}}$') or {_kind_sql('core')} in (select word from abbreviations))"
+
+
+@_query(
+    rf"""with docs as (select doc_id, text from documents),
+cut as materialized (
+  select doc_id, list_filter(string_split_regex(text, '[ \t\n\x0B\f\r]+'), lambda t: t <> '') as tokens from docs),
+placed as (select doc_id, tokens, unnest(range(1, len(tokens) + 1)) as i from cut),
+tokens as materialized (
+  select tokens[i] as token, {_core_sql('tokens[i]')} as core, {_core_sql('tokens[i + 1]')} as next from placed),
+counts as materialized (
+  select {_kind_sql('core')} as word, count(*) filter (where ends_with(core, '.')) as dotted,
+    count(*) filter (where not ends_with(core, '.')) as plain
+  from tokens group by 1 having regexp_matches({_kind_sql('any_value(core)')}, '\p{{L}}')),
+totals as (select sum(dotted)::double as dots, sum(dotted + plain)::double as whole from counts),
+sized as (
+  select counts.*, dots / whole as p, length(word) - length(replace(word, '.', '')) as inside, length(replace(word, '.', '')) as size
+  from counts, totals where dotted > 0),
+abbreviations as materialized (
+  select word from sized
+  where 2 * (dotted * ln(0.99) + plain * ln(0.01) - dotted * ln(p) - plain * ln(1 - p))
+    * exp(-size) * (inside + 1) * power(size::double, -plain) >= 0.3),
+begun as materialized (
+  select next from tokens where next is not null
+    and ((ends_with(core, '.') and not {_BOUND_SQL}) or regexp_matches(token, '[!?][^\p{{L}}\p{{N}}]*$'))),
+started as (
+  select {_kind_sql('next')} as word, count(*)::double as ab, (select count(*)::double from begun) as a,
+    (select whole from totals) as n from begun where regexp_matches(next, '^\p{{Lu}}') group by 1),
+rated as (
+  select s.*, (c.dotted + c.plain)::double as b, greatest(n - a, 1.0) as rest, greatest(c.dotted + c.plain - ab, 0.0) as others
+  from started s join counts c using (word)),
+starters as materialized (
+  select word from rated where ab / a > b / n and 2 * (
+    {_LIKELIHOOD.format('ab', 'a', 'ab / a')} + {_LIKELIHOOD.format('others', 'rest', 'others / rest')}
+    - ({_LIKELIHOOD.format('ab', 'a', 'b / n')}) - ({_LIKELIHOOD.format('others', 'rest', 'b / n')})) > 30),
+pieces as (
+  select doc_id, string_split(regexp_replace(text, '([.!?])([ \t\n\x0B\f\r])', '\1' || chr(1) || '\2', 'g'), chr(1)) as p from docs),
+numbered as (select doc_id, p, unnest(range(1, len(p) + 1)) as i from pieces),
+neighbours as (
+  select doc_id, i, p[i] as piece, regexp_extract(p[i - 1], '([^ \t\n\x0B\f\r]+)$', 1) as last,
+    {_core_sql("regexp_extract(p[i], '^[ \t\n\x0B\f\r]+([^ \t\n\x0B\f\r]+)', 1)")} as first from numbered),
+judged as (
+  select *, {_core_sql('last')} as core from neighbours),
+flagged as (
+  select *, i > 1 and (not (ends_with(last, '.') and {_BOUND_SQL})
+    or ({_kind_sql('first')} in (select word from starters) and regexp_matches(first, '^\p{{Lu}}'))) as new from judged),
+grouped as (
+  select *, sum(new::int) over (partition by doc_id order by i) as g from flagged),
+sentences as (
+  select doc_id, g, string_agg(case when new then ltrim(piece, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) else piece end, '' order by i) as s
+  from grouped group by doc_id, g)
+select d.doc_id as record_id, count(s)::integer as sentences, coalesce(string_agg(s, '|' order by g), '') as cut
+from docs d left join sentences x on x.doc_id = d.doc_id and s <> '' group by d.doc_id"""
+)
+def split_sentences_learned(spark: SparkSession, d: str) -> DataFrame:
+    texts = documents(spark, d).select("doc_id", "text")
+    splitter = learn_splitter(texts, "text")
+    rows = texts.select(F.col("doc_id").alias("record_id"), splitter(F.col("text")).alias("s"))
+    return rows.select("record_id", F.size("s").alias("sentences"), _joined("s").alias("cut"))
