@@ -90,6 +90,7 @@ def test_a_line_without_an_earlier_match_stays(spark):
 def test_lines_that_meet_at_common_tokens_are_compared_in_blocks(spark, monkeypatch):
     """Many unlike lines share their rarest words' shingle; few of them are similar."""
     monkeypatch.setattr(line_dedup, "BLOCK", 4)
+    monkeypatch.setattr(line_dedup, "NARROW_BLOCK", 7)
     monkeypatch.setattr(line_dedup, "BUCKETS", 8)  # an order that hardly tells words apart
     chance = random.Random(13)
     common = [f"z{i}" for i in range(9)]
