@@ -75,6 +75,16 @@ def test_odd_rows(spark):
     assert found(spark, []) == []
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_rows_of_one_id_with_different_texts(spark, parts):
+    """Each text is compared for itself, however the rows are dealt."""
+    a, b = ([f"{x}{i}" for i in range(60)] for x in "ab")
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, " ".join([*a, "more"])), (8, " ".join([*b, "more"])), (5, " ".join(a))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df).collect())
+    assert got == [(5, 5, True)] * 3 + [(7, 5, False), (8, 5, False)]
+
+
 def test_pruning_bound_spares_similar_pairs():
     chance = np.random.default_rng(0)
     for n, least_ in zip((32, 64, 96, 128), near_dedup.least_matches()):

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textprep_spark.llm.common import stage
+from textprep_spark.llm.common import release, stage
 
 
 def _linked(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -32,6 +32,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     stars = stage(_linked(links, a, b), "links")
     state = _state(stars)
     while True:
+        last = stars
         both = stars.select(F.col("high").alias("u"), F.col("low").alias("v")).union(
             stars.select("low", "high")
         )
@@ -43,6 +44,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         smaller = stars.join(least, "high")
         stars = smaller.select("low", "m").union(least.select("high", "m"))
         stars = stage(_linked(stars, "low", "m"), "links")
+        release(last)
         before, state = state, _state(stars)
         if state == before:
             break

@@ -19,8 +19,8 @@ blocks of some hundred members in a task, which returns links only. Every pair o
 either compared or known to be connected, and no link between components is lost.
 
 Documents without words, null or empty, have empty sets and link with nothing. A null doc_id links
-with nothing, too. Repeated rows of a document are rows of one class. Empty tables give an empty
-result.
+with nothing, too. Repeated rows of a document are rows of one class; rows of one id with different
+texts are compared each for itself. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textprep_spark.llm.common import bound_batches, stage
+from textprep_spark.llm.common import bound_batches, release, stage
 from textprep_spark.llm.components import components
 from textprep_spark.shipping import ship
 
@@ -153,6 +153,11 @@ def _similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (len(a) + len(b) - common)
 
 
+def _class(shingles: bytes) -> bytes:
+    """What documents with equal sets have in common."""
+    return xxhash.xxh3_128_digest(shingles)
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingle_set(t) for t in batch["text"].to_pylist()]
@@ -162,7 +167,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 batch["doc_id"],
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array(
-                    [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
+                    [_class(s.tobytes()) if len(s) else None for s in sets],
                     pa.binary(),
                 ),
                 pa.array([None if s is None else s.tobytes() for s in signatures], pa.binary()),
@@ -186,7 +191,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingle_set(t).tobytes() for t in batch["text"].to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], pa.array(sets, pa.binary())], names=["doc_id", "shingles"]
+            [pa.array([_class(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())],
+            names=["class", "shingles"],
         )
 
 
@@ -257,23 +263,32 @@ def _with_both(pairs: DataFrame, of: DataFrame, value: str, short: str) -> DataF
     return pairs
 
 
-def _full_sets(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, shingles) of the texts with the given ids: those texts only are shingled again."""
-    ids = stage(ids.distinct(), "ids")
-    if ids.count() <= BROADCAST_IDS:
+def _full_sets(documents: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc_id, shingles) of the classes with the given numbers: their first documents' texts are
+    shingled again."""
+    known = classes.select(F.col("node").alias("doc_id"), "class", "first")
+    wanted = stage(known.join(nodes.distinct(), "doc_id", "left_semi"), "wanted")
+    ids = wanted.select(F.col("first").alias("doc_id")).distinct()
+    if wanted.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     texts = documents.join(ids, "doc_id", "left_semi")
-    sets = texts.mapInArrow(_sets, "doc_id long, shingles binary")
-    return stage(sets.dropDuplicates(["doc_id"]), "sets")
+    sets = texts.mapInArrow(_sets, "class binary, shingles binary")
+    # rows of one id can have other texts, and equal ones
+    sets = sets.join(wanted.select("class", "doc_id"), "class").drop("class")
+    sets = stage(sets.dropDuplicates(["doc_id"]), "sets")
+    release(wanted)
+    return sets
 
 
-def _confirm(pairs: DataFrame, signatures: DataFrame, documents: DataFrame) -> DataFrame:
+def _confirm(pairs: DataFrame, signatures: DataFrame, documents: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) that survive comparing signatures and are similar on their full sets."""
     signed = _with_both(pairs.distinct(), signatures, "signature", "sig")
     pairs = stage(signed.mapInArrow(_promising, "a long, b long"), "survivors")
-    sets = _full_sets(documents, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")))
+    sets = _full_sets(documents, classes, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")))
     both = _with_both(pairs, sets, "shingles", "set")
-    return stage(both.mapInArrow(_confirmed, "a long, b long"), "confirmed")
+    links = stage(both.mapInArrow(_confirmed, "a long, b long"), "confirmed")
+    release(pairs, sets)
+    return links
 
 
 def _component_of(members: DataFrame, nodes: DataFrame, column: str, name: str) -> DataFrame:
@@ -285,7 +300,7 @@ def _component_of(members: DataFrame, nodes: DataFrame, column: str, name: str)
 
 
 def _cross_links(
-    members: DataFrame, nodes: DataFrame, signed: DataFrame, documents: DataFrame
+    members: DataFrame, nodes: DataFrame, signed: DataFrame, documents: DataFrame, classes: DataFrame
 ) -> DataFrame:
     """Links between components that meet in a bucket.
 
@@ -329,11 +344,13 @@ def _cross_links(
     ends = tasks.select("*", F.col("x").alias("block"), F.lit(False).alias("second")).union(
         tasks.where("not same").select("*", F.col("y").alias("block"), F.lit(True).alias("second"))
     )
-    whole = _full_sets(documents, placed.select("doc_id"))
-    whole = whole.join(signed.select("doc_id", "signature"), "doc_id")
+    sets = _full_sets(documents, classes, placed.select("doc_id"))
+    whole = sets.join(signed.select("doc_id", "signature"), "doc_id")
     rows = ends.join(placed, ["key", "block"]).join(whole, "doc_id")
     links = rows.groupBy("key", "x", "y").applyInArrow(_across, "a long, b long")
-    return stage(links, "cross-links")
+    links = stage(links, "cross-links")
+    release(open_, placed, sets)
+    return links
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -349,13 +366,12 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         "signatures",
     )
     linkable = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = stage(
-        linkable.groupBy("class").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")),
-        "classes",
-    )
-    firsts = classes.select("class", F.col("first").alias("doc_id"))
-    reps = linkable.join(firsts, ["class", "doc_id"], "left_semi").select("doc_id", "signature")
-    reps = stage(reps.dropDuplicates(["doc_id"]), "representatives")
+    classes = linkable.groupBy("class").agg(F.min("doc_id").alias("first"))
+    # numbered: an id can stand on rows of several classes. ``doc_id`` is a class's number from here
+    classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    firsts = classes.select("class", F.col("first").alias("doc_id"), "node")
+    reps = linkable.join(firsts, ["class", "doc_id"]).select(F.col("node").alias("doc_id"), "signature")
+    reps = stage(reps.dropDuplicates(["doc_id"]), "representatives")  # equal rows
 
     placed = reps.mapInArrow(_banded, "key long, band int, doc_id long")
     shared = placed.groupBy("key").agg(
@@ -366,21 +382,24 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
     others = members.where("doc_id <> pivot")
     pairs = others.select("band", F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
-    links = _confirm(pairs.where(F.col("band") < FIRST_BANDS).select("a", "b"), reps, texts)
+    links = _confirm(pairs.where(F.col("band") < FIRST_BANDS).select("a", "b"), reps, texts, classes)
     # what is linked to the same member is connected; that much is known without iterating
     nodes = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
     pairs = pairs.where(F.col("band") >= FIRST_BANDS).select("a", "b").distinct()
     pairs = _component_of(_component_of(pairs, nodes, "a", "of_a"), nodes, "b", "of_b")
-    links = links.union(_confirm(pairs.where("of_a <> of_b").select("a", "b"), reps, texts))
+    links = links.union(_confirm(pairs.where("of_a <> of_b").select("a", "b"), reps, texts, classes))
     nodes = components(links, "a", "b")
-    links = links.union(_cross_links(members, nodes, reps, texts))
+    links = links.union(_cross_links(members, nodes, reps, texts, classes))
     nodes = components(links, "a", "b")
 
-    rows = signed.select("doc_id", "n_shingles", "class").join(
-        classes.select("class", "first"), "class", "left"
-    )
-    rows = rows.join(nodes, rows["first"] == nodes["node"], "left")
-    component = F.coalesce("component", "first", "doc_id")
+    linked = classes.join(nodes, "node")
+    least = linked.groupBy("component").agg(F.min("first").alias("least"))
+    linked = linked.join(least, "component").select("class", "least")
+    known = classes.select("class", "first").join(linked, "class", "left")
+    known = stage(known.select("class", F.coalesce("least", "first").alias("component")), "component-ids")
+    release(members, reps, classes)
+    rows = signed.select("doc_id", "n_shingles", "class").join(known, "class", "left")
+    component = F.coalesce("component", "doc_id")
     return rows.select(
         "doc_id",
         "n_shingles",
