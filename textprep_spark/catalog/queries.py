@@ -34,7 +34,8 @@ from textprep_spark.operators.normalize import change_report, normalize_columns
 from textprep_spark.operators.pairs import adjacent_pairs, text_halves
 from textprep_spark.operators.search import keyword_first, top_k
 from textprep_spark.operators.split import assign_split
-from textprep_spark.plans.evaluate import evaluate_search, search
+from textprep_spark.operators.substring_index import build_index, first_documents
+from textprep_spark.plans.evaluate import compare_listed, evaluate_search, search
 from textprep_spark.plans.prepare import prepare_full, prepare_text
 from textprep_spark.sources.readers import (
     embedding_source,
@@ -42,6 +43,7 @@ from textprep_spark.sources.readers import (
     read_records,
     text_list,
     union_by_name,
+    with_file_position,
 )
 from textprep_spark.sources.writers import stage
 
@@ -184,6 +186,18 @@ def _record_text(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@_query(
+    _with(Q.RECORDS_CTE, Q.texts_cte()) + f"select {fv.ID}, text_en, '' as text_fr, '' as text_seq from texts"
+)
+def record_text_absent(spark: SparkSession, d: str) -> DataFrame:
+    """A needed column is absent: the texts that need it are empty, the others as ever."""
+    df = records(spark, d).select(*fv.TEXT_COLUMNS).drop(P + "title_fr")
+    df = cleaning.lists_from_text(df, [P + "keywords_en", P + "keywords_fr"])
+    df = normalize_columns(df, [P + "description"])
+    texts = {"text_en": ["en"], "text_fr": ["fr"], "text_seq": ["en", "fr"]}
+    return df.select(fv.ID, *[record_text(df, languages).alias(n) for n, languages in texts.items()])
+
+
 def _plain_sql(lang: str) -> str:
     return (
         f"coalesce({P}title_{lang}, 'None') || chr(10) || coalesce({P}description_{lang}, 'None')"
@@ -478,6 +492,16 @@ def dedup_text(spark: SparkSession, d: str) -> DataFrame:
     return deduplicate(table(spark, d, "documents"), ["text", "n_chars"], ["doc_id"])
 
 
+@_query(
+    """with numbered as (select *, row_number() over () as pos from documents),
+once as (select * from numbered qualify row_number() over (partition by text order by pos) = 1)
+select * exclude (pos) from once qualify row_number() over (partition by n_chars order by pos) = 1"""
+)
+def dedup_in_file_order(spark: SparkSession, d: str) -> DataFrame:
+    rows = with_file_position(table(spark, d, "documents"))
+    return deduplicate(rows, ["text", "n_chars"], ["position"]).drop("position")
+
+
 def _split_sql(rows: str, key: str, columns: str) -> str:
     return f"""ordered as (select {columns}, row_number() over (order by md5('42|' || {key})) - 1 as pos,
   cast(ceil(count(*) over () * 0.1) as bigint) as held from {rows})
@@ -593,9 +617,6 @@ def _prepare_full(spark: SparkSession, d: str) -> DataFrame:
 # Query vectors are the mean vectors of the labels: whole tables on both sides, and work that
 # grows linearly with them.
 
-DIM = 64
-
-
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings")
 
@@ -605,11 +626,17 @@ def _corpus(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _label_queries(spark: SparkSession, d: str) -> DataFrame:
-    return label_means(_vectors(spark, d), DIM).withColumnRenamed("label", "query_id")
+    return label_means(_vectors(spark, d)).withColumnRenamed("label", "query_id")
+
 
+def _means_sql(vectors: str, keys: str) -> str:
+    return f"""means as (select {keys}, list(x order by i) as v from (
+    select {keys}, i, avg(x) as x from (
+      select {keys}, unnest(embedding) as x, generate_subscripts(embedding, 1) as i from {vectors})
+    group by {keys}, i) group by {keys})"""
 
-_MEANS_CTE = f"""means as (select label, [{", ".join(f"avg(embedding[{i + 1}])" for i in range(DIM))}] as v
-  from embeddings group by label)"""
+
+_MEANS_CTE = _means_sql("embeddings", "label")
 _SCORES = {
     "cosine": "list_cosine_similarity({a}, {b})",
     "euclidean": "1 - list_distance({a}, {b})",
@@ -670,7 +697,7 @@ def _vector_queries(vecs: DataFrame) -> DataFrame:
 
 
 def _label_corpus(vecs: DataFrame) -> DataFrame:
-    return label_means(vecs, DIM).withColumnRenamed("label", "doc_id")
+    return label_means(vecs).withColumnRenamed("label", "doc_id")
 
 
 def _vector_labels(vecs: DataFrame) -> DataFrame:
@@ -722,8 +749,7 @@ _SIGNED = "list_transform(embedding, lambda x: sign(x)::float)"
 @_query(
     f"""with twin as (select 'full' as model, vec_id, label, embedding from embeddings
   union all select 'signs', vec_id, label, {_SIGNED} from embeddings),
-means as (select model, label, [{", ".join(f"avg(embedding[{i + 1}])" for i in range(DIM))}] as v
-  from twin group by model, label),
+{_means_sql('twin', 'model, label')},
 scored as (select e.model, e.vec_id as query_id, m.label as doc_id, e.label as wanted,
   round(list_cosine_similarity(m.v, e.embedding::double[]), 9) as s
   from means m join twin e on e.model = m.model),
@@ -765,6 +791,22 @@ def keyword_top5(spark: SparkSession, d: str) -> DataFrame:
     return keyword_first(_keyword_queries(spark, d), documents(spark, d), 5)
 
 
+@_query(f"with {_KEYWORD_CTES} select query_id, doc_id, rank::integer as rank from hits")
+def keyword_top5_indexed(spark: SparkSession, d: str) -> DataFrame:
+    index = build_index(documents(spark, d).select("doc_id", "text"))
+    return first_documents(index, _keyword_queries(spark, d), 5).hits
+
+
+@_query(
+    f"""with {_KEYWORD_CTES.replace('select doc_id, lower', 'select doc_id, row_number() over () as pos, lower').replace(
+        't.query_id, d.doc_id from', 't.query_id, d.doc_id, d.pos from').replace('order by doc_id', 'order by pos')}
+select query_id, doc_id, rank::integer as rank from hits"""
+)
+def keyword_top5_in_file_order(spark: SparkSession, d: str) -> DataFrame:
+    corpus = with_file_position(table(spark, d, "documents").select("doc_id", "text"))
+    return first_documents(build_index(corpus, ["position"]), _keyword_queries(spark, d), 5).hits
+
+
 @_query(
     f"""with {_KEYWORD_CTES}
 select round(avg(case when h.rank is not null then 1.0 else 0.0 end), 6) as acc_at_k
@@ -881,11 +923,57 @@ def search_predictions(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", "doc_id", _joined("top_ids").alias("top_ids"))
 
 
-# Token vectors: each embedding cut into eight token vectors, some of them masked out.
+VOWELS = "aeio"
+
+
+def vowel_model():
+    """Another stand-in: vowels only."""
+
+    def model(batch):
+        counts = np.array([[t.count(x) for x in VOWELS] for t in batch], dtype=float)
+        return counts / np.maximum(np.linalg.norm(counts, axis=1, keepdims=True), 1e-12)
+
+    return model
+
+
+def _listed_sql(name: str, letters: str, part: str, first: int) -> str:
+    counts = "[" + ", ".join(f"(length(text) - length(replace(text, '{x}', '')))::double" for x in letters) + "]"
+    return f"""{name}_scored as (
+  select q.query_id, d.doc_id, q.related, round(nullif(list_cosine_similarity(q.c, d.c), 'nan'::double), 9) as s
+  from (select item_id as query_id, {counts} as c, list_transform(range(100), lambda i: (3 * i + item_id % {first})::bigint) as related
+    from benchmark where {part}) q, (select doc_id, {counts} as c from documents) d),
+{name}_hits as (select *, row_number() over (partition by query_id order by s desc nulls last, doc_id) as rank
+  from {name}_scored qualify rank <= 5),
+{name} as (select query_id, arg_min(rank, list_position(related, doc_id)) filter (where list_contains(related, doc_id)) as rank
+  from {name}_hits group by query_id)"""
+
+
+@_query(
+    f"""with {_listed_sql('letters', LETTERS, 'true', 7)}, {_listed_sql('vowels', VOWELS, 'item_id % 2 = 0', 5)}
+select 'letters' as model, round(avg(coalesce(1.0 / rank, 0)), 6) as mrr, count(*) as queries from letters
+union all select 'vowels', round(avg(coalesce(1.0 / rank, 0)), 6), count(*) from vowels"""
+)
+def compare_listed_models(spark: SparkSession, d: str) -> DataFrame:
+    """Each model on a list of queries of its own."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+    def asked(queries: DataFrame, first: int) -> DataFrame:
+        related = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: 3 * i + F.col("query_id") % first)
+        return queries.withColumn("related_documents", related)
+
+    corpus = documents(spark, d).select("doc_id", "text")
+    models = {
+        "letters": (asked(items, 7), letter_model),
+        "vowels": (asked(items.where("query_id % 2 = 0"), 5), vowel_model),
+    }
+    return _rounded(compare_listed(models, corpus))
+
+
+# Token vectors: each embedding cut into token vectors of eight, some of them masked out.
 
 _TOKEN_DIMS = [
-    f"list_sum(list_transform(range(8), lambda t: embedding[t * 8 + {i + 1}]::double * (case when t <= label then 1 else 0 end)))"
-    " / least(label + 1, 8)"
+    f"list_sum(list_transform(range(len(embedding) // 8), lambda t: embedding[t * 8 + {i + 1}]::double"
+    " * (case when t <= label then 1 else 0 end))) / least(label + 1, len(embedding) // 8)"
     for i in range(8)
 ]
 
@@ -897,8 +985,9 @@ from pooled"""
 )
 def mean_pool_l2(spark: SparkSession, d: str) -> DataFrame:
     v = vectors.as_double(F.col("embedding"))
-    tokens = F.array(*[F.slice(v, 8 * t + 1, 8) for t in range(8)])
-    mask = F.array(*[(F.lit(t) <= F.col("label")).cast("int") for t in range(8)])
+    places = F.sequence(F.lit(0), F.floor(F.size("embedding") / 8).cast("int") - 1)
+    tokens = F.transform(places, lambda t: F.slice(v, 8 * t + 1, F.lit(8)))
+    mask = F.transform(places, lambda t: (t <= F.col("label")).cast("int"))
     pooled = _vectors(spark, d).select("vec_id", vectors.mean_pool(tokens, mask).alias("p"))
     unit = pooled.select("vec_id", vectors.l2_normalize(F.col("p")).alias("u"))
     return unit.select(

@@ -126,7 +126,9 @@ def foundational_lookup(spark: SparkSession, directory: str) -> DataFrame:
     return spark.sql(FOUNDATIONAL_LOOKUP_SQL.replace("from labels", "from {labels}"), labels=labels)
 
 
-def label_means(vectors: DataFrame, dimensions: int = 64) -> DataFrame:
-    """``(label, embedding)``: mean vector per label, summed before the shuffle."""
-    means = [F.avg(F.get("embedding", F.lit(i))) for i in range(dimensions)]
-    return vectors.groupBy("label").agg(F.array(*means).alias("embedding"))
+def label_means(vectors: DataFrame) -> DataFrame:
+    """``(label, embedding)``: mean vector per label, whatever its length; summed before the shuffle."""
+    parts = vectors.select("label", F.posexplode("embedding").alias("i", "x"))
+    means = parts.groupBy("label", "i").agg(F.avg("x").alias("x"))
+    whole = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
+    return whole.select("label", F.col("v.x").alias("embedding"))

@@ -40,6 +40,16 @@ def read_records(
         raise
 
 
+def with_file_position(df: DataFrame, name: str = "position") -> DataFrame:
+    """Adds where each row stands in its files: a struct of path and row number, which orders rows as
+    a reader of one file after another meets them and stays with them through every shuffle.
+
+    For frames read from files, before any other step.
+    """
+    place = F.struct("_metadata.file_path", "_metadata.row_index")
+    return df.select("*", place.alias(name))
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """One parquet table."""
     reader = spark.read if schema is None else spark.read.schema(schema)
