@@ -32,6 +32,7 @@ from textprep_spark.operators.enrich import enrich
 from textprep_spark.operators.infer import embed_texts, generate_questions
 from textprep_spark.operators.normalize import change_report, normalize_columns
 from textprep_spark.operators.pairs import adjacent_pairs, text_halves
+from textprep_spark.operators.pruned_search import pruned_top_k
 from textprep_spark.operators.search import keyword_first, top_k
 from textprep_spark.operators.split import assign_split
 from textprep_spark.operators.substring_index import build_index, first_documents
@@ -671,8 +672,19 @@ def _register_top_k(metric: str, k: int, held: str | None = None) -> None:
     _query(sql, f"topk_{metric}" + (f"_{held}_held" if held else ""))(run)
 
 
+def _register_pruned(metric: str, k: int) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        hits = pruned_top_k(_label_queries(spark, d), _corpus(spark, d), k, metric).hits
+        return hits.withColumn("score", F.round("score", 6))
+
+    sql = _hits_sql(metric, k) + "select query_id, doc_id, round(s, 6) as score, rank::integer as rank from hits"
+    _query(sql, f"topk_{metric}_pruned")(run)
+
+
 for _metric in _SCORES:
     _register_top_k(_metric, 5)
+for _metric in ("cosine", "euclidean"):
+    _register_pruned(_metric, 5)
 _register_top_k("cosine", 5, "queries")  # one mean vector for each label
 
 
