@@ -17,10 +17,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DIGITS = 3
 HASH_DIGITS = 32
 KEY = "__split_key"
+SALTS = 1024  # parts that the rows of one key are numbered in
+COPIES = 100_000  # of one row that are written out in one place, at most
 
 
 def split_key(seed: int, identity: Sequence[str | Column]) -> Column:
@@ -128,6 +131,44 @@ def _thresholds(keys: DataFrame, holdout: float | int, key_length: int) -> list[
     return bounds
 
 
+def _numbered(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with a number from 1 within their key, whichever row gets which.
+
+    A key can hold most of a table, and one row can stand there any number of times. Equal rows are
+    counted, the others dealt over ``SALTS`` by a hash; every salt is numbered for itself, behind the
+    rows of the salts before it. Rows that are repeated very often are written out in blocks, each a
+    row of its own until it has been dealt out.
+    """
+    columns = rows.columns
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    plain = [c for c in columns if not isinstance(kinds[c], (T.MapType, T.VariantType))]
+    one_each = rows.groupBy(*columns).agg(F.count("*").alias("__n")) if len(plain) == len(columns) else rows.withColumn("__n", F.lit(1))
+    mark = F.xxhash64(*plain)
+    salted = one_each.withColumn("__mark", mark).withColumn("__salt", F.pmod(mark, F.lit(SALTS)).cast("int"))
+    earlier = Window.partitionBy(KEY).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
+    totals = salted.groupBy(KEY, "__salt").agg(F.sum("__n").alias("__all"))  # two keys, SALTS each, at most
+    totals = totals.select(KEY, "__salt", F.coalesce(F.sum("__all").over(earlier), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy(KEY, "__salt").orderBy("__mark").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.sum("__n").over(inside) + F.col("__before")
+    placed = salted.join(F.broadcast(totals), [KEY, "__salt"]).withColumn("__first", last - F.col("__n") + 1)
+    own = [F.col(f"`{c}`") for c in columns]
+
+    def written(df: DataFrame) -> DataFrame:
+        return df.select(*own, F.explode(F.sequence("__first", F.col("__first") + F.col("__n") - 1)).alias(name))
+
+    often = F.col("__n") > COPIES
+    starts = F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(COPIES).cast("long"))
+    blocks = placed.where(often).select(*own, "__first", "__n", F.explode(starts).alias("__at"))
+    blocks = blocks.select(
+        *own,
+        (F.col("__first") + F.col("__at")).alias("__first"),
+        F.least(F.col("__n") - F.col("__at"), F.lit(COPIES)).alias("__n"),
+    )
+    # a number, so that these few rows, which become many, are not put together again
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(placed.where(~often)).unionByName(written(blocks.repartition(n, "__first")))
+
+
 def assign_by_key(
     df: DataFrame, key: Column, holdout: float | int = 0.1, key_length: int = HASH_DIGITS
 ) -> DataFrame:
@@ -148,8 +189,7 @@ def assign_by_key(
         return assigned(df)
     # rows of one key are interchangeable: only those at a boundary are numbered
     at_bound = F.coalesce(key.isin(sorted(repeated)), F.lit(False))
-    number = F.row_number().over(Window.partitionBy(KEY).orderBy(KEY))
-    copies = df.where(at_bound).withColumn(KEY, key).withColumn("__number", number)
+    copies = _numbered(df.where(at_bound).withColumn(KEY, key), "__number")
     copies = assigned(copies, F.col("__number")).drop(KEY, "__number")
     return assigned(df.where(~at_bound), F.lit(0)).unionByName(copies)
 

@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 from textprep_spark import fixed_values as fv
 from textprep_spark.functions.documents import record_text
 from textprep_spark.operators.cleaning import require_columns
-from textprep_spark.operators.split import KEY, assign_by_key, split_frames, split_key
+from textprep_spark.operators.split import KEY, assign_by_key, split_key
 from textprep_spark.plans.prepare import distinct_records, document_texts
 from textprep_spark.sources.readers import read_records
-from textprep_spark.sources.writers import output_directory, staged, write_datasets
+from textprep_spark.sources.writers import output_directory, staged, write_sets
 
-SET_NAMES = ["train.parquet", "eval.parquet", "test.parquet"]
+SET_NAMES = {name: f"{name}.parquet" for name in ("train", "eval", "test")}
 
 
 @dataclass(frozen=True)
@@ -37,8 +37,8 @@ def run_prepare_text(spark: SparkSession, config: PrepareTextConfig) -> str:
     """Read records, prepare their texts, write train, eval and test sets; returns the directory.
 
     The distinct records are staged as a table once, each with its split key. Counting for the
-    split then reads the key column alone, and nothing is normalised or compared again for the
-    three sets. The four document texts, which repeat what the record holds several times over,
+    split then reads the key column alone, and the three sets are written in one pass, so nothing is
+    normalised, compared or read again for each of them. The four document texts, which repeat what the record holds several times over,
     are only put together as they are written. Duplicate removal has made the English text
     unique, so with the id it makes a key that no two records share.
     """
@@ -48,7 +48,7 @@ def run_prepare_text(spark: SparkSession, config: PrepareTextConfig) -> str:
     target = output_directory(config.output_dir, config.keep_eo)
     with staged(distinct.withColumn(KEY, key), "distinct-records") as table:
         assigned = document_texts(assign_by_key(table, F.col(KEY), config.holdout).drop(KEY))
-        write_datasets(split_frames(assigned), SET_NAMES, target)
+        write_sets(assigned, SET_NAMES, target)
     return target
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +21,44 @@ def write_datasets(frames: Sequence[DataFrame], names: Sequence[str], directory:
         frame.write.mode("overwrite").parquet(f"{directory.rstrip('/')}/{name}")
 
 
+def _file_system(spark: SparkSession, path: str):
+    context = spark.sparkContext
+    location = context._jvm.org.apache.hadoop.fs.Path(path)
+    return location, location.getFileSystem(context._jsc.hadoopConfiguration())
+
+
+def write_sets(assigned: DataFrame, names: Mapping[str, str], directory: str, column: str = "split") -> None:
+    """Write the rows of every value of ``column`` as the parquet table ``directory/name``, in one pass.
+
+    ``names`` maps values to names; rows of other values are an error that leaves nothing behind. All
+    sets are written beside their places first and renamed when complete, so no half-written set is
+    ever seen, and a failed run leaves earlier sets as they were. Values without rows give empty tables.
+    """
+    spark, base = assigned.sparkSession, directory.rstrip("/")
+    incoming = f"{base}/_incoming-{uuid.uuid4().hex}"
+    root, files = _file_system(spark, incoming)
+    known = F.coalesce(F.col(column).cast("string").isin(list(names)), F.lit(False))
+    failed = F.raise_error(F.concat(F.lit("no set for "), F.coalesce(F.col(column).cast("string"), F.lit("null"))))
+    checked = assigned.withColumn(column, F.when(known, F.col(column).cast("string")).otherwise(failed.cast("string")))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    try:
+        checked.write.partitionBy(column).parquet(incoming)
+        none = spark.createDataFrame([], assigned.drop(column).schema)
+        for value in names:
+            if not files.exists(path(f"{incoming}/{column}={value}")):
+                none.write.parquet(f"{incoming}/{column}={value}")
+        for value, name in names.items():
+            target, before = path(f"{base}/{name}"), path(f"{incoming}/_before-{value}")
+            if files.exists(target) and not files.rename(target, before):
+                raise OSError(f"cannot replace {base}/{name}")
+            if not files.rename(path(f"{incoming}/{column}={value}"), target):
+                if files.exists(before):
+                    files.rename(before, target)
+                raise OSError(f"cannot rename to {base}/{name}")
+    finally:
+        files.delete(root, True)
+
+
 def write_predictions(predictions: DataFrame, directory: str, model: str) -> str:
     """Write ``(doc_id, top_ids)`` as CSV under a name that holds the model's; returns the path."""
     path = f"{directory.rstrip('/')}/predicted_{model.rstrip('/').split('/')[-1]}"
@@ -59,6 +97,5 @@ def staged(df: DataFrame, name: str) -> Iterator[DataFrame]:
     try:
         yield table
     finally:
-        context = df.sparkSession.sparkContext
-        location = context._jvm.org.apache.hadoop.fs.Path(path)
-        location.getFileSystem(context._jsc.hadoopConfiguration()).delete(location, True)
+        location, files = _file_system(df.sparkSession, path)
+        files.delete(location, True)
