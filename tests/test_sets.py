@@ -3,6 +3,7 @@
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textprep_spark.operators import split
 from textprep_spark.sources import writers
@@ -72,3 +73,56 @@ def test_exact_sizes_among_copies(spark, monkeypatch, copies):
     for frame in (df, df.drop("m")):
         got = split.assign_split(frame, 0.1, 42, ["lang"]).groupBy("split").count().collect()
         assert {r.split: r["count"] for r in got} == {"train": 900, "eval": 50, "test": 50}
+
+
+def test_folders_of_mixed_types(spark, tmp_path):
+    """Keywords are text in one file and a list in another; numbers and missing columns differ, too."""
+    from textprep_spark.sources.readers import file_schemas, read_mixed_records
+
+    folder = str(tmp_path)
+    parts = {
+        "a": spark.createDataFrame([(1, "x, y", 1.5)], "id int, keywords string, size double"),
+        "b": spark.createDataFrame([(2, ["p", "q"], 2), (3, None, None)], "id bigint, keywords array<string>, size int"),
+        "c": spark.createDataFrame([("4", None)], "id string, extra string"),
+        "d": spark.createDataFrame([(5, "z", 0.5)], "id int, keywords string, size double"),
+    }
+    for name, df in parts.items():
+        df.coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    groups = file_schemas(spark, folder)
+    assert len(groups) == 3 and sorted(len(paths) for _, paths in groups) == [1, 1, 2]
+    schema = "id bigint, keywords array<string>, size double"
+    want = T.StructType.fromDDL(schema)
+    got = read_mixed_records(spark, folder, want)
+    assert [(f.name, f.dataType) for f in got.schema] == [(f.name, f.dataType) for f in want]
+    assert sorted(map(tuple, got.collect())) == [
+        (1, ["x", "y"], 1.5), (2, ["p", "q"], 2.0), (3, None, None), (4, None, None), (5, ["z"], 0.5)
+    ]
+    text = read_mixed_records(spark, folder, T.StructType.fromDDL("keywords string"))
+    assert sorted((r[0] or "") for r in text.collect()) == ["", "", "p, q", "x, y", "z"]
+    with pytest.raises(ValueError, match="keywords"):
+        read_mixed_records(spark, folder, T.StructType.fromDDL("keywords struct<a:int>"))
+    with pytest.raises(ValueError, match="No parquet"):
+        read_mixed_records(spark, folder + "/none", want)
+
+
+def test_job_over_mixed_types(spark, tmp_path):
+    """Keywords as lists in one file give the same sets as keywords as text in all."""
+    from textprep_spark import fixed_values as fv
+    from textprep_spark.catalog.records import records
+    from textprep_spark.operators.cleaning import lists_from_text
+    from textprep_spark.plans.jobs import PrepareTextConfig, run_prepare_text
+
+    lists = [fv.P + "keywords_en", fv.P + "keywords_fr"]
+    rows = records(spark, "/root/testdata/sf0.001").select(*fv.TEXT_COLUMNS).where(F.col(lists[0]).isNotNull() & F.col(lists[1]).isNotNull())
+    half = F.crc32(F.col(fv.ID).cast("binary")) % 2 == 0
+    rows.write.parquet(f"{tmp_path}/plain/all.parquet")
+    rows.where(half).write.parquet(f"{tmp_path}/mixed/a.parquet")
+    lists_from_text(rows.where(~half), lists).write.parquet(f"{tmp_path}/mixed/b.parquet")
+    found = []
+    for name in ("plain", "mixed"):
+        target = run_prepare_text(spark, PrepareTextConfig(f"{tmp_path}/{name}", f"{tmp_path}/out-{name}", mixed=name == "mixed"))
+        found.append({n: sorted(map(str, spark.read.parquet(f"{target}/{n}.parquet").collect())) for n in ("train", "eval", "test")})
+    assert found[0] == found[1] and len(found[0]["train"]) > 50
+    with pytest.raises(ValueError, match="eoCollection"):
+        rows.drop(fv.P + "eoCollection").write.parquet(f"{tmp_path}/less/a.parquet")
+        run_prepare_text(spark, PrepareTextConfig(f"{tmp_path}/less", f"{tmp_path}/out-less", mixed=True))

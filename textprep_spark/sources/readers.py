@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from textprep_spark import fixed_values as fv
+from textprep_spark.functions.text import split_list
 
 
 def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
@@ -40,6 +44,82 @@ def read_records(
         raise
 
 
+def _as_declared(c: Column, have: T.DataType, want: T.DataType, name: str) -> Column:
+    """A column of one type as another: text and lists of text turn into each other, the rest is cast."""
+    if have == want:
+        return c
+    if isinstance(want, T.ArrayType) and isinstance(have, T.StringType):
+        return split_list(c).cast(want)
+    if isinstance(want, T.StringType) and isinstance(have, T.ArrayType):
+        return F.array_join(c, ", ")
+    nested = any(isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) for kind in (have, want))
+    if nested and not (isinstance(have, T.ArrayType) and isinstance(want, T.ArrayType)):
+        raise ValueError(f"column {name}: {have.simpleString()} cannot become {want.simpleString()}")
+    return c.cast(want)
+
+
+def file_schemas(spark: SparkSession, directory: str, pattern: str = "*.parquet") -> list[tuple[T.StructType, list[str]]]:
+    """The different schemas of the files in a folder, each with its files.
+
+    Footers are read by tasks, a few files each, never by the driver, which learns one short
+    fingerprint a file and one schema a group.
+    """
+    try:
+        files = spark.read.format("binaryFile").load(f"{directory.rstrip('/')}/{pattern}").select("path")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise ValueError(f"No parquet files found in {directory}") from e
+        raise
+
+    def fingerprints(batches):
+        import pyarrow.fs
+        import pyarrow.parquet
+
+        for batch in batches:
+            told = []
+            for path in batch["path"].to_pylist():
+                source, place = pyarrow.fs.FileSystem.from_uri(path)
+                told.append(from_arrow_schema(pyarrow.parquet.read_schema(place, filesystem=source)).json())
+            yield pa.RecordBatch.from_arrays([batch["path"], pa.array(told, pa.string())], names=["path", "schema"])
+
+    found = files.mapInArrow(fingerprints, "path string, schema string")
+    found = found.select("path", F.sha2("schema", 256).alias("mark"), "schema").persist()
+    try:
+        schemas = {r["mark"]: r["schema"] for r in found.groupBy("mark").agg(F.min("schema").alias("schema")).collect()}
+        groups: dict[str, list[str]] = {mark: [] for mark in sorted(schemas)}
+        for row in found.select("path", "mark").orderBy("path").toLocalIterator():
+            groups[row["mark"]].append(row["path"])
+    finally:
+        found.unpersist()
+    return [(T.StructType.fromJson(json.loads(schemas[mark])), paths) for mark, paths in groups.items()]
+
+
+def read_mixed_records(
+    spark: SparkSession, directory: str, schema: T.StructType, pattern: str = "*.parquet", required: bool = False
+) -> DataFrame:
+    """The files of a folder as one frame of the given ``schema``, whatever types they hold.
+
+    Files with equal schemas are read together; each group's columns are turned into the declared
+    types (text into lists at its commas and back, numbers by casts) and matched by name. A column a
+    file lacks is null there; with ``required``, one that every file lacks is an error. Columns that
+    are not declared are not read.
+    """
+    frames, groups = [], file_schemas(spark, directory, pattern)
+    absent = sorted(set(schema.names).difference(*[own.names for own, _ in groups]))
+    if required and absent:
+        raise ValueError(f"columns {absent} are in no file of {directory}")
+    for own, paths in groups:
+        names = {f.name: f.dataType for f in own.fields}
+        read = T.StructType([f for f in own.fields if f.name in schema.names])
+        group = spark.read.schema(read).parquet(*paths)
+        columns = [
+            _as_declared(F.col(f"`{f.name}`"), names[f.name], f.dataType, f.name) if f.name in names else F.lit(None).cast(f.dataType)
+            for f in schema.fields
+        ]
+        frames.append(group.select(*[c.alias(f.name) for c, f in zip(columns, schema.fields)]))
+    return union_by_name(frames)
+
+
 def with_file_position(df: DataFrame, name: str = "position") -> DataFrame:
     """Adds where each row stands in its files: a struct of path and row number, which orders rows as
     a reader of one file after another meets them and stays with them through every shuffle.
