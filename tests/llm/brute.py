@@ -47,11 +47,9 @@ def pii_spans(text):
     """(start, order, end, kind), of all kinds, in order."""
     spans = []
     for order, (kind, pattern) in enumerate(PATTERN.items()):
-        last = 0
         for m in re.finditer(pattern, text or "", re.ASCII):
-            before = text[last : m.start()][-32:].lower()
-            last = m.end()
-            context = re.search(CONTEXT[kind], before)
+            around = text[max(0, m.start() - 256) : m.start()], text[m.end() : m.end() + 256]
+            context = any(re.search(CONTEXT[kind], x.lower()) for x in around)
             if _valid(kind, m[0]) and (kind != "secret" or context):
                 spans.append((m.start(), order, m.end(), kind))
     return sorted(spans)

@@ -25,6 +25,17 @@ TEXTS = [
 ]
 
 
+HEX = [f"{i}4dbebab91ab85687d33eeaaf9ac699e" for i in range(12)]
+TEXTS += [
+    "api keys: " + ", ".join(HEX[:3]),
+    HEX[0] + " is my password",
+    "the token that we were given for this machine is: " + HEX[0],
+    "keys: " + " ".join(HEX) + " tokens",
+    "token" + "x" * 252 + " " + HEX[0] + "; toke" + "\n" * 260 + HEX[1],
+    "token " + "-" * 249 + HEX[0] + "é" * 256 + "token",
+]
+
+
 def check(rows):
     for r in rows:
         spans = pii_spans(r.text)
@@ -83,3 +94,17 @@ def test_whole_table(spark):
 
 def test_empty_table(spark):
     assert found(spark.createDataFrame([], "text string")) == []
+
+
+def test_secrets_share_the_context_of_a_list(spark):
+    rows = [("api keys: " + ", ".join(HEX[:3]), 3), (HEX[0] + " is my password", 1), ("a " + HEX[0], 0)]
+    got = pii.find_spans(spark.createDataFrame(rows, "text string, n int"))
+    assert all(r.n == sum(s.kind == "secret" for s in r.spans) for r in got.collect())
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([("a@b.c", "own", "kept", 1)], "text string, __hits0 string, spans string, __gaps5 int")
+    got = pii.find_spans(df)
+    assert got.columns == [*df.columns, "spans_"]
+    row = got.first()
+    assert row[:4] == ("a@b.c", "own", "kept", 1) and [s.kind for s in row[4]] == ["email"]

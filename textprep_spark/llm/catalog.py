@@ -176,18 +176,21 @@ PII_SQL_KINDS = (
     (
         "secret",
         r"\b[0-9A-Fa-f]{32,64}\b",
-        "regexp_matches(lower(right(gap, 32)), 'token|secret|password|api.?key|bearer')",
+        # the text itself is read around the hit
+        "regexp_matches(lower(substr(text, greatest(start - 256, 0)::bigint + 1, least(start, 256)::bigint)),"
+        " 'token|secret|password|api.?key|bearer') or regexp_matches(lower(substr(text,"
+        " start::bigint + length(hit) + 1, 256)), 'token|secret|password|api.?key|bearer')",
     ),
 )
 
 
 def _pii_kind_sql(order: int, name: str, pattern: str, valid: str) -> str:
     return f"""select doc_id, {order} as kind_order, '{name}' as kind, start, start + length(hit) as stop
-from (select doc_id, hits[k] as hit, gaps[k] as gap,
+from (select doc_id, text, hits[k] as hit,
     list_sum(list_transform(gaps[1:k], lambda g: length(g)))
       + coalesce(list_sum(list_transform(hits[1:k - 1], lambda h: length(h))), 0) as start
   from (select *, unnest(range(1, len(hits) + 1)) as k
-    from (select doc_id, regexp_extract_all(text, '{pattern}') as hits,
+    from (select doc_id, text, regexp_extract_all(text, '{pattern}') as hits,
         string_split_regex(text, '{pattern}') as gaps from texts)))
 where {valid}"""
 

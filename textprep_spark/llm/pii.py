@@ -1,10 +1,11 @@
 """Personal data: patterns propose spans, checksums confirm them, context words adjust the score.
 
-Every kind has a pattern (leftmost, non-overlapping matches), a validator and a score. The words in
-the characters before a match raise its score; a span stands if its score reaches ``MIN_SCORE``. The
-four base kinds stand once their validator agrees. Added kinds: bank account numbers, confirmed by
-their remainder modulo 97, and secrets, hexadecimal strings that need a word such as "token" before
-them.
+Every kind has a pattern (leftmost, non-overlapping matches), a validator and a score. Words near a
+match, in the ``CONTEXT_CHARS`` characters of the text before it and as many behind it, raise its score;
+a span stands if its score reaches ``MIN_SCORE``. The four base kinds stand once their validator agrees.
+Added kinds: bank account numbers, confirmed by their remainder modulo 97, and secrets, hexadecimal
+strings that need a word such as "token" near them; so all of a short list of secrets share the word in
+front of the first.
 
 All patterns are written so that a hostile text takes linear time and constant stack: possessive
 where giving back cannot help, and anchored where a run begins, or where the last match ended.
@@ -22,8 +23,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textprep_spark.llm.common import unused
+
 MIN_SCORE = 0.5
-CONTEXT_CHARS = 32  # before a match, and behind the match before it
+CONTEXT_CHARS = 256  # on each side of a match
+NEIGHBOURS = 8  # matches on each side that can lie within; of secrets, the shortest fill it
 CONTEXT_BONUS = 0.3
 BLOCK = 64
 MAX_PART = r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]|[1-9])?+(?:\.|$)){4}$"
@@ -156,15 +160,24 @@ def _ends(sizes: Column, body: Callable[[Callable[[Column], Column]], Column]) -
 def _spans(kind: Kind, order: int, gaps: Column, hits: Column) -> Column:
     """The confirmed spans of one kind; ``gaps`` is what stands between the hits."""
 
-    def span(hit: Column, gap: Column, start: Column) -> Column:
-        near = F.lower(F.right(gap, F.lit(CONTEXT_CHARS))).rlike(kind.context)
-        start = start + F.length(gap)
+    def near(i: Column) -> Column:
+        """Whether a context word stands around match ``i``: the text there is put together from the
+        matches and what is between them, so that no place in a long text is looked up."""
+        before = [part for d in range(NEIGHBOURS, 0, -1) for part in (F.get(hits, i - d), F.get(gaps, i - d + 1))]
+        behind = [part for d in range(NEIGHBOURS) for part in (F.get(gaps, i + d + 1), F.get(hits, i + d + 1))]
+        size = F.lit(CONTEXT_CHARS)
+        left = F.right(F.concat_ws("", *[F.right(x, size) for x in before]), size)
+        right = F.left(F.concat_ws("", *[F.left(x, size) for x in behind]), size)
+        return F.lower(left).rlike(kind.context) | F.lower(right).rlike(kind.context)
+
+    def span(hit: Column, i: Column, start: Column) -> Column:
+        start = start + F.length(F.get(gaps, i))
         return F.struct(
             start.alias("start"),
             F.lit(order).alias("order"),
             (start + F.length(hit)).alias("end"),
             F.lit(kind.name).alias("kind"),
-            (kind.score + F.when(near, CONTEXT_BONUS).otherwise(0.0)).alias("score"),
+            (kind.score + F.when(near(i), CONTEXT_BONUS).otherwise(0.0)).alias("score"),
         )
 
     sizes = F.transform(hits, lambda h, i: F.length(h) + F.length(F.element_at(gaps, i + 1)))
@@ -174,7 +187,7 @@ def _spans(kind: Kind, order: int, gaps: Column, hits: Column) -> Column:
             of,
             lambda begin: F.transform(
                 hits,
-                lambda h, i: F.when(kind.valid(h), span(h, F.element_at(gaps, i + 1), begin(i))),
+                lambda h, i: F.when(kind.valid(h), span(h, i, begin(i))),
             ),
         ),
     )
@@ -189,20 +202,23 @@ def _no_spans() -> Column:
 
 
 def find_spans(df: DataFrame, text: str = "text", to: str = "spans") -> DataFrame:
-    """``df`` with the array column ``to`` of (start, order, end, kind, score)."""
+    """``df`` with the array column ``to`` of (start, order, end, kind, score), last. A column of that
+    name that ``df`` has already stays, and ours gets underscores."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    found = df
-    for i, kind in enumerate(KINDS):
+    names = unused(df, to, *[f"__{part}{i}" for i in range(len(KINDS)) for part in ("hits", "gaps")])
+    found, columns = df, names[1:]
+    for kind, name in zip(KINDS, columns[::2]):
         hits = F.when(
             whole.rlike(kind.needed), F.regexp_extract_all(whole, F.lit(kind.pattern), F.lit(0))
         ).otherwise(F.array().cast("array<string>"))
-        found = found.withColumn(f"__hits{i}", hits)
-    for i, kind in enumerate(KINDS):
-        gaps = F.when(F.size(f"__hits{i}") > 0, F.split(whole, kind.pattern, -1))
-        found = found.withColumn(f"__gaps{i}", gaps)
-    spans = [_spans(k, i, F.col(f"__gaps{i}"), F.col(f"__hits{i}")) for i, k in enumerate(KINDS)]
-    made = [f"__{part}{i}" for i in range(len(KINDS)) for part in ("hits", "gaps")]
-    return found.withColumn(to, F.sort_array(F.concat(*spans))).drop(*made)
+        found = found.withColumn(name, hits)
+    for kind, name, own in zip(KINDS, columns[1::2], columns[::2]):
+        found = found.withColumn(name, F.when(F.size(own) > 0, F.split(whole, kind.pattern, -1)))
+    spans = [
+        _spans(k, i, F.col(gaps), F.col(hits))
+        for i, (k, hits, gaps) in enumerate(zip(KINDS, columns[::2], columns[1::2]))
+    ]
+    return found.withColumn(names[0], F.sort_array(F.concat(*spans))).drop(*columns)
 
 
 def joined(spans: Column) -> Column:
