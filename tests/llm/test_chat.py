@@ -68,3 +68,15 @@ def test_long_conversation(spark):
     events = [(1, i, str(i), "message", "user", f"t{i} " * 20) for i in range(20_000)]
     row = rendered(spark, events)[1]
     assert turns(row) == [("user", f"t{i} " * 20) for i in range(20_000)]
+
+
+def test_the_query_folds_events(spark, tmp_path):
+    """Every turn is taken apart into a log and put together again, null and repeated turns too."""
+    from textprep_spark.llm import catalog
+
+    rows = [(1, None, "user", "first"), (1, 2, "assistant", "é😀b"), (1, 1, None, None), (1, 2, "assistant", "é😀b"), (1, 1, "user", "x"), (2, 0, "user", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = catalog._as_events(df)
+    assert log.count() == 6 * len(rows) and {r.kind for r in log.collect()} == set(chat.KINDS)
+    got = {r.conv_id: [(m.role, m.text) for m in r.messages] for r in chat.reconstruct(log.repartition(4)).collect()}
+    assert got == {1: [("user", "first"), ("", ""), ("user", "x"), ("assistant", "é😀b"), ("assistant", "é😀b")], 2: [("user", "")]}

@@ -71,6 +71,30 @@ from loss group by conv_id
 """
 
 
+def _as_events(rows: DataFrame) -> DataFrame:
+    """The log that each turn's text could have come from, last event first: the turn is opened, a
+    draft streamed and thrown away, another one streamed, edited, and streamed to its end."""
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    log = (
+        ("message", F.lit(None)),
+        ("delta", F.concat(F.left(text, half), F.lit("a draft"))),
+        ("regenerate", F.lit(None)),
+        ("delta", F.lit("a slip")),
+        ("edit", F.left(text, half)),
+        ("delta", F.substr(text, half + 1, F.greatest(F.length(text), F.lit(1)))),
+    )
+    events = [
+        F.struct(F.struct("turn", F.lit(i).alias("step")).alias("seq"), F.lit(kind).alias("kind"), part.cast("string").alias("text"))
+        for i, (kind, part) in enumerate(log)
+    ]
+    # a number a row, as turns can be null or repeated
+    numbered = rows.withColumn("message_id", F.monotonically_increasing_id())
+    role = F.when(F.col("event.kind") == "message", F.col("role")).alias("role")
+    parts = numbered.select("conv_id", "message_id", "role", F.explode(F.array(*events[::-1])).alias("event"))
+    return parts.select("conv_id", "event.seq", "message_id", "event.kind", role, "event.text")
+
+
 @_query(CHAT_SQL)
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -80,15 +104,7 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(CONTROL).alias("text"),
     )
-    events = rows.unionByName(hostile).select(
-        "conv_id",
-        F.col("turn").alias("seq"),
-        F.col("turn").alias("message_id"),
-        F.lit("message").alias("kind"),
-        "role",
-        "text",
-    )
-    formatted = chat.render(chat.reconstruct(events))
+    formatted = chat.render(chat.reconstruct(_as_events(rows.unionByName(hostile))))
     turns = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     read = formatted.select(
         "conv_id",
