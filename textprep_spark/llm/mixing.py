@@ -146,7 +146,9 @@ def mix(
     spark = documents.sparkSession
     ship(spark)
     size = word_count(_known(F.col("text")))
-    sized = stage(documents.select("doc_id", "source", size.alias("size")), "sizes")
+    # without an id, the text tells rows apart
+    mark = F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(1))).otherwise(F.xxhash64("doc_id"))
+    sized = stage(documents.select("doc_id", "source", size.alias("size"), mark.alias("mark")), "sizes")
     grid = F.greatest(F.round(base(F.col("size")) * STEP), F.lit(1.0)) / STEP
     sized = sized.withColumn("base", F.least(grid, F.lit(float(most))))
     totals = sized.groupBy("source").agg(
@@ -161,7 +163,6 @@ def mix(
     rated = sized.alias("d").join(known.alias("k"), F.expr("d.source <=> k.source"))
     rate = F.least(F.col("base") * F.col("factor"), F.lit(float(most)))
     blocks = F.greatest(F.ceil(F.col("n_docs") / BLOCK), F.lit(1)).cast("long")
-    mark = F.xxhash64("doc_id")
     rated = rated.select(
         "doc_id",
         "d.source",
@@ -169,8 +170,8 @@ def mix(
         "source_size",
         "target",
         rate.alias("rate"),
-        mark.alias("mark"),
-        F.pmod(F.shiftright(mark, 7), blocks).alias("block"),
+        "mark",
+        F.pmod(F.shiftright("mark", 7), blocks).alias("block"),
     )
 
     def rounded(block: pa.Table) -> pa.Table:
