@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textprep_spark.llm import bpe, line_dedup, mixing, near_dedup, quality_rules
-from textprep_spark.llm.common import stage, table
+from textprep_spark.llm.common import stage, table, unused
 
 ORACLE_SQL = None  # learned rules, tilted rates and byte-pair merges are not expressible in SQL
 
@@ -19,8 +19,9 @@ ORACLE_SQL = None  # learned rules, tilted rates and byte-pair merges are not ex
 def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or a learned one go."""
     rules = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
-    judged = docs.withColumn("__stats", quality_rules.text_stats(docs))
-    stats = F.col("__stats")
+    (name,) = unused(docs, "__stats")
+    judged = docs.withColumn(name, quality_rules.text_stats(docs))
+    stats = F.col(name)
     rejected = rules.first_match(quality_rules.features(stats)).isNotNull()
     kept = judged.where(~quality_rules.base_failed(stats) & ~rejected)
     return kept.select(*docs.columns)
@@ -44,11 +45,12 @@ def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it; those it leaves out go."""
     mixed = mixing.mix(docs.select("doc_id", "source", "text"))
-    times = mixed.groupBy("doc_id").agg(F.max("copies").alias("__copies")).where("__copies > 0")
-    times = stage(times.withColumnRenamed("doc_id", "__id"), "copies")
-    taken = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__id")))
-    each = F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")
-    return taken.select(*docs.columns, each).drop("__copy")
+    id_, copies, copy = unused(docs, "__id", "__copies", "__copy")
+    times = mixed.groupBy("doc_id").agg(F.max("copies").alias(copies)).where(F.col(copies) > 0)
+    times = stage(times.withColumnRenamed("doc_id", id_), "copies")
+    taken = docs.join(times, F.col("doc_id").eqNullSafe(F.col(id_)))
+    each = F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy)
+    return taken.select(*docs.columns, each).drop(copy)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
