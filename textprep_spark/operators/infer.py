@@ -3,6 +3,10 @@
 A model is given by a loader: a function without arguments that returns a callable from a list of
 texts to one result per text. A Python worker loads a model once and keeps it for its later tasks,
 as long as the same loader object is used. Only the text column goes to Python.
+
+Models pad the texts of a batch to its longest. So texts are held back in a buffer of bounded size and
+handed to the model by length, short with short and long with long; results go back in the order in
+which the texts came.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ Loader = Callable[[], Model]
 
 BATCH_SIZE = 32
 KEPT_MODELS = 2  # per worker
+BUFFER_TEXTS = 4096  # held back to be ordered by length, at most
+BUFFER_CHARS = 8_000_000  # after so many characters no further text is waited for
 
 _keys: weakref.WeakKeyDictionary[Loader, str] = weakref.WeakKeyDictionary()  # on the driver
 _loaded: dict[str, Model] = {}  # per worker process
@@ -47,6 +53,35 @@ def _model(key: str, load: Loader) -> Model:
     return _loaded[key]
 
 
+def _buffers(batches: Iterator[pa.Array]) -> Iterator[list[str | None]]:
+    """The texts of a stream in runs of bounded size."""
+    held: list[str | None] = []
+    size = 0
+    for batch in batches:
+        for text in batch.to_pylist():
+            held.append(text)
+            size += len(text or "")
+            if len(held) >= BUFFER_TEXTS or size >= BUFFER_CHARS:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _by_length(texts: list[str | None], model: Model, batch_size: int, convert: Callable[[Any], list]) -> list:
+    """A result for each text, in its place; the model gets texts of like length together."""
+    order = sorted(range(len(texts)), key=lambda i: len(texts[i] or ""))
+    out: list = [None] * len(texts)
+    for start in range(0, len(order), batch_size):
+        places = order[start : start + batch_size]
+        found = convert(model([texts[i] for i in places]))
+        if len(found) != len(places):
+            raise ValueError(f"the model gave {len(found)} results for {len(places)} texts")
+        for i, result in zip(places, found):
+            out[i] = result
+    return out
+
+
 def _apply_model(
     df: DataFrame,
     text: str,
@@ -65,13 +100,8 @@ def _apply_model(
     key = _key(load)
 
     def results(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            model, texts, out = _model(key, load), batch.to_pylist(), []
-            for start in range(0, len(texts), batch_size):
-                out += convert(model(texts[start : start + batch_size]))
-            if len(out) != len(texts):
-                raise ValueError(f"the model gave {len(out)} results for {len(texts)} texts")
-            yield pa.array(out, arrow)
+        for texts in _buffers(batches):
+            yield pa.array(_by_length(texts, _model(key, load), batch_size, convert), arrow)
 
     # the optimizer must not run a model again for each use of its result, nor a sampling one twice
     apply = F.arrow_udf(_typed(results), kind).asNondeterministic()
