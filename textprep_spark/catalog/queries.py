@@ -19,10 +19,10 @@ from textprep_spark.catalog.records import (
     documents,
     foundational_lookup,
     label_means,
-    records,
     table,
     theme_lookup,
 )
+from textprep_spark.catalog.records import records as read_given_records
 from textprep_spark.functions import jsoncols, sentences, text, themes, vectors
 from textprep_spark.functions.documents import PARALLEL, plain_record_text, record_text
 from textprep_spark.operators import cleaning, metrics
@@ -61,6 +61,13 @@ class Registered:
 CATALOG: dict[str, Registered] = {}
 
 
+PARTS = 32  # the given documents are one row group, which one task would work on alone
+
+
+def records(spark: SparkSession, d: str) -> DataFrame:
+    return read_given_records(spark, d, PARTS)
+
+
 def _query(sql: str | None = None, name: str | None = None):
     def register(run: Query) -> Query:
         CATALOG[name or run.__name__] = Registered(run, sql)

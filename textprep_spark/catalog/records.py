@@ -112,8 +112,10 @@ def documents(spark: SparkSession, directory: str) -> DataFrame:
     return table(spark, directory, "documents").select("doc_id", "text", "lang", "source")
 
 
-def records(spark: SparkSession, directory: str) -> DataFrame:
-    return documents(spark, directory).selectExpr(*_select_list())
+def records(spark: SparkSession, directory: str, partitions: int | None = None) -> DataFrame:
+    """The record table; dealt over so many partitions, if given, else as its files are read."""
+    rows = documents(spark, directory)
+    return (rows.repartition(partitions) if partitions else rows).selectExpr(*_select_list())
 
 
 def theme_lookup(spark: SparkSession, directory: str) -> DataFrame:
