@@ -74,8 +74,11 @@ def output_directory(base: str, keep_eo: bool) -> str:
 
 
 def _shared_directory(spark: SparkSession) -> str:
-    """Where intermediate tables go: ``spark.checkpoint.dir``, or the warehouse if that is unset."""
+    """Where intermediate tables go: ``spark.checkpoint.dir``, or, in local mode, the warehouse if that
+    is unset. On a cluster the default warehouse is a folder of one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
 
 
