@@ -122,3 +122,52 @@ def test_the_pipeline_keeps_lines_without_an_earlier_match(spark):
     df = spark.createDataFrame([(1, a), (2, c), (3, b)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in corpus_pipeline.remove_lines(spark, df, "").collect()}
     assert got == {1: a, 2: c, 3: ""}
+
+
+def plain_links(rows):
+    """{doc: (links, classes)}: of its lines with words, the links added up, and the classes by place."""
+    first = {}
+    for doc, text in sorted((r for r in rows if r[1] is not None), key=lambda r: r[0]):
+        for place, line in enumerate(text.split("\n")):
+            if tokens(line):
+                first.setdefault(line, (doc, place))
+    sets = {line: tokens(line) for line in first}
+    linked = {
+        x: {y for y in sets if x != y and 4 * len(sets[x] & sets[y]) >= 3 * len(sets[x] | sets[y])} for x in sets
+    }
+    class_ = {}
+    for line in sorted(first, key=first.get):
+        reached = [] if line in class_ else [line]
+        while reached:
+            x = reached.pop()
+            if x not in class_:
+                class_[x] = first[line]
+                reached += linked[x]
+    worded = {doc: [x for x in (text or "").split("\n") if tokens(x)] for doc, text in rows}
+    return {doc: (sum(len(linked[x]) for x in lines), [class_[x] for x in lines]) for doc, lines in worded.items()}
+
+
+def test_all_links_and_classes(spark, monkeypatch):
+    """Chains, families of near copies whose members meet at many tokens, and copies; in small blocks."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 3)
+    monkeypatch.setattr(line_dedup, "NARROW_BLOCK", 5)
+    chance, lines = random.Random(14), ["", " ", "short", "a b"]
+    for c in range(8):
+        words = [f"c{c}w{i}" for i in range(40)]
+        for step in range(6):
+            words = [*words[3:], *[f"c{c}n{step}{i}" for i in range(3)]]
+            lines.append(" ".join(words))
+    for f in range(4):
+        words = [f"f{f}w{i}" for i in range(60)]
+        for k in range(12):
+            place = chance.randrange(60)
+            lines.append(" ".join([*words[:place], f"f{f}x{k}", *words[place + 1 :]]))
+    lines += chance.choices(lines, k=30)
+    chance.shuffle(lines)
+    rows = [(i, "\n".join(lines[3 * i : 3 * i + 3])) for i in range(len(lines) // 3)] + [(900, None), (901, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = line_dedup.dedup_lines(df, links=True).collect()
+    assert {r.doc_id: r.text for r in got} == brute(rows)
+    want = plain_links(rows)
+    assert {r.doc_id: (r["__links"], [tuple(c) for c in r["__classes"]]) for r in got} == want
+    assert sum(n for n, _ in want.values()) > 200 and max(n for n, _ in want.values()) > 5
