@@ -81,3 +81,20 @@ def test_file_positions(spark, tmp_path):
     q = spark.createDataFrame([(1, "needle")], "query_id int, text string")
     hits = S.first_documents(S.build_index(df.repartition(3), ["position"]), q, 3).hits
     assert [r.doc_id for r in hits.orderBy("rank").collect()] == [5, 1, 8]
+
+
+@pytest.mark.parametrize("order", ["doc_id", "at"])
+def test_cost_of_a_common_token_and_of_postings(spark, order):
+    """What a common token costs does not grow with the corpus, and postings do not list every document."""
+    q = spark.createDataFrame([(1, "common")], "query_id int, text string")
+    searched, postings = [], []
+    for n in (1000, 8000):
+        c = spark.range(n).selectExpr("id doc_id", f"{n} - id at", "concat('a common text ', id % 7, ' 😀日é') text")
+        index = S.build_index(c, [order])
+        found = S.first_documents(index, q, 5)
+        first = range(5) if order == "doc_id" else range(n - 1, n - 6, -1)
+        assert [r.doc_id for r in found.hits.orderBy("rank").collect()] == list(first)
+        searched.append(sum(r.documents for r in found.verified.collect()))
+        postings.append(index.postings.count() / index.frequencies.agg(F.sum("documents")).first()[0])
+    assert searched[0] == searched[1] < 20
+    assert max(postings) < 0.2

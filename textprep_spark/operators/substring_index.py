@@ -1,21 +1,23 @@
 """Keyword search by an index of short substrings.
 
-The index holds, for every substring of one to three characters, the documents that contain it: postings
-dealt by ranges of the substring's hash, so that a lookup skips what lies elsewhere. A document that
-contains a token contains all of the token's substrings. So a token's candidates are the documents that
-its rarest substrings share, and only their texts are read and searched for the token itself.
+The index holds, for every substring of one to three characters, the documents that contain it. A
+posting is a block of 64 documents that stand next to each other, one bit each, so there are far fewer
+postings than pairs of substring and document, and most are put together before the shuffle. A document
+that contains a token contains all of the token's substrings. So a token's candidates are the documents
+that its rarest substrings share, and only their texts are read and searched for the token itself.
 
 Documents are numbered along an order, by id or by any other columns. A query wants its first ``k`` in
-that order, and postings are also dealt by ``PARTS`` of growing size along it: the first holds about one
-document in 64, the next one in 8, the last the rest. A token that ``k`` documents of the first parts
-contain is not looked for in the later ones. So a common token costs a part of the first postings, and
-a rare one its few documents. Nothing is left out: a part's candidates are all verified.
+that order, and postings are also dealt by parts along it: the first ends after ``FIRST`` documents, each
+other one after ``GROWTH`` times as many as the one before. A token that ``k`` documents of the first
+parts contain is not looked for in the later ones. So a common token costs some of the first documents,
+however many follow, and a rare one its few. Nothing is left out: a part's candidates are all verified.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,7 +27,8 @@ from textprep_spark.sources.writers import stage
 
 SIZE = 3  # characters of the longest indexed substring
 RAREST = 3  # substrings of a token whose postings are intersected
-PARTS = (1 / 64, 1 / 8)  # shares of the documents at which a part ends
+FIRST, GROWTH = 16, 16  # documents of the first part, and how many times as many the next one ends at
+RANGE_BITS = 33  # of a document's number, below the range of the order it stands in
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -34,38 +37,69 @@ def _grams(text: Column, size: int) -> Column:
     return F.transform(found, lambda g: F.xxhash64(g))
 
 
-def _every_gram(text: Column) -> Column:
-    return F.array_distinct(F.concat(*[_grams(text, n) for n in range(1, SIZE + 1)]))
+def _beginning(n: int, gram: Column) -> Column:
+    return F.left(gram, F.lit(n))
+
+
+def _with_grams(rows: DataFrame) -> DataFrame:
+    """``rows`` (part, at, text) with ``grams``, the hashes of the text's distinct substrings. Only the
+    longest are cut from the text; a shorter one begins a longer one or ends the text."""
+    found = F.regexp_extract_all("text", F.lit(f"(?s)(?=({'.' * SIZE}))"), F.lit(1))
+    rows = rows.withColumn(f"of_{SIZE}", F.array_distinct(found))
+    for n in range(SIZE - 1, 0, -1):
+        begins = F.transform(f"of_{n + 1}", partial(_beginning, n))
+        last = F.when(F.length("text") >= n, F.array(F.right("text", F.lit(n))))
+        ends = F.coalesce(last, F.array().cast("array<string>"))
+        rows = rows.withColumn(f"of_{n}", F.array_distinct(F.concat(begins, ends)))
+    grams = F.concat(*[F.transform(f"of_{n}", lambda g: F.xxhash64(g)) for n in range(1, SIZE + 1)])
+    return rows.select("part", "at", grams.alias("grams"))
+
+
+def _part_ends(rows: DataFrame) -> list[int]:
+    """The numbers ``at`` of the last documents of all parts but the last."""
+    sizes = rows.groupBy(F.shiftright("at", RANGE_BITS).alias("range")).agg(F.count("*").alias("n"))
+    sizes = sorted(sizes.collect())  # as many rows as the texts' shuffle has partitions
+    ends, before, end = [], 0, FIRST
+    for range_, n in sizes:
+        while end <= before + n:
+            ends.append((range_ << RANGE_BITS) + end - before - 1)
+            end *= GROWTH
+        before += n
+    return ends
 
 
 @dataclass(frozen=True)
 class SubstringIndex:
-    """``documents`` (part, at, doc_id, text lower-cased), ``postings`` (part, gram, at),
-    ``frequencies`` (gram, documents); all staged."""
+    """``documents`` (part, at, doc_id, text lower-cased), ``postings`` (part, gram, block, documents: a
+    bit for each of the 64 from ``64 * block`` on), ``frequencies`` (gram, documents); all staged. And the
+    number of parts."""
 
     documents: DataFrame
     postings: DataFrame
     frequencies: DataFrame
+    parts: int
 
 
 def build_index(corpus: DataFrame, order: Sequence[str | Column] = ("doc_id",)) -> SubstringIndex:
     """The index of ``corpus`` (doc_id, text), its documents numbered along ``order``.
 
-    Ids are unique, and so is the order; null texts hold nothing. The driver learns two numbers.
+    Ids are unique, and so is the order; null texts hold nothing. The driver learns how many documents
+    each range of the order has.
     """
     rows = corpus.where(F.col("text").isNotNull()).repartitionByRange(*order).sortWithinPartitions(*order)
     rows = rows.select(F.monotonically_increasing_id().alias("at"), "doc_id", F.lower("text").alias("text"))
     rows, _ = stage(rows, "indexed-texts")
-    ends = rows.agg(F.percentile_approx("at", F.array(*map(F.lit, PARTS)), F.lit(10_000))).first()[0] or []
-    part = F.lit(0)
+    ends, part = _part_ends(rows), F.lit(0)
     for end in ends:
         part = part + (F.col("at") > end).cast("int")
     rows = rows.withColumn("part", part)
-    postings = rows.select("part", "at", F.explode(_every_gram(F.col("text"))).alias("gram"))
-    postings = postings.repartitionByRange("part", "gram").sortWithinPartitions("part", "gram", "at")
-    postings, _ = stage(postings, "postings")
-    frequencies, _ = stage(postings.groupBy("gram").agg(F.count("*").alias("documents")), "gram-frequencies")
-    return SubstringIndex(rows, postings, frequencies)
+    each = _with_grams(rows).select("part", "at", F.explode("grams").alias("gram"))
+    each = each.select("part", "gram", F.shiftright("at", 6).alias("block"), F.expr("shiftleft(1L, int(at & 63))").alias("bit"))
+    postings = each.groupBy("part", "gram", "block").agg(F.bit_or("bit").alias("documents"))
+    postings, _ = stage(postings.sortWithinPartitions("part", "gram"), "postings")
+    counts = postings.groupBy("gram").agg(F.sum(F.bit_count("documents")).alias("documents"))
+    frequencies, _ = stage(counts, "gram-frequencies")
+    return SubstringIndex(rows, postings, frequencies, len(ends) + 1)
 
 
 def _rarest_grams(index: SubstringIndex, tokens: DataFrame) -> DataFrame:
@@ -101,10 +135,15 @@ def first_documents(index: SubstringIndex, queries: DataFrame, k: int = 5) -> Fo
     tokens, _ = stage(queries.select("query_id", words.alias("token")), "query-tokens")
     grams, _ = stage(_rarest_grams(index, tokens.select("token").distinct()), "token-grams")
     matches, verified, open_ = [], [], grams
-    for part in range(len(PARTS) + 1):
-        postings = index.postings.where(F.col("part") == part).select("gram", "at")
-        shared = open_.join(postings, "gram").groupBy("token", "at", "wanted").agg(F.count("*").alias("n"))
-        candidates = shared.where("n = wanted").select("token", "at")
+    for part in range(index.parts):
+        postings = index.postings.where(F.col("part") == part).select("gram", "block", "documents")
+        shared = open_.join(postings, "gram").groupBy("token", "block", "wanted").agg(
+            F.count("*").alias("n"), F.bit_and("documents").alias("documents")
+        )
+        bits = F.expr("filter(sequence(0, 63), i -> getbit(documents, i) = 1)")
+        candidates = shared.where("n = wanted and documents <> 0").select("token", "block", F.explode(bits).alias("bit"))
+        candidates = candidates.select("token", (F.shiftleft("block", 6) + F.col("bit")).alias("at"))
+        candidates, _ = stage(candidates, "candidates")  # few are broadcast, so that no text is shuffled
         texts = index.documents.where(F.col("part") == part).select("at", "doc_id", "text")
         searched = candidates.join(texts, "at").select("token", "at", "doc_id", F.contains("text", "token").alias("holds"))
         searched, _ = stage(searched, "searched")
