@@ -165,3 +165,33 @@ def test_query_on_a_whole_table(spark, tools):
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
     got = aligned(catalog.CATALOG["op12_token_alignment"].run(spark, folder))
     assert got == plain(tools, rows) and sum(r[4] for r in got) > 10_000
+
+
+def test_marks_behind_known_words_are_not_tokenized_again(tools):
+    """A word's full stop or comma: the groups of whole texts, without another pass over the word."""
+    own = alignment.Units(alignment.Tokenizers(*units_files()))
+    words = ["wertolun", "éàñör", "x", "a.b", "1a", "co-op", "naïve"]
+    texts = [" " + " ".join([*words, "".join(m)]) for m in (["end"], ["3.,"], ["²."], ["a..,"], ["中,"], ["(a).,"])]
+    own.learn(set().union(*map(own.tokenizers.units, texts)))
+    passes, align = [], own.tokenizers.align
+    own.tokenizers.align = lambda text: passes.append(text) or align(text)
+    marked = [" " + " ".join(w + m for w in words) for m in ".,"]
+    own.learn(set().union(*map(own.tokenizers.units, marked)))
+    assert own.tokenizers.marks_apart and passes == []
+    for text in texts + marked:
+        cut = own.tokenizers.units(text[1:])
+        own.learn(set(cut))
+        at = [own.known[u] for u in cut]
+        groups = plain_groups(tools, text[1:])
+        told = ";".join("|".join(",".join(map(str, ids)) for ids in g) for g in groups)
+        assert b";".join(own.groups[i] for i in at).decode() == told, text
+        assert sum(own.a[i] for i in at) == sum(len(a) for a, _ in groups)
+        assert sum(own.b[i] for i in at) == sum(len(b) for _, b in groups)
+        links = np.frombuffer(b"".join(own.links[i] for i in at), dtype=own.code)
+        half = 4 * own.code.itemsize
+        assert [(int(x) >> half, int(x) & (1 << half) - 1) for x in links] == [(a[-1], b[-1]) for a, b in groups]
+
+
+def units_files():
+    with open(A_FILE, encoding="utf-8") as a, open(B_FILE, "rb") as b:
+        return a.read(), b.read()

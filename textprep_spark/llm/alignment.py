@@ -5,8 +5,8 @@ the text and puts the space in front itself. Where a token of each ends at the s
 cut; between two cuts lies a group of A's tokens and one of B's, and the two that end at the cut are
 linked.
 
-Coarse cuts come from what the libraries tell: A's offsets count characters, B's spans (of the result
-in ``proto`` form) bytes of the text. Both are vague inside a character of several bytes: all of A's
+Coarse cuts come from what the libraries tell: A's offsets count characters, B's spans bytes of
+the text. Both are vague inside a character of several bytes: all of A's
 tokens that share a character report the whole of it, and of B's byte-fallback tokens all but the last
 report nothing. There the decoded bytes of the tokens decide: within such a run, every token ends as
 many bytes behind the one before as it has bytes.
@@ -17,6 +17,9 @@ which is verified, as is A's way of splitting; otherwise a text is one unit. So
 there, each of which is aligned once and remembered; many new ones are put end to end and aligned in
 one pass.
 
+A full stop or comma behind a Latin letter is a piece of its own for A, and none of B's pieces holds such
+a pair, which is verified. So a new word that ends in one is put together from the word and the mark.
+
 A text whose tokens do not give back its bytes has no tokens, nor has a null or empty one.
 
 Links are counted over the corpus. Texts are read once: every batch is staged as its texts, written as
@@ -34,11 +37,10 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
-from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -51,10 +53,13 @@ from textprep_spark.llm.common import bound_batches, stage
 from textprep_spark.shipping import ship
 
 MARK = "▁"
-CACHED = 150_000  # units in each of the two generations that a Python worker remembers
+CACHED = 200_000  # units in each of the two generations that a Python worker remembers
 GROUP = 1 << 19  # characters of texts that are cut at a time
 BATCH = 6 << 20  # characters of texts whose links are counted together
 TOGETHER = 1 << 19  # characters of new units that are aligned in one pass
+MARKS = ".,"
+LETTER = "[A-Za-zÀ-ÖØ-öø-ɏ]"
+_marked = re.compile(rf".*{LETTER}[{MARKS}]", re.DOTALL).fullmatch
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -73,6 +78,11 @@ def char_ends(text: str) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(sizes)])
 
 
+def _spans(told: list[tuple[int, int]]) -> np.ndarray:
+    """Starts and ends."""
+    return np.fromiter(chain.from_iterable(told), dtype=np.int64, count=2 * len(told)).reshape(-1, 2).T
+
+
 def refined(starts: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray | None:
     """The byte ends of tokens with coarse spans (in bytes) and ``sizes`` of decoded bytes; None if
     the two disagree.
@@ -145,6 +155,7 @@ class Tokenizers:
             and not way.get("add_prefix_space")
             and not any("\n" in p or MARK in p.lstrip(MARK) for p in pieces)
         )
+        self.marks_apart = self.local and not any(re.search(f"{LETTER}[{MARKS}]", p) for p in pieces)
 
     def align(self, text: str) -> Aligned | None:
         """The groups of a text that begins with a space; None if its tokens are not its bytes."""
@@ -152,16 +163,15 @@ class Tokenizers:
         coded = self.a.encode(text, add_special_tokens=False)
         a = np.array(coded.ids, dtype=np.int64)
         ends = char_ends(text)
-        offsets = np.fromiter(chain.from_iterable(coded.offsets), dtype=np.int64, count=2 * len(a)).reshape(-1, 2)
-        pieces = self.b.encode(text[1:], return_type="proto").pieces
-        b, b_starts, b_stops = (
-            np.fromiter(map(attrgetter(x), pieces), dtype=np.int64, count=len(pieces)) for x in ("id", "begin", "end")
-        )
+        a_starts, a_stops = _spans(coded.offsets)
+        told = self.b.encode(whole[1:], return_type="offset_mapping")  # of bytes, so spans count bytes
+        b = np.array(told["ids"], dtype=np.int64)
+        b_starts, b_stops = _spans(told["offsets"])
         if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != whole:
             return None
         if b"".join(map(self.b_bytes.__getitem__, b.tolist())) != whole:
             return None
-        at_a = refined(ends[offsets[:, 0]], ends[offsets[:, 1]], self.a_sizes[a])
+        at_a = refined(ends[a_starts], ends[a_stops], self.a_sizes[a])
         # spans count the text's bytes: one less than here, but that the space in front starts at 0
         starts = np.where(np.arange(len(b)) > 0, b_starts + 1, 0)
         at_b = refined(starts, b_stops + 1, self.b_sizes[b])
@@ -187,6 +197,7 @@ class Units:
         told = [x + mark for ids, marks in ((a, (b",", b"|")), (b, (b",", b";"))) for mark in marks for x in ids]
         self.told = np.empty(len(told), dtype=object)
         self.told[:] = told
+        self.told_sizes = np.array([len(x) for x in told])
         self.n_a = len(a)
         self.n_b = len(b)
         self._begin()
@@ -198,6 +209,8 @@ class Units:
         self.b: list[int] = []
         self.groups: list[bytes] = []
         self.links: list[bytes] = []
+        # marks behind a letter; units of texts begin with white space
+        self.marks = self.tokenizers.marks_apart and all([self._keep([" a", m], f" a{m}", 0) for m in MARKS])
 
     def _all(self) -> tuple:
         return self.known, self.a, self.b, self.groups, self.links
@@ -208,12 +221,13 @@ class Units:
             self.before = self._all()
             self._begin()
 
-    def _add(self, unit: str, a: int, b: int, groups: bytes, links: bytes) -> None:
-        self.known[unit] = len(self.a)
-        self.a.append(a)
-        self.b.append(b)
-        self.groups.append(groups)
-        self.links.append(links)
+    def _add(self, units: list[str], *columns: Iterable) -> None:
+        self.known.update(zip(units, range(len(self.a), len(self.a) + len(units))))
+        for own, new in zip((self.a, self.b, self.groups, self.links), columns):
+            own.extend(new)
+
+    def _add_unsound(self, unit: str) -> None:
+        self._add([unit], [-1], [-1], [b""], [b""])
 
     def _keep(self, units: list[str], text: str, skipped: int) -> bool:
         """Remember the units that make up ``text`` behind its first ``skipped`` bytes, if its tokens
@@ -221,7 +235,8 @@ class Units:
         found = self.tokenizers.align(text)
         if found is None:
             return False
-        ends = skipped + np.cumsum([len(u.encode()) for u in units])
+        of_units = np.cumsum(np.fromiter(map(len, units), dtype=np.int64, count=len(units)))
+        ends = char_ends(text)[skipped + of_units]  # what is skipped are characters of one byte
         upto = np.searchsorted(found.cuts, [skipped, *ends], side="right") if skipped else np.concatenate(
             [[0], np.searchsorted(found.cuts, ends, side="right")]
         )
@@ -237,35 +252,62 @@ class Units:
         b[found.b_ends - 1] += self.n_b
         told[np.arange(len(a)) + np.concatenate([[0], found.b_ends])[of_a]] = a
         told[np.arange(len(b)) + found.a_ends[of_b]] = b
-        told = self.told[told].tolist()
+        sizes = np.concatenate([[0], np.cumsum(self.told_sizes[told])])
+        whole = b"".join(self.told[told].tolist())
         half, width = 4 * self.code.itemsize, self.code.itemsize
         links = ((found.a[found.a_ends - 1] << half) | found.b[found.b_ends - 1]).astype(self.code).tobytes()
-        upto_a, upto_b = (np.concatenate([[0], e])[upto].tolist() for e in (found.a_ends, found.b_ends))
-        upto = upto.tolist()
-        for i, unit in enumerate(units):
-            x, y, v, w = *upto_a[i : i + 2], *upto_b[i : i + 2]
-            self._add(unit, y - x, w - v, b"".join(told[x + v : y + w])[:-1], links[width * upto[i] : width * upto[i + 1]])
+        upto_a, upto_b = (np.concatenate([[0], e])[upto] for e in (found.a_ends, found.b_ends))
+        told_upto, links_upto = sizes[upto_a + upto_b], (width * upto).tolist()
+        self._add(
+            units,
+            np.diff(upto_a).tolist(),
+            np.diff(upto_b).tolist(),
+            # without the mark behind the last group
+            [whole[i:j] for i, j in zip(told_upto[:-1].tolist(), (told_upto[1:] - 1).tolist())],
+            [links[i:j] for i, j in zip(links_upto, links_upto[1:])],
+        )
         return True
 
     def _learn(self, units: list[str]) -> None:
         """Align units end to end, behind one of our own; halve what is not its tokens' bytes."""
         if not self._keep(units, " ." + "".join(units), 2):
             if len(units) == 1:
-                self._add(units[0], -1, -1, b"", b"")
+                self._add_unsound(units[0])
                 return
             self._learn(units[: len(units) // 2])
             self._learn(units[len(units) // 2 :])
 
+    def _add_marked(self, units: list[str]) -> None:
+        """Put together units whose word is known to be its bytes."""
+        word, mark = ([self.known[u[x]] for u in units] for x in (slice(-1), -1))
+        for column, between in ((self.a, 0), (self.b, 0), (self.groups, b";"), (self.links, b"")):
+            column.extend([column[i] + between + column[j] for i, j in zip(word, mark)])
+        self.known.update(zip(units, range(len(self.a) - len(units), len(self.a))))
+
     def learn(self, met: set[str]) -> None:
+        new = self._recalled(met)
+        marked = [u for u in new if u[-1] in MARKS and _marked(u)] if self.marks and self.tokenizers.local else []
+        new.difference_update(marked)
+        self._learn_all(new | self._recalled({u[:-1] for u in marked}))
+        sound = [u for u in marked if self.a[self.known[u[:-1]]] >= 0]
+        self._add_marked(sound)
+        self._learn_all(set(marked).difference(sound))
+
+    def _recalled(self, met: set[str]) -> set[str]:
+        """The units that the older generation does not know either; what it knows is taken over."""
         known, *columns = self.before
-        for unit in met.difference(self.known).intersection(known):
-            i = known[unit]
-            self._add(unit, *[c[i] for c in columns])
+        new = met.difference(self.known)
+        again = list(new.intersection(known))
+        at = [known[unit] for unit in again]
+        self._add(again, *[map(c.__getitem__, at) for c in columns])
+        return new.difference(again)
+
+    def _learn_all(self, new: set[str]) -> None:
         some, size = [], 0
-        for unit in sorted(met.difference(self.known)):
+        for unit in sorted(new):
             if not self.tokenizers.local:
                 if not self._keep([unit], unit, 0):
-                    self._add(unit, -1, -1, b"", b"")
+                    self._add_unsound(unit)
             elif unit[-1].isspace():  # it ends its text; white space behind it would change it
                 self._learn([unit])
             else:
@@ -329,7 +371,7 @@ def _aligned(units: Units, batch: int, ids: list, texts: list[str | None]) -> pa
         units.learn(set().union(*cut))
         for own in cut:
             own = list(map(number, own))
-            told.append(hashlib.sha256(b";".join([groups[i] for i in own])).hexdigest())
+            told.append(hashlib.sha256(b";".join(map(groups.__getitem__, own))).hexdigest())
             at.append(np.array(own, dtype=np.int32))
     n_a, n_b = np.array(units.a, dtype=np.int64), np.array(units.b, dtype=np.int64)
     n_links = np.fromiter(map(len, units.links), dtype=np.int64, count=len(units.links)) // units.code.itemsize
