@@ -171,3 +171,42 @@ def test_all_links_and_classes(spark, monkeypatch):
     want = plain_links(rows)
     assert {r.doc_id: (r["__links"], [tuple(c) for c in r["__classes"]]) for r in got} == want
     assert sum(n for n, _ in want.values()) > 200 and max(n for n, _ in want.values()) > 5
+
+
+def test_pairs_and_blocks_find_the_same_links(spark, monkeypatch):
+    """Lines that meet where few do are paired, others dealt over blocks; some pairs meet in both ways."""
+    chance, lines = random.Random(15), ["a", "a b c", "a  b c", "x y x y x y x y x y x y"]
+    common = [f"z{i}" for i in range(7)]
+    for k in range(70):
+        words = [f"k{k}w{i}" for i in range(chance.choice([2, 9, 70, 90]))]
+        lines.append(" ".join(common + words))
+        for step in range(chance.randint(0, 3)):
+            place = chance.randrange(len(words))
+            lines.append(" ".join(common + [*words[:place], f"x{k}{step}", *words[place + 1 :]]))
+    rows = [(i, "\n".join(lines[2 * i : 2 * i + 2])) for i in range(len(lines) // 2)]
+    df, want = spark.createDataFrame(rows, "doc_id long, text string"), plain_links(rows)
+    assert sum(n for n, _ in want.values()) > 50
+    monkeypatch.setattr(line_dedup, "BUCKETS", 8)  # an order that hardly tells words apart
+    for few in (1, 4, 1000):
+        monkeypatch.setattr(line_dedup, "FEW", few)
+        got = line_dedup.dedup_lines(df, links=True).collect()
+        assert {r.doc_id: r.text for r in got} == brute(rows)
+        assert {r.doc_id: (r["__links"], [tuple(c) for c in r["__classes"]]) for r in got} == want
+
+
+def test_only_lines_that_may_be_similar_are_read_again(spark, monkeypatch):
+    """Lines that share their rarest shingles but little else are told apart by narrow rows."""
+    chance = random.Random(16)
+    lines = [" ".join([f"r{k % 20}a", "b", "c", "d", "e", *(f"w{chance.randrange(10**6)}" for _ in range(7))]) for k in range(60)]
+    lines += [line + " end" for line in lines[:5]]
+    rows, staged = [(i, line) for i, line in enumerate(lines)], {}
+    real = line_dedup.stage
+
+    def counting(df, name):
+        table = real(df, name)
+        staged[name] = table.count()
+        return table
+
+    monkeypatch.setattr(line_dedup, "stage", counting)
+    assert {r.doc_id: r.text for r in found(spark, rows)} == brute(rows)
+    assert staged["met-lines"] >= 10 and staged["line-sets"] <= 20
